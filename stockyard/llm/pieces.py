@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from stockyard.llm import bytetext as B
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO, MEMO_SIZE = 40, 200_000
+MEMO, MEMO_SIZE = 40, 400_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _RUNS = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -58,9 +58,14 @@ class Vocabulary:
                 self.unknown = i if what == "unknown" else self.unknown
                 self.text.append("⁇".encode() if what == "unknown" else b"")
         self.longest = max(map(len, self.ids), default=1)
+        #: Pairs of characters that some piece holds side by side; between any other two there is always a boundary.
+        self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.splits = not any(" " in p.lstrip(" ") for p in self.ids)
         self.floor = min(self.score, default=0.0) - 10
 
+    def digest(self) -> str:
+        return hashlib.sha256(repr((self.kind, self.text, self.score)).encode()).hexdigest()
+
 
 @functools.lru_cache(maxsize=4)
 def load(path: str = MODEL) -> Vocabulary:
@@ -79,6 +84,7 @@ class Encoder:
         self.v = vocabulary
         self.memo: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
+        self.raw: dict[str, bytes] = {}
         self.most_kept = 0
 
     # BPE: whether two pieces can stand side by side
@@ -200,6 +206,54 @@ class Encoder:
         """Ids of a run, as 32-bit numbers."""
         return np.fromiter((i for part in self.stream([text]) for i in part), np.uint32).tobytes()
 
+    def _word(self, w: str) -> bytes:
+        """Ids of a short run: cut where no piece can cross, each part searched at once, as it is shorter than the window would be."""
+        pairs, memo = self.v.pairs, self.memo
+        cuts = [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
+        if len(cuts) == 2:
+            return self._part(w)
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = w[a:b]
+            got = memo.get(part)
+            if got is None:
+                got = memo[part] = self._part(part)
+            out.append(got)
+        return b"".join(out)
+
+    def _part(self, w: str) -> bytes:
+        if self.v.kind != "bpe":
+            return self.run(w)
+        ids, fits, longest = self.v.ids, self.fits, self.v.longest
+        last = [""]
+        for end in range(1, len(w) + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                piece = w[start:end]
+                if piece in ids:
+                    key = (last[start], piece)
+                    fit = fits.get(key)
+                    if fit is None:
+                        fit = self._fit(*key) if start and key[0] in ids else self._merged_whole(piece)
+                        fits[key] = fit
+                    if fit:
+                        last.append(piece)
+                        break
+            else:
+                last.append(w[end - 1])
+        out, at = [], len(w)
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
+        return b"".join([self._raw(p) for p in reversed(out)])
+
+    def _raw(self, piece: str) -> bytes:
+        got = self.raw.get(piece)
+        if got is None:
+            got = np.array(self._ids_of(piece), np.uint32).tobytes()
+            if piece in self.v.ids:
+                self.raw[piece] = got
+        return got
+
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, as 32-bit numbers; null and empty texts have none."""
         if not text:
@@ -211,11 +265,12 @@ class Encoder:
         for w in _RUNS.findall(text):
             got = memo.get(w)
             if got is None:
-                got = self.run(w)
-                if len(w) <= MEMO:
+                if len(w) > MEMO:
+                    got = self.run(w)
+                else:
                     if len(memo) >= MEMO_SIZE:
                         memo.clear()
-                    memo[w] = got
+                    got = memo[w] = self._word(w)
             out.append(got)
         return b"".join(out)
 
@@ -225,7 +280,7 @@ class Encoder:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,12 +289,14 @@ def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
     decoded_sha256 is of the ids' text in UTF-8, round_trip says whether that is the text (null counts as empty). Repeated rows stay;
     other columns aren't read.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(load(model))
+    found = load(model)
+    vocabulary, name = docs.sparkSession.sparkContext.broadcast(found), found.digest()
     kind = dict(docs.dtypes)[id_col]
 
     def rows(batches):
-        enc = _encoders.get(vocabulary.id if hasattr(vocabulary, "id") else id(vocabulary))
-        enc = enc or Encoder(vocabulary.value)
+        enc = _encoders.get(name)
+        if enc is None:  # a worker that is used again keeps its memo
+            enc = _encoders[name] = Encoder(vocabulary.value)
         for b in batches:
             for lo, hi, data, at in B.slices(b.column(1), 2 << 20):
                 raw = data.tobytes()

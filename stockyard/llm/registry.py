@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("archives", "chat_format", "decontaminate", "pii", "quality", "sharding", "url_filter")
+MODULES = ("archives", "chat_format", "decontaminate", "pieces", "pii", "quality", "sharding", "url_filter")
 
 
 def _all() -> list:
