@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -57,3 +58,9 @@ def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished stages now: it does so when their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
