@@ -13,13 +13,13 @@ from stockyard.operators import panel as P
 SEGMENTS = (
     ("Champions", (4, 5), (4, 5), (4, 5)),
     ("Loyal", (3, 5), (4, 5), (1, 5)),
-    ("Big Spenders", (3, 5), (1, 5), (5, 5)),
-    ("New Customers", (5, 5), (1, 1), (1, 5)),
-    ("Promising", (4, 5), (1, 2), (1, 5)),
-    ("Cannot Lose", (1, 1), (4, 5), (4, 5)),
+    ("Potential Loyalist", (4, 5), (1, 3), (3, 5)),
     ("At Risk", (1, 2), (3, 5), (1, 5)),
-    ("Hibernating", (1, 2), (1, 2), (1, 2)),
-    ("Need Attention", (2, 3), (2, 3), (1, 5)),
+    ("Lost Cheap", (1, 1), (1, 2), (1, 2)),
+    ("Lost", (1, 2), (1, 2), (1, 5)),
+    ("Needs Attention", (3, 3), (3, 3), (3, 3)),
+    ("New Customers", (4, 5), (1, 2), (1, 2)),
+    ("Promising", (3, 5), (1, 2), (1, 3)),
 )
 
 

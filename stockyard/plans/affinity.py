@@ -1 +1,29 @@
+from pyspark.sql import functions as F
 
+from stockyard.operators import affinity as A
+from stockyard.plans.catalog import query
+from stockyard.sources import views as V
+
+_PAIRS = """one AS (SELECT sku, count(*) AS n FROM sessions GROUP BY sku), tot AS (SELECT count(DISTINCT session) AS n FROM sessions),
+pr AS (SELECT x.sku AS a, y.sku AS b, count(*) AS together FROM sessions x JOIN sessions y ON x.session = y.session AND x.sku < y.sku GROUP BY ALL),
+lifted AS (SELECT a, b, together, oa.n AS n_a, ob.n AS n_b, tot.n AS n, together / tot.n AS support, together / oa.n AS confidence, together * tot.n / (oa.n * ob.n) AS lift FROM pr, tot JOIN one oa ON oa.sku = a JOIN one ob ON ob.sku = b WHERE together >= greatest(2, floor(0.0001 * tot.n)))"""
+
+
+@query("item_support", "SELECT sku, count(*) AS n FROM sessions GROUP BY sku")
+def item_support(spark, sf):
+    return A.supports(V.sessions(spark, sf))
+
+
+@query("affinity_pairs", f"WITH {_PAIRS} SELECT a, b, together, n_a, n_b, n, round(support, 8) AS support, round(confidence, 6) AS confidence, round(lift, 6) AS lift FROM lifted")
+def affinity_pairs(spark, sf):
+    return A.pairs_with_lift(V.sessions(spark, sf), 0.0001).withColumns({"support": F.round("support", 8), "confidence": F.round("confidence", 6), "lift": F.round("lift", 6)})
+
+
+@query("affinity_top", f"WITH {_PAIRS} SELECT a, b, together, round(lift, 6) AS lift FROM lifted ORDER BY lifted.lift DESC, together DESC, a, b LIMIT 200")
+def affinity_top(spark, sf):
+    return A.top_pairs(A.pairs_with_lift(V.sessions(spark, sf), 0.0001)).select("a", "b", "together", F.round("lift", 6).alias("lift"))
+
+
+@query("affinity_validated")
+def affinity_validated(spark, sf):
+    return A.validated(A.top_pairs(A.pairs_with_lift(V.sessions(spark, sf), 0.0001)))

@@ -38,6 +38,8 @@ def with_views(sql: str) -> str:
     sql = sql.strip()
     if not head:
         return sql
+    if m := re.match(r"(?i)with\s+recursive\s", sql):
+        return f"WITH RECURSIVE {head},\n{sql[m.end():]}"
     return f"WITH {head}\n{sql}" if not re.match(r"(?i)with\s", sql) else f"WITH {head},\n{sql[4:].lstrip()}"
 
 
