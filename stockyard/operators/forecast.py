@@ -21,13 +21,13 @@ def split(dense: DataFrame, test_days: int = 92) -> DataFrame:
 
 def activity(parts: DataFrame, all_share: float = 0.10, train_share: float = 0.30) -> DataFrame:
     """k, share, train_share, active: days with demand over all days and over train days."""
-    g = parts.groupBy("k").agg((F.count_if(F.col("q") > 0) / F.count("*")).alias("share"), (F.count_if("train and q > 0") / F.count_if("train")).alias("train_share"))
+    g = parts.groupBy("k").agg((F.count_if(F.col("q") > 0) / F.count("*")).alias("share"), (F.count_if(F.expr("train and q > 0")) / F.count_if("train")).alias("train_share"))
     return g.withColumn("active", (F.col("share") > all_share) & (F.col("train_share") >= train_share))
 
 
 def patterns(parts: DataFrame, zero: float = 0.40) -> DataFrame:
     """Both definitions: by train zeros over train days (> zero), and by train demand days over all days (zeros >= zero)."""
-    g = parts.groupBy("k").agg((F.count_if("train and q = 0") / F.count_if("train")).alias("a"), (1 - F.count_if("train and q > 0") / F.count("*")).alias("b"))
+    g = parts.groupBy("k").agg((F.count_if(F.expr("train and q = 0")) / F.count_if("train")).alias("a"), (1 - F.count_if(F.expr("train and q > 0")) / F.count("*")).alias("b"))
     label = lambda c: F.when(c, "intermittent").otherwise("regular")
     return g.select("k", label(F.col("a") > zero).alias("pattern"), label(F.col("b") >= zero).alias("pattern_all_days"))
 

@@ -1 +1,140 @@
+from functools import reduce
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stockyard.operators import cluster as K
+from stockyard.operators import segment as S
+from stockyard.plans.catalog import query
+from stockyard.plans.segmentation import _CLASSES, _FEATURES, classes, features
+from stockyard.sources import views as V
+
+FEATURES = [f"{c}_z" for c in S.FEATURES]
+NAMES = ["Low-Velocity / Low-Value", "Low-Velocity / High-Value", "High-Velocity / Low-Value", "High-Velocity / High-Value"]
+_E = [f"e{i}" for i in range(6)]
+
+
+def _z(spark, sf):
+    return S.z_scores(features(spark, sf), S.FEATURES).select("sku", *FEATURES)
+
+
+def _clusters(spark, sf, k=4, restarts=3):
+    return K.kmeans(K.assembled(_z(spark, sf), "sku", FEATURES), "sku", k, restarts)
+
+
+def _embedded(spark, sf):
+    e = V.read_table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), "label", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(_E)])
+
+
+_EMB = "e AS (SELECT vec_id AS id, label, " + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS {c}" for i, c in enumerate(_E)) + " FROM embeddings)"
+_D = lambda a, b: "sqrt(" + " + ".join(f"({a}.{c} - {b}.{c}) ** 2" for c in _E) + ")"
+
+
+@query(
+    "cluster_quality",
+    f"""WITH {_EMB}, g AS (SELECT label, count(*) AS n, {', '.join(f'avg({c}) AS {c}' for c in _E)} FROM e GROUP BY label), t AS (SELECT {', '.join(f'avg({c}) AS {c}' for c in _E)} FROM e),
+w AS (SELECT e.label, sum({_D('e', 'g')} ** 2) AS w, avg({_D('e', 'g')}) AS s FROM e JOIN g USING (label) GROUP BY e.label), b AS (SELECT sum(n * {_D('g', 't')} ** 2) AS b, count(*) AS k, sum(n) AS n FROM g, t),
+r AS (SELECT g.label, max((wa.s + wb.s) / {_D('g', 'h')}) AS r FROM g JOIN g h ON g.label <> h.label JOIN w wa ON wa.label = g.label JOIN w wb ON wb.label = h.label GROUP BY g.label)
+SELECT k, CAST(n AS BIGINT) AS n, round((b / (k - 1)) / ((SELECT sum(w) FROM w) / (n - k)), 5) AS calinski_harabasz, round((SELECT avg(r) FROM r), 6) AS davies_bouldin FROM b""",
+)
+def cluster_quality(spark, sf):
+    q = K.quality(_embedded(spark, sf), _E, "label")
+    return q.select("k", "n", F.round("calinski_harabasz", 5).alias("calinski_harabasz"), F.round("davies_bouldin", 6).alias("davies_bouldin"))
+
+
+@query("silhouettes", f"WITH {_EMB}, m AS (SELECT a.id, a.label AS la, b.label AS lb, avg({_D('a', 'b')}) AS d FROM e a JOIN e b ON a.id <> b.id GROUP BY ALL), s AS (SELECT id, la, max(d) FILTER (la = lb) AS own, min(d) FILTER (la <> lb) AS other FROM m GROUP BY ALL) SELECT id, la AS label, round(coalesce((other - own) / greatest(own, other), 0), 6) AS silhouette FROM s")
+def silhouettes(spark, sf):
+    return K.silhouette(_embedded(spark, sf), "id", _E, "label", None).withColumn("silhouette", F.round("silhouette", 6))
+
+
+_SWEEP = [(2, 900.0, 0.59, 800.0), (3, 500.0, 0.51, 1000.0), (4, 300.0, 0.53, 1500.0), (5, 260.0, 0.50, 1400.0), (6, 240.0, 0.52, 1300.0), (7, 230.0, 0.48, 1200.0)]
+
+
+@query("choose_k", f"WITH s(k, inertia, silhouette, ch) AS (VALUES {', '.join(map(str, _SWEEP))}), d AS (SELECT *, lag(silhouette) OVER w AS p, lead(silhouette) OVER w AS n, -(lead(inertia) OVER w - 2 * inertia + lag(inertia) OVER w) AS bend FROM s WINDOW w AS (ORDER BY k)) SELECT (SELECT k FROM d WHERE k >= 3 AND silhouette > p AND silhouette > n ORDER BY ch DESC LIMIT 1) AS k_chosen, (SELECT k FROM d ORDER BY bend DESC NULLS LAST LIMIT 1) AS k_elbow")
+def choose_k(spark, sf):
+    return K.choose_k(spark.createDataFrame(_SWEEP, "k int, inertia double, silhouette double, ch double"))
+
+
+@query("kmeans_sweep")
+def kmeans_sweep(spark, sf):
+    """k, inertia, silhouette, ch, db for k = 2 .. 7."""
+    z = _z(spark, sf).cache()
+    v = K.assembled(z, "sku", FEATURES)
+    out = []
+    for k in range(2, 8):
+        c, inertia = K.kmeans(v, "sku", k, 2)
+        p = z.join(c, "sku")
+        sil = K.silhouette(p, "sku", FEATURES, "cluster", 300).agg(F.avg("silhouette").alias("silhouette"))
+        q = K.quality(p, FEATURES, "cluster")
+        out.append(q.join(F.broadcast(sil)).select(F.lit(k).alias("k"), F.lit(inertia).alias("inertia"), "silhouette", F.col("calinski_harabasz").alias("ch"), F.col("davies_bouldin").alias("db")))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("kmeans_clusters")
+def kmeans_clusters(spark, sf):
+    return _clusters(spark, sf)[0]
+
+
+@query("cluster_profiles")
+def cluster_profiles(spark, sf):
+    part = V.read_table(spark, sf, "part").select(F.col("p_partkey").alias("sku"), F.col("p_type").alias("category"))
+    df = _clusters(spark, sf)[0].join(classes(spark, sf), "sku").join(part, "sku")
+    return K.profiles(df, "cluster", ["mean_demand", "total_revenue", "cv"], ["category", "abc"], "mean_demand", NAMES)
+
+
+@query("profile_names", f"WITH {_FEATURES}, {_CLASSES}, g AS (SELECT abc, count(*) AS n, avg(mean_demand) AS m FROM cls GROUP BY abc), md AS (SELECT abc, xyz FROM (SELECT abc, xyz, count(*) AS c FROM cls GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY abc ORDER BY c DESC, xyz) = 1) SELECT abc, n, round(m, 6) AS mean_demand, xyz, ['Low-Velocity / Low-Value', 'Low-Velocity / High-Value', 'High-Velocity / Low-Value', 'High-Velocity / High-Value'][row_number() OVER (ORDER BY m, abc)] AS name FROM g JOIN md USING (abc)")
+def profile_names(spark, sf):
+    return K.profiles(classes(spark, sf), "abc", ["mean_demand"], ["xyz"], "mean_demand", NAMES).withColumn("mean_demand", F.round("mean_demand", 6))
+
+
+@query("profile_radar", f"WITH {_FEATURES}, {_CLASSES}, g AS (SELECT abc, avg(mean_demand) AS m, avg(frequency) AS f FROM cls GROUP BY abc) SELECT abc, round((m - min(m) OVER ()) / (max(m) OVER () - min(m) OVER () + 1e-9), 6) AS mean_demand, round((f - min(f) OVER ()) / (max(f) OVER () - min(f) OVER () + 1e-9), 6) AS frequency FROM g")
+def profile_radar(spark, sf):
+    g = classes(spark, sf).groupBy("abc").agg(F.avg("mean_demand").alias("mean_demand"), F.avg("frequency").alias("frequency"))
+    return K.min_max(g, ["mean_demand", "frequency"]).withColumns({c: F.round(c, 6) for c in ("mean_demand", "frequency")})
+
+
+@query("pca_projection")
+def pca_projection(spark, sf):
+    c, shares = K.pca(K.assembled(_z(spark, sf), "sku", FEATURES), "sku")
+    return c.withColumns({"share_1": F.lit(shares[0]), "share_2": F.lit(shares[1])})
+
+
+@query("ward_clusters")
+def ward_clusters(spark, sf):
+    return K.ward(_z(spark, sf), "sku", FEATURES, most=400)
+
+
+@query("seed_stability")
+def seed_stability(spark, sf):
+    v = K.assembled(_z(spark, sf), "sku", FEATURES)
+    runs = reduce(DataFrame.unionByName, [K.kmeans(v, "sku", 4, 1, seed=s)[0].withColumn("run", F.lit(s)) for s in range(6)])
+    return K.pairwise_agreement(runs.cache(), "sku", "run", "cluster").agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.min("ari").alias("min_ari"), (F.count_if(F.col("ari") > 0.95) / F.count("*")).alias("share_above_95"), F.avg(F.when(F.col("run_a") == 0, F.col("ari"))).alias("mean_against_first"))
+
+
+@query("feature_ablation")
+def feature_ablation(spark, sf):
+    """dropped, ari against all features."""
+    z = _z(spark, sf).cache()
+    base = K.kmeans(K.assembled(z, "sku", FEATURES), "sku", 4, 2)[0]
+    out = []
+    for f in FEATURES:
+        c = K.kmeans(K.assembled(z, "sku", [x for x in FEATURES if x != f]), "sku", 4, 1)[0].withColumnRenamed("cluster", "other")
+        out.append(K.agreement(base.join(c, "sku"), "cluster", "other").select(F.lit(f[:-2]).alias("dropped"), "ari"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("outlier_sensitivity")
+def outlier_sensitivity(spark, sf):
+    f = features(spark, sf).cache()
+    cut = f.agg(F.percentile("total_revenue", F.lit(0.99)).alias("cut"))
+    kept = f.join(F.broadcast(cut)).filter(F.col("total_revenue") <= F.col("cut")).drop("cut")
+    z = S.z_scores(kept, S.FEATURES).select("sku", *FEATURES)
+    c = K.kmeans(K.assembled(z, "sku", FEATURES), "sku", 4, 2)[0].withColumnRenamed("cluster", "other")
+    return K.agreement(_clusters(spark, sf, restarts=2)[0].join(c, "sku"), "cluster", "other").select("n", "ari")
+
+
+@query("revenue_p99", "WITH r AS (SELECT sku, CAST(sum(revenue) AS DOUBLE) AS v FROM demand GROUP BY sku) SELECT round(quantile_cont(v, 0.99), 4) AS p99, round(median(v), 4) AS median FROM r")
+def revenue_p99(spark, sf):
+    r = V.facts(spark, sf).groupBy("sku").agg(F.sum("revenue").cast("double").alias("v"))
+    return r.agg(F.round(F.percentile("v", F.lit(0.99)), 4).alias("p99"), F.round(F.median("v"), 4).alias("median"))
