@@ -111,8 +111,8 @@ def ward(points: DataFrame, key: str, features: list[str], ks: tuple[int, ...] =
             group[group == j] = i
         return pd.concat([pd.DataFrame({key: pdf[key].values, "k": k, "cluster": c}) for k, c in sorted(out.items())])
 
-    p = points.orderBy(F.xxhash64(key), key).limit(most).select(key, *features)
-    return p.groupBy(F.lit(0)).applyInPandas(link, schema)
+    p = points.orderBy(F.xxhash64(key), key).limit(most).select(key, *features).withColumn("_all", F.lit(0))
+    return p.groupBy("_all").applyInPandas(link, schema)
 
 
 def pairwise_agreement(runs: DataFrame, key: str, run: str, label: str) -> DataFrame:

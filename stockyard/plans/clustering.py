@@ -58,11 +58,11 @@ def choose_k(spark, sf):
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    """k, inertia, silhouette, ch, db for k = 2 .. 7."""
+    """k, inertia, silhouette, ch, db for k = 2 .. 5."""
     z = _z(spark, sf).cache()
     v = K.assembled(z, "sku", FEATURES)
     out = []
-    for k in range(2, 8):
+    for k in range(2, 6):
         c, inertia = K.kmeans(v, "sku", k, 2)
         p = z.join(c, "sku")
         sil = K.silhouette(p, "sku", FEATURES, "cluster", 300).agg(F.avg("silhouette").alias("silhouette"))
