@@ -1 +1,106 @@
+import datetime
 
+from pyspark.sql import functions as F
+
+from stockyard.operators import experiment as X
+from stockyard.plans.catalog import query
+from stockyard.plans.rfm import _SCORED, _segments
+from stockyard.sources import views as V
+
+D = datetime.date
+NOW, BEFORE = (D(2001, 5, 1), D(2001, 7, 31)), (D(2000, 8, 1), D(2001, 4, 30))
+_CONV = f"""{_SCORED}, cn AS (SELECT customer, count_if(date BETWEEN DATE '{NOW[0]}' AND DATE '{NOW[1]}') AS orders_now, count_if(date BETWEEN DATE '{BEFORE[0]}' AND DATE '{BEFORE[1]}') / 3 AS rate_before FROM sales GROUP BY customer),
+cv AS (SELECT customer, coalesce(orders_now, 0) AS orders_now, coalesce(rate_before, 0) AS rate_before, (coalesce(orders_now, 0) - coalesce(rate_before, 0)) / (coalesce(rate_before, 0) + 1e-9::DOUBLE) AS change FROM seg LEFT JOIN cn USING (customer) WHERE segment = 'At Risk')"""
+
+
+def _at_risk(spark, sf):
+    return _segments(spark, sf).filter("segment = 'At Risk'").select("customer")
+
+
+def _conversion(spark, sf):
+    return X.conversion(V.sales(spark, sf), _at_risk(spark, sf), NOW, BEFORE)
+
+
+@query("conversion", f"WITH {_CONV} SELECT customer, orders_now, round(rate_before, 6) AS rate_before, CASE WHEN change >= -0.2::DOUBLE THEN 1 ELSE 0 END AS converted FROM cv")
+def conversion(spark, sf):
+    return _conversion(spark, sf).select("customer", "orders_now", F.round("rate_before", 6).alias("rate_before"), "converted")
+
+
+@query("power_analysis")
+def power_analysis(spark, sf):
+    r = _conversion(spark, sf).agg(F.avg("converted").alias("p"), F.count("*").alias("n")).first()
+    d = X.power_analysis(min(max(r.p, 0.01), 0.94), r.n)
+    return spark.createDataFrame([tuple(d.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'bigint' if isinstance(v, int) else 'double'}" for k, v in d.items()))
+
+
+@query("cost_scenarios", f"WITH {_SCORED}, a AS (SELECT count(*) AS n FROM seg WHERE segment = 'At Risk'), o AS (SELECT CAST(sum(revenue) AS DOUBLE) / count(*) AS aov FROM sales JOIN seg USING (customer) WHERE segment = 'At Risk'), k(scenario, m) AS (VALUES ('Pessimistic', 0.5::DOUBLE), ('Realistic', 1::DOUBLE), ('Optimistic', 2::DOUBLE)) SELECT scenario, round(0.1::DOUBLE * m, 6) AS lift, round(n * 0.1::DOUBLE * m, 4) AS orders, round(n * 0.1::DOUBLE * m * aov, 2) AS revenue, round(n * 8.0::DOUBLE, 2) AS cost, round(100 * (n * 0.1::DOUBLE * m * aov - n * 8) / (n * 8), 3) AS roi_pct FROM a, o, k")
+def cost_scenarios(spark, sf):
+    at = _at_risk(spark, sf)
+    o = V.sales(spark, sf).join(at, "customer", "left_semi").agg((F.sum("revenue").cast("double") / F.count("*")).alias("aov"))
+    s = at.agg(F.count("*").alias("n")).join(F.broadcast(o)).select(F.explode(X.scenarios(F.lit(0.1), F.col("n"), F.col("aov"))).alias("s")).select("s.*")
+    return s.select("scenario", F.round("lift", 6).alias("lift"), F.round("orders", 4).alias("orders"), F.round("revenue", 2).alias("revenue"), F.round("cost", 2).alias("cost"), F.round("roi_pct", 3).alias("roi_pct"))
+
+
+def _assigned(spark, sf, per_arm=47):
+    c = V.read_table(spark, sf, "customer").select(F.col("c_custkey").alias("customer"), F.col("c_mktsegment").alias("type"))
+    return X.assign(_at_risk(spark, sf).join(c, "customer"), "type", per_arm)
+
+
+@query("assignment")
+def assignment(spark, sf):
+    return _assigned(spark, sf)
+
+
+@query("assignment_balance", f"WITH {_SCORED}, a AS (SELECT c_mktsegment AS type, count(*) AS n, sum(count(*)) OVER () AS total FROM seg JOIN customer ON c_custkey = customer WHERE segment = 'At Risk' GROUP BY c_mktsegment), t AS (SELECT type, n, CASE WHEN abs(n * 20 / total - floor(n * 20 / total) - 0.5) < 1e-12 THEN 2 * round(n * 20 / total / 2) ELSE round(n * 20 / total) END AS treat FROM a), u AS (SELECT type, treat, least(treat, n - treat) AS control, sum(treat) OVER (ORDER BY type) AS st, sum(least(treat, n - treat)) OVER (ORDER BY type) AS sc FROM t) SELECT type, CAST(greatest(0, least(treat, 20 - (st - treat))) AS BIGINT) AS \"Treatment\", CAST(greatest(0, least(control, 20 - (sc - control))) AS BIGINT) AS \"Control\" FROM u")
+def assignment_balance(spark, sf):
+    return _assigned(spark, sf, 20).groupBy("type").pivot("arm", ["Treatment", "Control"]).count().fillna(0)
+
+
+def _outcome(spark, sf):
+    c = _conversion(spark, sf)
+    arm = F.when(F.col("customer") % 2 == 0, "Treatment").otherwise("Control")
+    return c.withColumn("arm", arm)
+
+
+_OUT = f"{_CONV}, oc AS (SELECT CASE WHEN customer % 2 = 0 THEN 'Treatment' ELSE 'Control' END AS arm, CASE WHEN change >= -0.2::DOUBLE THEN 1 ELSE 0 END AS converted, customer FROM cv), s AS (SELECT sum(converted) FILTER (arm = 'Treatment')::DOUBLE AS x1, count(*) FILTER (arm = 'Treatment')::DOUBLE AS n1, sum(converted) FILTER (arm = 'Control')::DOUBLE AS x2, count(*) FILTER (arm = 'Control')::DOUBLE AS n2 FROM oc), z AS (SELECT *, x1 / n1 AS p1, x2 / n2 AS p2, (x1 + x2) / (n1 + n2) AS p FROM s)"
+
+
+def _z(spark, sf):
+    t = F.col("arm") == "Treatment"
+    s = _outcome(spark, sf).agg(F.sum(F.when(t, F.col("converted"))).cast("double").alias("x1"), F.count_if(t).cast("double").alias("n1"), F.sum(F.when(~t, F.col("converted"))).cast("double").alias("x2"), F.count_if(~t).cast("double").alias("n2"))
+    return s.select("n1", "n2", X.two_proportions(F.col("x1"), F.col("n1"), F.col("x2"), F.col("n2")).alias("r")).select("n1", "n2", "r.*")
+
+
+@query("two_proportion_z", f"WITH {_OUT} SELECT round(p1, 6) AS p1, round(p2, 6) AS p2, round(p1 - p2, 6) AS diff, round((p1 - p2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)), 5) AS z, round(p1 - p2 - 1.96::DOUBLE * sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2), 6) AS low, round(p1 - p2 + 1.96::DOUBLE * sqrt(p1 * (1 - p1) / n1 + p2 * (1 - p2) / n2), 6) AS high FROM z")
+def two_proportion_z(spark, sf):
+    return _z(spark, sf).select(*[F.round(c, 5 if c == "z" else 6).alias(c) for c in ("p1", "p2", "diff", "z", "low", "high")])
+
+
+@query("experiment_p_values")
+def experiment_p_values(spark, sf):
+    return _z(spark, sf).select("z", X.normal_p("z").alias("p"), X.post_hoc_power("p1", "p2", "n1").alias("power"))
+
+
+_AOV = f"{_CONV}, ov AS (SELECT CASE WHEN customer % 2 = 0 THEN 'T' ELSE 'C' END AS arm, revenue::DOUBLE AS v FROM sales JOIN cv USING (customer)), w AS (SELECT avg(v) FILTER (arm = 'T') AS a, avg(v) FILTER (arm = 'C') AS b, var_samp(v) FILTER (arm = 'T') / count(*) FILTER (arm = 'T') AS va, var_samp(v) FILTER (arm = 'C') / count(*) FILTER (arm = 'C') AS vb, count(*) FILTER (arm = 'T') AS na, count(*) FILTER (arm = 'C') AS nb FROM ov)"
+
+
+@query("guardrail_aov", f"WITH {_AOV} SELECT round(a, 3) AS mean_a, round(b, 3) AS mean_b, round((a - b) / b, 6) AS change, round((a - b) / sqrt(va + vb), 5) AS t, round((va + vb) ** 2 / (va ** 2 / (na - 1) + vb ** 2 / (nb - 1)), 3) AS df, (a - b) / b >= -0.05 AS guardrail FROM w")
+def guardrail_aov(spark, sf):
+    o = V.sales(spark, sf).join(_outcome(spark, sf).select("customer", "arm"), "customer").withColumn("v", F.col("revenue").cast("double"))
+    g = X.welch(o, "arm", "v", "Treatment", "Control")
+    return g.select(F.round("mean_a", 3).alias("mean_a"), F.round("mean_b", 3).alias("mean_b"), F.round("change", 6).alias("change"), F.round("t", 5).alias("t"), F.round("df", 3).alias("df"), "guardrail")
+
+
+_CASES = [(True, 2.0, True, 0.1, 0.01), (True, -0.5, True, 0.1, 0.01), (False, 2.0, True, 0.1, 0.01), (False, 2.0, True, 0.001, 0.01), (True, 2.0, False, 0.1, 0.01)]
+
+
+@query("experiment_verdicts", "WITH c(s, roi, g, lift, be) AS (VALUES " + ", ".join(str(c).lower() for c in _CASES) + ") SELECT s AS significant, roi::DOUBLE AS roi, lift::DOUBLE AS lift, g AS guardrail, CASE WHEN s AND roi > 0 AND g THEN 'SCALE' WHEN s AND roi <= 0 THEN 'NO_SCALE_ROI' WHEN NOT s AND lift > be THEN 'FOLLOW_UP' ELSE 'NO_GO' END AS verdict FROM c")
+def experiment_verdicts(spark, sf):
+    c = spark.createDataFrame(_CASES, "significant boolean, roi double, guardrail boolean, lift double, be double")
+    return c.select("significant", "roi", "lift", "guardrail", X.verdict(F.col("significant"), F.col("roi"), F.col("guardrail"), F.col("lift"), F.col("be")).alias("verdict"))
+
+
+@query("simulated_experiment")
+def simulated_experiment(spark, sf):
+    x1, x2 = X.simulated_outcomes(46, 46, 0.832, 0.1506)
+    return spark.createDataFrame([(x1, 46, x2, 46)], "x1 int, n1 int, x2 int, n2 int")
