@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from stockyard.functions import tails
 
@@ -57,17 +58,17 @@ def two_proportions(x1: Column, n1: Column, x2: Column, n2: Column) -> Column:
     return F.struct(p1.alias("p1"), p2.alias("p2"), (p1 - p2).alias("diff"), z.alias("z"), (p1 - p2 - 1.96 * se).alias("low"), (p1 - p2 + 1.96 * se).alias("high"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return z.map(tails.normal_two_sided)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([tails.t_two_sided(a, b) for a, b in zip(t, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def post_hoc_power(p1: pd.Series, p2: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([tails.power_two_sided(tails.cohen_h(a, b), c) if abs(tails.cohen_h(a, b)) > 1e-6 else 0.0 for a, b, c in zip(p1, p2, n, strict=True)])
 

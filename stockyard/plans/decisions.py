@@ -3,7 +3,6 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stockyard.operators import segment as S
 from stockyard.plans.catalog import query
 from stockyard.plans.segmentation import _CLASSES, _FEATURES, _SIMPLE, classes
 from stockyard.plans.warehouse import _STAB, _stability
@@ -148,5 +147,3 @@ def monitoring_layers(spark, sf):
     layer = F.when(F.col("method").startswith("SPC"), 1).when(F.col("method").startswith("Isolation"), 2).otherwise(3)
     return m.filter(~F.col("method").startswith("Hybrid") & ~F.col("method").startswith("LOF")).select(layer.alias("layer"), "method", F.round(total, 3).alias("annual_total"))
 
-
-__all__ = ["S"]

@@ -49,3 +49,12 @@ def write_text(text: str, path: str) -> None:
     """A rendered document, on the driver."""
     with open(path, "w", encoding="utf-8") as f:
         f.write(text)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: below spark.checkpoint.dir, or a temporary one where that is unset, as in tests."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stockyard-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
