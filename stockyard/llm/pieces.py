@@ -262,8 +262,9 @@ class Encoder:
         if not self.v.splits:
             return self.run(text)
         memo, out = self.memo, []
+        find = memo.get
         for w in _RUNS.findall(text):
-            got = memo.get(w)
+            got = find(w)
             if got is None:
                 if len(w) > MEMO:
                     got = self.run(w)
@@ -283,6 +284,13 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
+def encoder_of(name: str, vocabulary) -> Encoder:
+    """The worker's encoder, with the memo of earlier tasks. A module's function, so that it finds the module's own cache after pickling."""
+    if name not in _encoders:
+        _encoders[name] = Encoder(vocabulary.value)
+    return _encoders[name]
+
+
 def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: its id, ids (array<int>), n_ids, decoded_sha256 and round_trip.
 
@@ -294,9 +302,7 @@ def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
     kind = dict(docs.dtypes)[id_col]
 
     def rows(batches):
-        enc = _encoders.get(name)
-        if enc is None:  # a worker that is used again keeps its memo
-            enc = _encoders[name] = Encoder(vocabulary.value)
+        enc = encoder_of(name, vocabulary)
         for b in batches:
             for lo, hi, data, at in B.slices(b.column(1), 2 << 20):
                 raw = data.tobytes()
