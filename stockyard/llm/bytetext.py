@@ -24,7 +24,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i up to n."""
     got = _powers.get(base)
     if got is None or len(got[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())
+        size = 1 << max(16, int(n).bit_length())  # grows with the longest slice only
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             x = np.full(size, b, np.uint64)
@@ -51,7 +51,7 @@ def segments(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def slices(column: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) for runs of rows of about `most` bytes, one row at least; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
