@@ -245,7 +245,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEA
                         out.append(warc_record("response", rid, date, r["content"], "application/http;msgtype=response", WARC_Block_Digest=sha1_32(r["content"]), **more))
                     else:
                         out.append(warc_record("resource", rid, date, payload, r["mime"], WARC_Block_Digest=digest, **more))
-                yield _one(b"\r\n\r\n".join(out))
+                if out:  # the writer leaves an empty file where there is no row
+                    yield _one(b"\r\n\r\n".join(out))
 
     joined = _files(spark, arc_path).join(F.broadcast(again) if again.count() <= 1000 else again, "file", "left").select("file", "content", "again")
     lines = joined.mapInArrow(records, "value binary").select(F.col("value").cast("string"))
