@@ -42,31 +42,35 @@ def _matrix(p: np.ndarray, depot) -> np.ndarray:
     return np.sqrt(((q[:, None, :2] - q[None, :, :2]) ** 2).sum(2)) + 2 * np.abs(q[:, None, 2] - q[None, :, 2])
 
 
-def _length(m: np.ndarray, order: list[int]) -> float:
-    return float(sum(m[a, b] for a, b in zip([0, *order], order, strict=False)))
+def _length(m, order: list[int]) -> float:
+    return float(sum(m[a][b] for a, b in zip([0, *order], order, strict=False)))
 
 
-def nearest_neighbour(m: np.ndarray) -> list[int]:
-    """Always to the nearest stop left, the first of equals. Stops are 1 .. n, the depot 0."""
+def nearest_neighbour(m) -> list[int]:
+    """Always to the nearest stop left, the first of equals. Stops are 1 .. n, the depot 0; m is any indexable matrix."""
     left, at, out = list(range(1, len(m))), 0, []
     while left:
-        at = min(left, key=lambda j: m[at, j])
+        row = m[at]
+        at = min(left, key=row.__getitem__)
         left.remove(at)
         out.append(at)
     return out
 
 
-def two_opt(m: np.ndarray, order: list[int], sweeps: int = 100, eps: float = 1e-10) -> list[int]:
+def two_opt(m, order: list[int], sweeps: int = 100, eps: float = 1e-10) -> list[int]:
     """Reverse any stretch after the first stop that shortens the path, first improvement first, until none does."""
     order = list(order)
     n = len(order)
     for _ in range(sweeps):
         better = False
         for i in range(1, n - 1):
+            before = m[order[i - 1]]
             for j in range(i + 1, n):
-                before = m[order[i - 1], order[i]] + (m[order[j], order[j + 1]] if j + 1 < n else 0)
-                after = m[order[i - 1], order[j]] + (m[order[i], order[j + 1]] if j + 1 < n else 0)
-                if after < before - eps:
+                first, last = order[i], order[j]
+                change = before[last] - before[first]
+                if j + 1 < n:
+                    change += m[first][order[j + 1]] - m[last][order[j + 1]]
+                if change < -eps:
                     order[i : j + 1] = order[i : j + 1][::-1]
                     better = True
         if not better:
@@ -74,21 +78,28 @@ def two_opt(m: np.ndarray, order: list[int], sweeps: int = 100, eps: float = 1e-
     return order
 
 
-def exact_length(m: np.ndarray) -> float:
-    """The shortest open path, by dynamic programming over sets of stops."""
-    n = len(m) - 1
-    best = np.full((1 << n, n), np.inf)
+def exact_lengths(ms: np.ndarray) -> np.ndarray:
+    """The shortest open paths of many sessions with equally many stops, by one dynamic program over sets of stops for all of them.
+
+    ms: (sessions, n + 1, n + 1). best[set, last] is the shortest way through a set that ends at last.
+    """
+    b, n = len(ms), ms.shape[1] - 1
+    if not n:
+        return np.zeros(b)
+    best = np.full((1 << n, n, b), np.inf)
+    step = ms[:, 1:, 1:].transpose(1, 2, 0)
     for j in range(n):
-        best[1 << j, j] = m[0, j + 1]
+        best[1 << j, j] = ms[:, 0, j + 1]
     for s in range(1, 1 << n):
-        for j in range(n):
-            if s >> j & 1 and best[s, j] < np.inf:
-                for k in range(n):
-                    if not s >> k & 1:
-                        d = best[s, j] + m[j + 1, k + 1]
-                        if d < best[s | 1 << k, k]:
-                            best[s | 1 << k, k] = d
-    return float(best[-1].min()) if n else 0.0
+        inside = [j for j in range(n) if s >> j & 1]
+        for k in range(n):
+            if not s >> k & 1:
+                np.minimum(best[s | 1 << k, k], (best[s, inside] + step[inside, k]).min(0), out=best[s | 1 << k, k])
+    return best[-1].min(0)
+
+
+def exact_length(m: np.ndarray) -> float:
+    return float(exact_lengths(np.asarray(m, float)[None])[0])
 
 
 def routes(sessions: DataFrame, exact_most: int = 8, depot=DEPOT) -> DataFrame:
@@ -96,15 +107,26 @@ def routes(sessions: DataFrame, exact_most: int = 8, depot=DEPOT) -> DataFrame:
 
     def solve(batches):
         for b in batches:
+            ms = [_matrix(np.column_stack([x, y, z]).astype(float), depot) for x, y, z in zip(b["x"], b["y"], b["z"], strict=True)]
+            exact: list[float | None] = [None] * len(ms)
+            by_size: dict[int, list[int]] = {}
+            for i, m in enumerate(ms):
+                if len(m) - 1 <= exact_most:
+                    by_size.setdefault(len(m), []).append(i)
+            for at in by_size.values():
+                for lo in range(0, len(at), 2000):
+                    part = at[lo : lo + 2000]
+                    for i, d in zip(part, exact_lengths(np.stack([ms[i] for i in part])), strict=True):
+                        exact[i] = float(d)
             out = []
-            for s, stops in zip(b["session"], b["stops"], strict=True):
-                p = np.array([[x["x"], x["y"], x["z"]] for x in stops], float).reshape(-1, 3)
-                m = _matrix(p, depot)
-                nn = nearest_neighbour(m)
-                out.append((s, len(p), _length(m, list(range(1, len(m)))), _length(m, nn), _length(m, two_opt(m, nn)), exact_length(m) if len(p) <= exact_most else None))
+            for s, m, e in zip(b["session"], ms, exact, strict=True):
+                rows = m.tolist()
+                nn = nearest_neighbour(rows)
+                out.append((s, len(rows) - 1, _length(rows, list(range(1, len(rows)))), _length(rows, nn), _length(rows, two_opt(rows, nn)), e))
             yield pd.DataFrame(out, columns=["session", "n_stops", "naive", "nearest", "two_opt", "exact"])
 
-    return sessions.select("session", "stops").mapInPandas(solve, "session bigint, n_stops int, naive double, nearest double, two_opt double, exact double")
+    flat = sessions.select("session", *[F.col(f"stops.{c}").alias(c) for c in "xyz"])
+    return flat.mapInPandas(solve, "session bigint, n_stops int, naive double, nearest double, two_opt double, exact double")
 
 
 def route_gaps(r: DataFrame) -> DataFrame:
