@@ -109,7 +109,7 @@ def flag_matrix(spark, sf):
     return flags(spark, sf).withColumn("agreement", A.agreement_label([F.col("spc"), F.col("lof"), F.col("busy")]))
 
 
-@query("detector_overlap", f"""WITH RECURSIVE {_FLAGS}, lo AS (SELECT 'spc' AS a, 'lof' AS b, spc AS x, lof AS y FROM fl UNION ALL SELECT 'spc', 'busy', spc, busy FROM fl UNION ALL SELECT 'lof', 'busy', lof, busy FROM fl), c AS (SELECT a, b, count_if(x AND y) AS "both", count_if(x AND NOT y) AS only_a, count_if(y AND NOT x) AS only_b, count(*) AS n FROM lo GROUP BY a, b), q AS (SELECT *, (n - only_a - only_b) / n AS po, ("both" + only_a) / n * (("both" + only_b) / n) + (1 - ("both" + only_a) / n) * (1 - ("both" + only_b) / n) AS pe FROM c) SELECT a, b, "both", only_a, only_b, round(CASE WHEN "both" + only_a + only_b > 0 THEN "both" / ("both" + only_a + only_b) ELSE 0 END, 6) AS jaccard, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa FROM q""")
+@query("detector_overlap", f"""WITH RECURSIVE {_FLAGS}, lo AS (SELECT 'spc' AS a, 'lof' AS b, spc AS x, lof AS y FROM fl UNION ALL SELECT 'spc', 'busy', spc, busy FROM fl UNION ALL SELECT 'lof', 'busy', lof, busy FROM fl), c AS (SELECT a, b, count_if(x AND y) AS "both", count_if(x AND NOT y) AS only_a, count_if(y AND NOT x) AS only_b, count(*) AS n FROM lo GROUP BY a, b), q AS (SELECT *, (n - only_a - only_b) / n AS po, ("both" + only_a) / n * (("both" + only_b) / n) + (1 - ("both" + only_a) / n) * (1 - ("both" + only_b) / n) AS pe FROM c) SELECT a, b, "both", only_a, only_b, round(CASE WHEN "both" + only_a + only_b > 0 THEN "both" / ("both" + only_a + only_b) ELSE 0 END, 6) AS jaccard, round(CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END, 6) AS kappa FROM q""", long="both only_a only_b")
 def detector_overlap(spark, sf):
     return A.overlap(flags(spark, sf), [("spc", "lof"), ("spc", "busy"), ("lof", "busy")]).withColumns({c: F.round(c, 6) for c in ("jaccard", "kappa")})
 

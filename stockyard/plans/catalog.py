@@ -43,15 +43,16 @@ def with_views(sql: str) -> str:
     return f"WITH {head}\n{sql}" if not re.match(r"(?i)with\s", sql) else f"WITH {head},\n{sql[4:].lstrip()}"
 
 
-def query(name: str, sql: str | None = None):
-    """Register fn(spark, sf_dir) under a name, with the SQL that gives the same rows."""
+def query(name: str, sql: str | None = None, long: str = ""):
+    """Register fn(spark, sf_dir) under a name, with the SQL that gives the same rows. long: columns whose counts SQL makes wider than 64 bits."""
 
     def add(fn: Callable) -> Callable:
         if name in QUERIES:
             raise ValueError(f"two queries called {name}")
         QUERIES[name] = fn
         if sql:
-            ORACLE_SQL[name] = with_views(sql)
+            casts = ", ".join(f'CAST("{c}" AS BIGINT) AS "{c}"' for c in long.split())
+            ORACLE_SQL[name] = f"SELECT * REPLACE ({casts}) FROM ({with_views(sql)})" if long else with_views(sql)
         return fn
 
     return add

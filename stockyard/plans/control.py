@@ -68,6 +68,6 @@ def spc_anomalies(spark, sf):
     return C.anomalies(C.run_rules(b), C.cusum(b))
 
 
-@query("sigma_sensitivity", f"WITH {LONG}, d AS (SELECT warehouse, date, max(abs(x - mu) / nullif(sd, 0)) AS z FROM based WHERE sd IS NOT NULL GROUP BY ALL) SELECT warehouse, s.sigma, count_if(z > s.sigma) AS days FROM d, (VALUES (2.0::DOUBLE), (2.5::DOUBLE), (3.0::DOUBLE)) s(sigma) GROUP BY ALL")
+@query("sigma_sensitivity", f"WITH {LONG}, d AS (SELECT warehouse, date, max(abs(x - mu) / nullif(sd, 0)) AS z FROM based WHERE sd IS NOT NULL GROUP BY ALL) SELECT warehouse, s.sigma, count_if(z > s.sigma) AS days FROM d, (VALUES (2.0::DOUBLE), (2.5::DOUBLE), (3.0::DOUBLE)) s(sigma) GROUP BY ALL", long="days")
 def sigma_sensitivity(spark, sf):
     return C.sigma_sensitivity(based(spark, sf))

@@ -44,7 +44,7 @@ def _value(spark, sf):
     return v.withColumn("captured", F.coalesce(F.col("n_misclassified") * F.col("r") * F.col("s") * 0.10, F.lit(0.0)))
 
 
-@query("segmentation_value", f"WITH {_VALUE} SELECT n_misclassified, n_underrated, round(coalesce(n_misclassified * r * s * 0.10::DOUBLE, 0), 3) AS captured, round(coalesce(n_misclassified * r * s * 0.10::DOUBLE, 0) - ({RATE}::DOUBLE * 38 / 3600 * 12) + 0.25 * 800, 3) AS net FROM v")
+@query("segmentation_value", f"WITH {_VALUE} SELECT n_misclassified, n_underrated, round(coalesce(n_misclassified * r * s * 0.10::DOUBLE, 0), 3) AS captured, round(coalesce(n_misclassified * r * s * 0.10::DOUBLE, 0) - ({RATE}::DOUBLE * 38 / 3600 * 12) + 0.25 * 800, 3) AS net FROM v", long="n_misclassified n_underrated")
 def segmentation_value(spark, sf):
     v = _value(spark, sf)
     return v.select("n_misclassified", "n_underrated", F.round("captured", 3).alias("captured"), F.round(F.col("captured") - RATE * 38 / 3600 * 12 + 0.25 * 800, 3).alias("net"))

@@ -21,7 +21,7 @@ def _conversion(spark, sf):
     return X.conversion(V.sales(spark, sf), _at_risk(spark, sf), NOW, BEFORE)
 
 
-@query("conversion", f"WITH {_CONV} SELECT customer, orders_now, round(rate_before, 6) AS rate_before, CASE WHEN change >= -0.2::DOUBLE THEN 1 ELSE 0 END AS converted FROM cv")
+@query("conversion", f"WITH {_CONV} SELECT customer, orders_now, round(rate_before, 6) AS rate_before, CASE WHEN change >= -0.2::DOUBLE THEN 1 ELSE 0 END AS converted FROM cv", long="orders_now")
 def conversion(spark, sf):
     return _conversion(spark, sf).select("customer", "orders_now", F.round("rate_before", 6).alias("rate_before"), "converted")
 

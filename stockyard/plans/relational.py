@@ -77,7 +77,7 @@ def consecutive_windows(spark, sf):
     return m.join(nxt, ["month", "s"]).groupBy("month").agg(F.count("*").alias("both"), F.round(F.avg(F.col("q2") - F.col("q")), 6).alias("mean_change"))
 
 
-@query("summary_statistics", "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, quantile_cont(l_quantity, 0.25) AS p25, median(l_quantity) AS p50, quantile_cont(l_quantity, 0.75) AS p75, max(l_quantity) AS max, count(DISTINCT l_partkey) AS parts, count_if(l_discount > 0) AS discounted FROM lineitem GROUP BY l_returnflag")
+@query("summary_statistics", "SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, quantile_cont(l_quantity, 0.25) AS p25, median(l_quantity) AS p50, quantile_cont(l_quantity, 0.75) AS p75, max(l_quantity) AS max, count(DISTINCT l_partkey) AS parts, count_if(l_discount > 0) AS discounted FROM lineitem GROUP BY l_returnflag", long="discounted")
 def summary_statistics(spark, sf):
     q = F.col("l_quantity")
     return _t(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg(q), 6).alias("mean"), F.round(F.stddev_samp(q), 6).alias("std"), F.min(q).alias("min"), F.percentile(q, F.lit(0.25)).alias("p25"), F.median(q).alias("p50"), F.percentile(q, F.lit(0.75)).alias("p75"), F.max(q).alias("max"), F.countDistinct("l_partkey").alias("parts"), F.count_if(F.col("l_discount") > 0).alias("discounted"))
@@ -100,7 +100,7 @@ def value_counts(spark, sf):
     return g.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-@query("pivot_status", "SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS \"F\", count_if(o_orderstatus = 'O') AS \"O\", count_if(o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority")
+@query("pivot_status", "SELECT o_orderpriority, count_if(o_orderstatus = 'F') AS \"F\", count_if(o_orderstatus = 'O') AS \"O\", count_if(o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY o_orderpriority", long="F O P")
 def pivot_status(spark, sf):
     return _t(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count().fillna(0)
 

@@ -50,7 +50,7 @@ def abc_xyz_classes(spark, sf):
     return classes(spark, sf).select("sku", F.round("cum_share", 6).alias("cum_share"), "abc", "xyz", "abc_xyz")
 
 
-@query("abc_category_crosstab", f"WITH {_FEATURES}, {_CLASSES}, c AS (SELECT category, count_if(abc = 'A') AS \"A\", count_if(abc = 'B') AS \"B\", count_if(abc = 'C') AS \"C\" FROM cls JOIN (SELECT DISTINCT sku, category FROM demand) USING (sku) GROUP BY category) SELECT * FROM c")
+@query("abc_category_crosstab", f"WITH {_FEATURES}, {_CLASSES}, c AS (SELECT category, count_if(abc = 'A') AS \"A\", count_if(abc = 'B') AS \"B\", count_if(abc = 'C') AS \"C\" FROM cls JOIN (SELECT DISTINCT sku, category FROM demand) USING (sku) GROUP BY category) SELECT * FROM c", long="A B C")
 def abc_category_crosstab(spark, sf):
     return S.crosstab(_with_category(spark, sf), "category", "abc", ["A", "B", "C"])
 
