@@ -51,6 +51,13 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> tup
     return spark.read.schema(schema).parquet(path), path
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of fewer whole texts than Spark's 10,000 rows, for this session; a setting that isn't the default stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(rows))
+
+
 def small_or_not(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a stored table for broadcast if a count proves it small; else leave the join to shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

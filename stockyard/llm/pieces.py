@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockyard.llm import bytetext as B
+from stockyard.llm import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MEMO, MEMO_SIZE = 40, 400_000
+MEMO, MEMO_SIZE = 40, 150_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _RUNS = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -297,6 +298,7 @@ def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
     decoded_sha256 is of the ids' text in UTF-8, round_trip says whether that is the text (null counts as empty). Repeated rows stay;
     other columns aren't read.
     """
+    C.bounded_batches(docs.sparkSession)
     found = load(model)
     vocabulary, name = docs.sparkSession.sparkContext.broadcast(found), found.digest()
     kind = dict(docs.dtypes)[id_col]

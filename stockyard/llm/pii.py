@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stockyard.llm import bytetext as B
+from stockyard.llm import common as C
 from stockyard.llm import tagger
 
 KINDS = tagger.KINDS
@@ -174,6 +175,7 @@ def spans_of(column: pa.Array, model: Tagger) -> Iterator[tuple[int, int, dict[i
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict | None = None) -> DataFrame:
     """A row for each row of docs: its id, counts of the base spans, base_sha256, spans. Null and empty texts have none; other columns aren't read."""
+    C.bounded_batches(docs.sparkSession)
     weights = weights or tagger.trained()
     kind = dict(docs.dtypes)[id_col]
     none = hashlib.sha256(b"").hexdigest()
@@ -206,6 +208,7 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text", weights: dict | None = None) -> DataFrame:
     """docs with all personal data masked in text (n_chars, if there is one, set anew); all rows and columns stay, a null text stays null."""
+    C.bounded_batches(docs.sparkSession)
     weights = weights or tagger.trained()
     where = docs.columns.index(text_col)
 

@@ -101,6 +101,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """_id, _host (, _text again as _kept), the counts, and the lines with a word as three arrays: hash, words, index among all lines."""
     df = docs.select(F.col(id_col).alias("_id"), F.col(host_col).cast("string").alias("_host"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*docs.columns).alias("_kept")] if keep_text else []))
     kept = f", _kept {docs.schema.simpleString()}" if keep_text else ""
+    C.bounded_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
     return df.mapInArrow(_measured, f"_id {kind}, _host string{kept}, {', '.join(f'{c} bigint' for c in _COUNTS)}, _lines array<bigint>, _line_words array<int>, _line_index array<int>")
 
