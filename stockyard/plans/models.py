@@ -54,8 +54,8 @@ def boosted_grid_cv(spark, sf):
     span = p.agg(F.min("date").alias("a"), F.max("date").alias("b"))
     p = p.join(F.broadcast(span)).withColumn("fold", F.floor(4 * F.datediff("date", "a") / (F.datediff("b", "a") + 1))).drop("a", "b").cache()
     out = []
-    for it, depth, step in GRID[:2]:
+    for it, depth, step in GRID:
         for f in (1, 2, 3):
-            e = _floored(_fit(p.filter(F.col("fold") < f), it // 2, depth, step).transform(p.filter(F.col("fold") == f)))
+            e = _floored(_fit(p.filter(F.col("fold") < f), it, depth, step).transform(p.filter(F.col("fold") == f)))
             out.append(e.agg(F.lit(it).alias("iterations"), F.lit(depth).alias("depth"), F.lit(step).alias("step"), F.sqrt(F.avg((F.col("forecast") - F.col("q")) ** 2)).alias("rmse")))
     return reduce(DataFrame.unionByName, out).groupBy("iterations", "depth", "step").agg(F.avg("rmse").alias("mean_rmse"))

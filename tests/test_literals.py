@@ -220,3 +220,19 @@ def test_lof_of_an_outlier(spark):
     rows = [(i, 0, float(i % 5), float(i // 5)) for i in range(25)] + [(25, 0, 50.0, 50.0)]
     got = anomaly.lof(spark.createDataFrame(rows, "id int, g int, x double, y double"), ["id"], ["x", "y"], ["g"], k=5).orderBy(F.desc("lof")).first()
     assert got.id == 25 and got.lof > 5 and not math.isnan(got.lof)
+
+
+def test_grid_is_evaluated_whole(spark, monkeypatch):
+    from stockyard.plans import models
+
+    fits = []
+
+    class Model:
+        def transform(self, df):
+            return df.withColumn("forecast", F.lit(1.0))
+
+    monkeypatch.setattr(models, "_panel", lambda *_: spark.createDataFrame([(day(i), 2.0, True) for i in range(40)], "date date, q double, train boolean"))
+    monkeypatch.setattr(models, "_fit", lambda df, *p: (fits.append(p), Model())[1])
+    rows = models.boosted_grid_cv(spark, None).collect()
+    assert {(r.iterations, r.depth, r.step) for r in rows} == set(models.GRID)
+    assert sorted(fits) == sorted([*models.GRID] * 3)
