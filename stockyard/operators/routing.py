@@ -162,6 +162,14 @@ def greedy_zones(skus: DataFrame, zones: list[tuple[str, int]], order: list[Colu
     return skus.withColumn("_r", rank).withColumn("zone", out.otherwise(zones[-1][0]) if out is not None else F.lit(zones[-1][0])).drop("_r")
 
 
+def joint_then_greedy(skus: DataFrame, at: dict[int, str], zones: list[tuple[str, int]], order: list[Column]) -> DataFrame:
+    """zone of each sku: where the joint plan `at` puts it; all other skus greedily into the room that is left (the last zone takes the rest)."""
+    plan = skus.sparkSession.createDataFrame(list(at.items()), f"sku {dict(skus.dtypes)['sku']}, zone string")
+    taken = list(at.values())
+    rest = greedy_zones(skus.join(F.broadcast(plan), "sku", "left_anti"), [(z, n - taken.count(z)) for z, n in zones], order)
+    return skus.join(F.broadcast(plan), "sku").unionByName(rest)
+
+
 def joint_zones(items: list[tuple[int, float]], pairs: list[tuple[int, int, float]], zones: list[tuple[str, int, float]], bonus: float = 0.5) -> tuple[dict[int, str], float, float]:
     """Zones that minimise sum of distance x picks less bonus x lift of pairs in one zone, under capacities, for a stated few items.
 

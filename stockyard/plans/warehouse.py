@@ -75,7 +75,8 @@ def _travel(spark, sf, method):
     if method == "current":
         at = R.cyclic_assignment(_picks(spark, sf), _slots(spark), [F.desc("n"), F.col("sku")], [F.col("zone"), F.col("x"), F.col("y")])
     else:
-        zoned = R.greedy_zones(_picks(spark, sf), _ZONES if method == "greedy" else [("Pick_Face", 10**9), ("Reserve", 0)], [F.desc("n"), F.col("sku")])
+        order = [F.desc("n"), F.col("sku")]
+        zoned = R.greedy_zones(_picks(spark, sf), _ZONES, order) if method == "greedy" else R.joint_then_greedy(_picks(spark, sf), _joint(spark, sf)[0], _ZONES, order)
         at = R.cyclic_assignment(zoned, _slots(spark), [F.desc("n"), F.col("sku")], [R.depot_distance(F.col("x"), F.col("y")), F.col("slot")], ["zone"])
     place = at.select("sku", F.struct("x", "y", F.lit(1.0).alias("z")).alias("p"))
     stops = V.sessions(spark, sf).select("session", F.explode("skus").alias("sku")).join(place, "sku").groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("sku", "p"))), lambda s: s["p"]).alias("stops"))
@@ -89,14 +90,19 @@ def slotting_comparison(spark, sf):
     return all_.withColumn("reduction_pct", 100 * (base - F.col("mean_travel")) / base)
 
 
-@query("joint_slotting")
-def joint_slotting(spark, sf):
-    """A stated few items and pairs (200 and 50, as parameters of the model), solved on the driver; the result says how near its bound it is."""
+def _joint(spark, sf):
+    """A stated few items and pairs (200 and 50, as parameters of the model), solved on the driver: zones, objective, bound."""
     from stockyard.operators import affinity as A
 
     items = [(r.sku, float(r.n)) for r in _picks(spark, sf).orderBy(F.desc("n"), "sku").limit(200).collect()]
     pairs = [(r.a, r.b, float(r.lift)) for r in A.top_pairs(A.pairs_with_lift(V.sessions(spark, sf), 0.0001), 50).collect()]
-    at, value, bound = R.joint_zones(items, pairs, [("Pick_Face", 320, 1.0), ("Reserve", 240, 2.0), ("Bulk", 160, 3.0)])
+    return R.joint_zones(items, pairs, [("Pick_Face", 320, 1.0), ("Reserve", 240, 2.0), ("Bulk", 160, 3.0)])
+
+
+@query("joint_slotting")
+def joint_slotting(spark, sf):
+    """The joint plan of the stated few items; the result says how near its bound it is."""
+    at, value, bound = _joint(spark, sf)
     return spark.createDataFrame([(i, z, value, bound) for i, z in sorted(at.items())], "sku bigint, zone string, objective double, bound double")
 
 

@@ -222,6 +222,12 @@ def test_lof_of_an_outlier(spark):
     assert got.id == 25 and got.lof > 5 and not math.isnan(got.lof)
 
 
+def test_joint_plan_is_placed(spark):
+    skus = spark.createDataFrame([(i, 10 - i) for i in range(6)], "sku bigint, n bigint")
+    z = routing.joint_then_greedy(skus, {0: "b", 3: "a"}, [("a", 2), ("b", 2), ("c", 9)], [F.desc("n"), F.col("sku")])
+    assert {r.sku: r.zone for r in z.collect()} == {0: "b", 3: "a", 1: "a", 2: "b", 4: "c", 5: "c"}
+
+
 def test_grid_is_evaluated_whole(spark, monkeypatch):
     from stockyard.plans import models
 
