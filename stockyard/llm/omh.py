@@ -6,10 +6,11 @@ it if they share those k-mers and their order: it follows edit similarity, not o
 since few k-mers leave few ways to agree in eight.
 
 Candidates meet in a bucket (one sketch's value). Each bucket compares its members with one of them (a star: a bucket of n has n - 1
-candidates, never n squared). Where verified links haven't joined all members, another star follows under another centre; then those
-texts are dealt into finer buckets (two sketches at once, where a pair at 0.8 still meets about seven times and a pair at 0.65 one time
-in four) and two more stars each. A candidate is a link if the alignment of the two k-mer sequences (longest common subsequence L) has
-L / (a + b - L) >= similarity. Classes are the connected components, found by alternating stars over written tables.
+candidates, never n squared). Where verified links haven't joined all members, another star follows under another centre. What then still
+stands in a bucket with members of several components is compared without a cap: all pairs of those texts from different components whose
+k-mers can overlap enough, found by length, prefix and position bounds that no pair at the similarity fails (see _possible). So no link
+between texts that meet in a bucket is lost. A candidate is a link if the alignment of the two k-mer sequences (longest common
+subsequence L) has L / (a + b - L) >= similarity. Classes are the connected components, found by alternating stars over written tables.
 
 Equal texts are one node from the start. A null text counts as empty; empty texts (no word) are equal to each other only. Repeated rows and
 equal or null ids are rows of their own; a class is called by its least id. Only id and text are read; other columns pass through.
@@ -18,6 +19,7 @@ equal or null ids are rows of their own; a class is called by its least id. Only
 from __future__ import annotations
 
 import functools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +33,10 @@ from stockyard.llm import common as C
 WORDS, SIMILARITY = 5, 0.8
 #: (hash functions, k-mers kept, only texts of up to so many k-mers). A pair at 0.8 meets in none of 64 by chance (1 - 0.8**8)**64 < 1e-5.
 SKETCHES = ((64, 8, None), (16, 2, 64))
-#: Finer buckets join each sketch with so many of the next ones.
-JOINT = 4
+#: A k-mer of more texts is compared in so large blocks.
+BLOCK = 1000
+#: A text's parities: so many 64-bit numbers, in which each k-mer turns one bit.
+LONGS = 16
 _SET = np.uint64(0xA0761D6478BD642F)
 
 
@@ -129,6 +133,8 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     x, y = a[head : n - tail].tolist(), b[head : m - tail].tolist()
     # L >= least * (n + m) / (1 + least), so at most so many k-mers stay alone, and no aligned pair is further from the diagonal.
     band = int((n + m) * (1 - least) / (1 + least)) + 1
+    if (1 + least) * (head + tail + sum((Counter(x) & Counter(y)).values())) < least * (n + m) - 1e-9:
+        return 0.0  # too few k-mers in common in any order
     got = head + tail + common_subsequence(x, y, band)
     return got / (n + m - got)
 
@@ -212,6 +218,61 @@ def _apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
     return members.join(mixed, "bucket", "left_semi")
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo, hi, data, at in B.slices(b.column(b.schema.names.index("_text"))):
+            h, bounds = kmers(data, at)
+            flat = [occurrence_labelled(h[bounds[i] : bounds[i + 1]]) for i in range(hi - lo)]
+            flat = np.concatenate(flat) if flat else np.zeros(0, np.uint64)
+            bits = np.zeros((hi - lo, 64 * LONGS), np.uint8)
+            np.bitwise_xor.at(bits, (np.repeat(np.arange(hi - lo), np.diff(bounds)), (B.mix(flat) % np.uint64(64 * LONGS)).astype(np.int64)), 1)
+            longs = np.packbits(bits, axis=1).view(np.int64).ravel()
+            part = b.slice(lo, hi - lo)
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for at, x in ((bounds, flat.view(np.int64)), (np.arange(hi - lo + 1) * LONGS, longs))]
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("comp"), pa.array(np.diff(bounds), pa.int64()), *lists], ["node", "comp", "n", "_h", "_p"])
+
+
+def _possible(members: DataFrame, rows: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of members' nodes in different components that may align at `similarity`: none that does is missing.
+
+    L is at most the overlap of the labelled k-mers as sets, so a link needs an overlap of t = s / (1 + s) * (n + m). In any one order of
+    all k-mers (those of one component first, then the rarest), the first common one is among the first n - t + 1 of each text, and what
+    follows it must suffice for the rest of t. Per k-mer one side leaves out the largest component, and blocks bound what a task holds.
+    Bits in which the parities of two texts differ stand for at least as many k-mers that only one of them has.
+    """
+    spark = members.sparkSession
+    nodes = members.select("node", "comp").distinct()
+    left = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(f"_kept.{text_col}").cast("string"), F.lit("")).alias("_text")).join(nodes, "node").select("node", "comp", "_text")
+    left, left_path = C.written(left.mapInArrow(_labelled, "node bigint, comp bigint, n bigint, _h array<bigint>, _p array<bigint>"), "left-kmers")
+    each = left.select("node", "comp", "n", F.explode("_h").alias("h"))
+    counts = each.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h", "c")
+    several = each.join(counts, "h").groupBy("node").agg(F.first("comp").alias("comp"), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("c", "h"))).alias("_o"))
+    # The prefix of the longer text of a pair; that of the shorter one is checked below.
+    long = lambda n: n - F.ceil(similarity * n - 1e-9) + 1
+    short = lambda n: n - F.ceil(2 * similarity / (1 + similarity) * n - 1e-9) + 1
+    first = several.select("node", "comp", "n", F.posexplode("_o").alias("_i", "_x"), (F.col("n") - F.size("_o")).alias("_alone")).select("node", "comp", "n", (F.col("_alone") + F.col("_i")).alias("pos"), F.col("_x.h").alias("h")).filter(F.col("pos") < long(F.col("n")))
+    first, first_path = C.written(first, "prefixes")
+    by = first.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.max_by("comp", "c").alias("top")).filter("k > 1").select("h", "top", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
+    first = first.join(by, "h")
+    x = first.filter("comp != top").select("h", "top", *[F.col(c).alias(f"x_{c}") for c in ("node", "comp", "n", "pos")], F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_b"))
+    y = first.select("h", *[F.col(c).alias(f"y_{c}") for c in ("node", "comp", "n", "pos")], F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("_b"))
+    once = (F.col("y_comp") == F.col("top")) | (F.col("x_node") < F.col("y_node"))
+    lengths = F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n") - 1e-9
+    prefix = F.when(F.col("x_n") <= F.col("y_n"), F.col("x_pos") < short(F.col("x_n"))).otherwise(F.col("y_pos") < short(F.col("y_n")))
+    rest = F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) >= similarity / (1 + similarity) * (F.col("x_n") + F.col("y_n")) - 1e-9
+    # A number of partitions holds them apart: few bytes here are many comparisons.
+    pairs = x.repartition(C.parts(spark), "h", "_b").join(y.repartition(C.parts(spark), "h", "_b"), ["h", "_b"]).filter((F.col("x_comp") != F.col("y_comp")) & once & lengths & prefix & rest)
+    pairs = pairs.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
+    parities = C.small_or_not(left.select("node", "n", "_p"), C.BROADCAST_ROWS // 4)
+    pairs = pairs.join(parities.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("_p").alias("ap")), "a").join(parities.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("_p").alias("bp")), "b")
+    differ = sum((F.bit_count(F.get("ap", F.lit(i)).bitwiseXOR(F.get("bp", F.lit(i)))) for i in range(LONGS)), F.lit(0))
+    out, _ = C.written(pairs.filter(differ <= (1 - similarity) / (1 + similarity) * (F.col("an") + F.col("bn")) + 1e-9).select("a", "b"), "possible")
+    for path in (left_path, first_path):
+        C.drop_path(spark, path)
+    C.release(spark)
+    return out
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of docs: _kept (its columns), _row, class_id (the least id of its class), first (the one row that stands for the class)."""
     C.bounded_batches(docs.sparkSession)
@@ -227,25 +288,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     sketches, sketches_path = C.written(solid.select(F.col("_row").alias("node"), F.col("_n").alias("n"), "_sketch"), "sketches")
     shared, path = _shared(sketches.select(F.explode("_sketch").alias("bucket"), "node", "n"))
     links, tried, comp, spent = None, None, None, [path]
-    for turn in range(4):
-        if turn == 0:
-            members = shared.withColumn("comp", F.col("node"))
-        else:
-            members = _apart(shared, comp)
-        if turn == 2:  # finer buckets for those whom two centres didn't join: two sketches at once
-            left = members.select("node").distinct()
-            both = F.flatten(F.transform("_sketch", lambda x, i: F.transform(F.sequence(F.lit(1), F.lit(JOINT)), lambda j: F.xxhash64(x, F.get(F.col("_sketch"), (i + j) % F.size("_sketch"))))))
-            shared, path = _shared(sketches.join(left, "node", "left_semi").select(F.explode(both).alias("bucket"), "node", "n"))
-            spent.append(path)
-            members = _apart(shared, comp)
+    for turn in range(3):
+        members = shared.withColumn("comp", F.col("node")) if turn == 0 else _apart(shared, comp)
         members, path = C.written(members, "members")
         for old in spent:
             C.drop_path(docs.sparkSession, old)
         shared, spent = members.drop("comp"), [path]
-        order = F.col("node") if turn % 2 == 0 else F.xxhash64("node", F.lit(turn))
-        centre = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("c"))
-        pairs = members.join(centre, "bucket").filter(F.col("comp") != F.col("c.comp")).filter(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
-        pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        if turn < 2:
+            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+            centre = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("c"))
+            pairs = members.join(centre, "bucket").filter(F.col("comp") != F.col("c.comp")).filter(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
+            pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+        else:  # all that two centres didn't join, without a cap
+            pairs = _possible(members, rows, text_col, similarity)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs, _ = C.written(pairs, "pairs")

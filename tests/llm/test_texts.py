@@ -138,6 +138,50 @@ def test_classes(spark):
     assert len(kept) == len({c for v in got.values() for c in v}) and omh.deduplicated(frame(spark, [])).collect() == []
 
 
+def family(n, seed, words=700, own=10):
+    """n texts in pairs: a template with `own` words of a text's own, in the same places in both of a pair and in other places elsewhere."""
+    r, template, out = random.Random(seed), prose(words, seed).split(" "), []
+    for i in range(n // 2):
+        at = r.sample(range(2, words - 2, 5), own)
+        for side in "xy":
+            w = list(template)
+            for k in at:
+                w[k] = f"o{i}{side}{k}"
+            out.append(" ".join(w))
+    return out
+
+
+def brute_links(texts):
+    """All pairs that align at 0.8; only those whose labelled k-mers overlap enough as sets are aligned."""
+    import pyarrow as pa
+
+    each = []
+    for _, _, data, at in B.slices(pa.array(texts)):
+        h, bounds = omh.kmers(data, at)
+        each += [h[bounds[i] : bounds[i + 1]] for i in range(len(bounds) - 1)]
+    sets = [omh.occurrence_labelled(x) for x in each]
+    seen, times = np.unique(np.concatenate(sets), return_counts=True)
+    seen = seen[times > 1]
+    m = np.zeros((len(sets), len(seen)), np.float32)
+    for i, x in enumerate(sets):
+        m[i, np.searchsorted(seen, x[np.isin(x, seen)])] = 1
+    n = np.array([len(x) for x in sets])
+    both = m @ m.T
+    near = np.argwhere(np.triu(both >= 0.8 * (n[:, None] + n[None] - both) - 1e-3, 1))
+    return [(i, j) for i, j in near.tolist() if omh.aligned(each[i], each[j]) >= 0.8]
+
+
+def test_no_possible_pair_is_left_out(spark):
+    texts = family(300, 77)
+    links = brute_links(texts)
+    assert len(links) >= 150
+    rows = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    members = rows.selectExpr("doc_id AS node", "doc_id AS comp")
+    rows = rows.selectExpr("doc_id AS _row", "struct(*) AS _kept")
+    got = {(r.a, r.b) for r in omh._possible(members, rows, "text", 0.8).collect()}
+    assert got >= set(links) and len(got) < 300 * 299 / 2
+
+
 # Decontamination
 
 
