@@ -58,14 +58,14 @@ def choose_k(spark, sf):
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    """k, inertia, silhouette, ch, db for k = 2 .. 5."""
+    """k, inertia, silhouette, ch, db for k = 2 .. 12; the silhouette is over 1,000 skus by hash."""
     z = _z(spark, sf).cache()
     v = K.assembled(z, "sku", FEATURES)
     out = []
-    for k in range(2, 6):
+    for k in range(2, 13):
         c, inertia = K.kmeans(v, "sku", k, 2)
         p = z.join(c, "sku")
-        sil = K.silhouette(p, "sku", FEATURES, "cluster", 300).agg(F.avg("silhouette").alias("silhouette"))
+        sil = K.silhouette(p, "sku", FEATURES, "cluster", 1000).agg(F.avg("silhouette").alias("silhouette"))
         q = K.quality(p, FEATURES, "cluster")
         out.append(q.join(F.broadcast(sil)).select(F.lit(k).alias("k"), F.lit(inertia).alias("inertia"), "silhouette", F.col("calinski_harabasz").alias("ch"), F.col("davies_bouldin").alias("db")))
     return reduce(DataFrame.unionByName, out)

@@ -242,3 +242,17 @@ def test_grid_is_evaluated_whole(spark, monkeypatch):
     rows = models.boosted_grid_cv(spark, None).collect()
     assert {(r.iterations, r.depth, r.step) for r in rows} == set(models.GRID)
     assert sorted(fits) == sorted([*models.GRID] * 3)
+
+
+def test_sweep_is_whole(spark, monkeypatch):
+    from stockyard.plans import clustering
+
+    z = spark.createDataFrame([(i, 0.0) for i in range(3)], "sku int, x double")
+    ks, samples = [], []
+    monkeypatch.setattr(clustering, "_z", lambda *_: z)
+    monkeypatch.setattr(clustering.K, "assembled", lambda *_: z)
+    monkeypatch.setattr(clustering.K, "kmeans", lambda v, key, k, restarts: (ks.append(k), (z.select("sku", F.lit(0).alias("cluster")), 1.0))[1])
+    monkeypatch.setattr(clustering.K, "silhouette", lambda p, key, features, label, most: (samples.append(most), p.select(F.lit(0.5).alias("silhouette")))[1])
+    monkeypatch.setattr(clustering.K, "quality", lambda *_: spark.range(1).select(F.lit(1.0).alias("calinski_harabasz"), F.lit(1.0).alias("davies_bouldin")))
+    sweep = clustering.kmeans_sweep(spark, None)
+    assert ks == list(range(2, 13)) and set(samples) == {1000} and sweep.columns == ["k", "inertia", "silhouette", "ch", "db"]
