@@ -5,9 +5,8 @@ A sketch keeps, for one hash function, the `kept` smallest labelled k-mers in th
 it if they share those k-mers and their order: it follows edit similarity, not only sets. Texts of few k-mers have more, shorter sketches,
 since few k-mers leave few ways to agree in eight.
 
-Candidates meet in a bucket (one sketch's value). Each bucket compares its members with one of them (a star: a bucket of n has n - 1
-candidates, never n squared). Where verified links haven't joined all members, another star follows under another centre. What then still
-stands in a bucket with members of several components is compared without a cap: all pairs of those texts from different components whose
+Candidates meet in a bucket (one sketch's value). Each bucket compares its members with two of them (stars: a bucket of n has fewer than
+2 n candidates, never n squared). What then still stands in a bucket with members of several components is compared without a cap: all pairs of those texts from different components whose
 k-mers can overlap enough, found by length, prefix and position bounds that no pair at the similarity fails (see _possible). So no link
 between texts that meet in a bucket is lost. A candidate is a link if the alignment of the two k-mer sequences (longest common
 subsequence L) has L / (a + b - L) >= similarity. Classes are the connected components, found by alternating stars over written tables.
@@ -26,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from stockyard.llm import bytetext as B
 from stockyard.llm import common as C
@@ -155,7 +155,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _links(pairs: DataFrame, rows: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes that align, from their texts, as a table."""
+    """The pairs (a, b) of nodes that align, from their texts, as a table. The text of a node with many pairs goes to several tasks."""
 
     def check(batches):
         for b in batches:
@@ -171,51 +171,74 @@ def _links(pairs: DataFrame, rows: DataFrame, text_col: str, similarity: float)
             for i in range(hi - lo):
                 yield h[bounds[i] : bounds[i + 1]]
 
-    nodes, nodes_path = C.written(pairs.select(F.explode(F.array("a", "b")).alias("_row")).distinct(), "pair-nodes")
-    texts = rows.select("_row", F.coalesce(F.col(f"_kept.{text_col}").cast("string"), F.lit("")).alias("t")).join(C.small_or_not(nodes), "_row", "left_semi")
+    spark = pairs.sparkSession
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int").alias("_blocks")
+    nodes, nodes_path = C.written(pairs.select(F.explode(F.array("a", "b")).alias("_row")).groupBy("_row").agg(blocks), "pair-nodes")
+    texts = rows.select("_row", F.coalesce(F.col(f"_kept.`{text_col}`").cast("string"), F.lit("")).alias("t")).join(C.small_or_not(nodes), "_row")
     texts, texts_path = C.written(texts, "pair-texts")
-    both = pairs.join(texts.select(F.col("_row").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("_row").alias("b"), F.col("t").alias("tb")), "b")
+    heavy = C.small_or_not(nodes.filter("_blocks > 1"))
+    both = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        deal = F.pmod(F.xxhash64(other), F.coalesce("_blocks", F.lit(1))).cast("int").alias(f"_{side}")
+        both = both.join(heavy.withColumnRenamed("_row", side), side, "left").select(*both.columns, deal)
+    for side in ("a", "b"):
+        copies = texts.select(F.col("_row").alias(side), F.col("t").alias(f"t{side}"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias(f"_{side}"))
+        both = both.join(copies, [side, f"_{side}"])
     out, _ = C.written(both.select("a", "b", "ta", "tb").mapInArrow(check, "a bigint, b bigint"), "links")
     for path in (nodes_path, texts_path):
-        C.drop_path(pairs.sparkSession, path)
+        C.drop_path(spark, path)
     return out
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, comp) of all nodes in links (a, b): comp is the least node reached. Alternating large and small stars, a table a round."""
-    edges, path = C.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
+    """(node, comp) of all nodes in links (a, b): comp is the least node reached. Alternating large and small stars, a table a round.
+
+    It ends when the edges are stars: each node has one edge down and none up, or only edges up. Least neighbours are summed before the
+    shuffle; a hub's edges meet them by broadcast where a count allows it, else by a join that Spark splits if it is skewed.
+    """
+    edges, path = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v"), None
     for _ in range(rounds):
+        few = F.broadcast if edges.count() * 2 <= C.BROADCAST_ROWS else lambda df: df
         both = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = both.join(few(least), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
+        small = large.join(few(least), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         edges, new = C.written(small, "edges")
-        C.drop_path(links.sparkSession, path)
+        if path:
+            C.drop_path(links.sparkSession, path)
         path = new
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("down")))).alias("e")).select("e.*")
+        if ends.groupBy("x").agg(F.sum("down").alias("n"), F.min("down").alias("least")).filter("n > 1 OR n > 0 AND least = 0").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(edges.select("v", "v").distinct())
-        state = now
     raise RuntimeError(f"the components didn't settle in {rounds} rounds")
 
 
-def _shared(each: DataFrame) -> tuple[DataFrame, str]:
-    """The rows (bucket, node, n) of buckets that have two nodes or more, as a table, and its path."""
-    buckets, path = C.written(each, "buckets")
-    full = buckets.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
-    out, kept = C.written(buckets.join(full, "bucket", "left_semi"), "shared-buckets")
-    C.drop_path(each.sparkSession, path)
-    C.release(each.sparkSession)
-    return out, kept
+def _met(solid: DataFrame) -> DataFrame:
+    """(bucket, node, n, c1, c2) of buckets that have two nodes or more, as a table: c1 and c2 are the bucket's two centres, node and length."""
+    buckets, path = C.written(solid.select(F.explode("_sketch").alias("bucket"), "node", "n"), "buckets")
+    centre = lambda order: F.min(F.struct(order.alias("o"), "node", "n"))
+    centres = buckets.groupBy("bucket").agg(F.count("*").alias("c"), centre(F.col("node")).alias("c1"), centre(F.xxhash64("node")).alias("c2")).filter("c > 1").drop("c")
+    out, _ = C.written(buckets.join(centres, "bucket").select("bucket", "node", "n", *[F.struct(f"{c}.node", f"{c}.n").alias(c) for c in ("c1", "c2")]), "met-buckets")
+    C.drop_path(solid.sparkSession, path)
+    C.release(solid.sparkSession)
+    return out
+
 
+def _star_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of each bucket's members and its centres whose lengths allow a link."""
+    each = met.select("node", "n", F.explode(F.array("c1", "c2")).alias("c")).filter(F.col("node") != F.col("c.node")).filter(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
+    return each.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
-def _apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows of buckets whose nodes aren't all in one component, with their components."""
-    members = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+def _apart(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """(node, comp) of the nodes in buckets whose nodes aren't all in one component, as a table."""
+    members = met.select("bucket", "node").join(C.small_or_not(comp), "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = members.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("bucket")
-    return members.join(mixed, "bucket", "left_semi")
+    mixed, path = C.written(mixed, "mixed-buckets")
+    out, _ = C.written(members.join(C.small_or_not(mixed), "bucket", "left_semi").select("node", "comp").distinct(), "apart")
+    C.drop_path(met.sparkSession, path)
+    return out
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,17 +255,16 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("node"), part.column("comp"), pa.array(np.diff(bounds), pa.int64()), *lists], ["node", "comp", "n", "_h", "_p"])
 
 
-def _possible(members: DataFrame, rows: DataFrame, text_col: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of members' nodes in different components that may align at `similarity`: none that does is missing.
+def _possible(nodes: DataFrame, rows: DataFrame, text_col: str, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes (node, comp) in different components that may align at `similarity`: none that does is missing.
 
     L is at most the overlap of the labelled k-mers as sets, so a link needs an overlap of t = s / (1 + s) * (n + m). In any one order of
     all k-mers (those of one component first, then the rarest), the first common one is among the first n - t + 1 of each text, and what
     follows it must suffice for the rest of t. Per k-mer one side leaves out the largest component, and blocks bound what a task holds.
     Bits in which the parities of two texts differ stand for at least as many k-mers that only one of them has.
     """
-    spark = members.sparkSession
-    nodes = members.select("node", "comp").distinct()
-    left = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(f"_kept.{text_col}").cast("string"), F.lit("")).alias("_text")).join(nodes, "node").select("node", "comp", "_text")
+    spark = nodes.sparkSession
+    left = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(f"_kept.`{text_col}`").cast("string"), F.lit("")).alias("_text")).join(C.small_or_not(nodes), "node").select("node", "comp", "_text")
     left, left_path = C.written(left.mapInArrow(_labelled, "node bigint, comp bigint, n bigint, _h array<bigint>, _p array<bigint>"), "left-kmers")
     each = left.select("node", "comp", "n", F.explode("_h").alias("h"))
     counts = each.groupBy("h").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("h", "c")
@@ -275,49 +297,39 @@ def _possible(members: DataFrame, rows: DataFrame, text_col: str, similarity: fl
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """A row for each row of docs: _kept (its columns), _row, class_id (the least id of its class), first (the one row that stands for the class)."""
-    C.bounded_batches(docs.sparkSession)
-    kind = docs.select(F.struct(*docs.columns).alias("_kept")).schema.simpleString()[len("struct<") : -1]
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    src = docs.select(F.struct(*docs.columns).alias("_kept"), text.alias("_text"), F.md5(text.cast("binary")).alias("_key"))
-    rows, _ = C.written(src.mapInArrow(_sketched, f"{kind.replace('_kept:', '_kept ')}, _key string, _n bigint, _sketch array<bigint>").withColumn("_row", F.monotonically_increasing_id()), "sketched")
+    spark = docs.sparkSession
+    C.bounded_batches(spark)
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_kept"), text.alias("_text"), F.md5(text.cast("binary")).alias("_key"))
+    kinds = StructType([*src.drop("_text").schema.fields, StructField("_n", LongType()), StructField("_sketch", ArrayType(LongType()))])
+    rows, _ = C.written(src.mapInArrow(_sketched, kinds).withColumn("_row", F.monotonically_increasing_id()), "sketched")
     # Equal texts, summed before the shuffle; a text without a word is equal to any other such.
-    key = F.when(F.col("_n") == 0, "").otherwise(F.col("_key"))
-    reps, _ = C.written(rows.groupBy(key.alias("_key")).agg(F.min("_row").alias("node")), "texts")
+    key = F.when(F.col("_n") == 0, "").otherwise(F.col("_key")).alias("_key")
+    each = rows.select(key, F.col(f"_kept.`{id_col}`").alias("_id"), "_row")
+    reps, _ = C.written(each.groupBy("_key").agg(F.min("_row").alias("node"), F.min("_id").alias("_id"), F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("w")), "texts")
     # Tables that grow with the documents meet by shuffles at every size.
-    solid = rows.filter("_n > 0").select("_row", "_n", "_sketch").join(reps.select(F.col("node").alias("_row")), "_row", "left_semi")
-    sketches, sketches_path = C.written(solid.select(F.col("_row").alias("node"), F.col("_n").alias("n"), "_sketch"), "sketches")
-    shared, path = _shared(sketches.select(F.explode("_sketch").alias("bucket"), "node", "n"))
-    links, tried, comp, spent = None, None, None, [path]
-    for turn in range(3):
-        members = shared.withColumn("comp", F.col("node")) if turn == 0 else _apart(shared, comp)
-        members, path = C.written(members, "members")
-        for old in spent:
-            C.drop_path(docs.sparkSession, old)
-        shared, spent = members.drop("comp"), [path]
-        if turn < 2:
-            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            centre = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "n", "comp")).alias("c"))
-            pairs = members.join(centre, "bucket").filter(F.col("comp") != F.col("c.comp")).filter(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
-            pairs = pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
-        else:  # all that two centres didn't join, without a cap
-            pairs = _possible(members, rows, text_col, similarity)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = C.written(pairs, "pairs")
-        new = _links(pairs, rows, text_col, similarity)
-        C.release(docs.sparkSession)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = new if links is None else links.union(new)
-        if comp is None or not new.isEmpty():
-            comp, _ = C.written(components(links), "components")
-    for old in (*spent, sketches_path):
-        C.drop_path(docs.sparkSession, old)
-    least = rows.select(key.alias("_key"), F.col(f"_kept.{id_col}").alias("_id"), "_row").groupBy("_key").agg(F.min("_id").alias("_id"), F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("w"))
-    named = reps.join(least, "_key").join(comp, "node", "left").select("_key", F.coalesce("comp", "node").alias("comp"), "_id", "w")
-    named, _ = C.written(named, "named")
-    top = named.groupBy("comp").agg(F.min("_id").alias("class_id"), F.min("w").alias("w"))
-    of, _ = C.written(named.select("_key", "comp").join(top, "comp").select("_key", "class_id", F.col("w._row").alias("_first")), "classes")
-    return rows.select("_kept", "_row", key.alias("_key")).join(of, "_key").select("_kept", "_row", "class_id", (F.col("_row") == F.col("_first")).alias("first"))
+    solid = rows.filter("_n > 0").select(F.col("_row").alias("node"), F.col("_n").alias("n"), "_sketch").join(reps.select("node"), "node", "left_semi")
+    met = _met(solid)
+    pairs, path = C.written(_star_pairs(met, similarity), "pairs")
+    links = _links(pairs, rows, text_col, similarity)
+    comp, _ = C.written(components(links), "components")
+    C.drop_path(spark, path)
+    C.release(spark)
+    apart = _apart(met, comp)
+    # What two centres didn't join is compared without a cap.
+    found = _links(_possible(apart, rows, text_col, similarity), rows, text_col, similarity)
+    C.release(spark)
+    # Links between components: the components of components.
+    of = C.small_or_not(comp)
+    for side in ("a", "b"):
+        found = found.join(of.select(F.col("node").alias(side), F.col("comp").alias("_c")), side, "left").withColumn(side, F.coalesce("_c", side)).drop("_c")
+    top = components(C.written(found.distinct(), "component-links")[0]).withColumnRenamed("comp", "top").withColumnRenamed("node", "comp")
+    # A node of no link is its own component, also where a link between components names it.
+    of = reps.join(of, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(C.small_or_not(C.written(top, "tops")[0]), "comp", "left").withColumn("comp", F.coalesce("top", "comp"))
+    of, _ = C.written(of.select("_key", "comp", "_id", "w"), "named")
+    least = of.groupBy("comp").agg(F.min("_id").alias("class_id"), F.min("w").alias("w"))
+    of = of.select("_key", "comp").join(least, "comp").select("_key", "class_id", F.col("w._row").alias("_first"))
+    return rows.select("_kept", "_row", key).join(of, "_key").select("_kept", "_row", "class_id", (F.col("_row") == F.col("_first")).alias("first"))
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
