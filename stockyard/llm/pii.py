@@ -1,9 +1,11 @@
 """Personal data: plain patterns with checks, and spans that a BiLSTM-CRF adds.
 
-The tagger reads whole texts in windows of LENGTH characters, half overlapping; each character takes its tag from the window in which it
-stands nearest the middle, and spans are read off the joined tags, so a span may cross windows. Every span of any kind holds a digit,
-an @ or a bracket ("[at]"): a hard constraint of the decoder. A window without such a character therefore has one admissible path, all
-outside, and isn't evaluated; this changes no result. Added spans must pass their kind's check and mustn't touch a base span.
+The tagger reads whole texts in windows of LENGTH characters, half overlapping. A character's emissions are the mean of those of all
+windows over it, weighted by its distance from their ends, and one Viterbi pass goes over the whole text, so a span may cross windows.
+Every span of any kind holds a digit, an @ or a bracket ("[at]"), and its other characters are at most REACH characters from such a
+trigger: a hard constraint of the decoder. Where no trigger is so near, all ways are outside; windows that lie there altogether aren't
+evaluated, and the pass goes from one such place to the next; a test decodes with all windows and in one piece and gets the same tags.
+Added spans must pass their kind's check and mustn't touch a base span.
 """
 
 from __future__ import annotations
@@ -30,7 +32,10 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[list(b"0123456789@[(")] = True
+_HOT = np.zeros(tagger.CLASSES, bool)
+_HOT[[ord(c) - 31 for c in "0123456789@[("]] = True
 Span = tuple[int, int, int]  # start, kind, end
+REACH = 64
 
 
 def luhn(digits: str) -> bool:
@@ -98,10 +103,26 @@ def _passes(kind: int, text: str) -> bool:
     return is_phone(text) and len(_DIGIT.findall(text)) >= 10 and not re.search(r"[^0-9 ().+/-]", text)
 
 
-def window_starts(n: int) -> np.ndarray:
-    """Half-overlapping windows over n characters, the last as far as the end."""
-    step = tagger.LENGTH // 2
-    return np.arange(0, max(1, n - step), step)
+def reached(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which characters are within REACH of a trigger of their own text; texts lie end to end, with bounds `at`."""
+    hot = np.flatnonzero(_HOT[codes])
+    text = np.searchsorted(at, hot, "right") - 1
+    change = np.zeros(len(codes) + 1, np.int64)
+    np.add.at(change, np.maximum(hot - REACH, at[text]), 1)
+    np.add.at(change, np.minimum(hot + REACH + 1, at[text + 1]), -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def windows(codes: np.ndarray, at: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the half-overlapping windows of each text that hold a character of `near`."""
+    step, n = tagger.LENGTH // 2, np.diff(at)
+    number = np.where(n > 0, np.maximum(1, -(-(n - step) // step)), 0)
+    text = np.repeat(np.arange(len(n)), number)
+    lo = at[text] + step * (np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number))
+    hi = np.minimum(lo + tagger.LENGTH, at[text + 1])
+    seen = np.concatenate([[0], np.cumsum(near)])
+    some = seen[hi] > seen[lo]
+    return lo[some], hi[some]
 
 
 class Tagger:
@@ -112,28 +133,38 @@ class Tagger:
 
     def tags(self, texts: list[str]) -> list[np.ndarray]:
         """One tag per character of each text."""
+        if not texts:
+            return []
         codes = [tagger.classes(t) for t in texts]
-        out = [np.zeros(len(c), np.int8) for c in codes]
-        todo: list[tuple[int, int, int, int]] = []
-        hot = np.zeros(tagger.CLASSES, bool)
-        hot[[ord(c) - 31 for c in "0123456789@[("]] = True
-        half, quarter = tagger.LENGTH // 2, tagger.LENGTH // 4
-        for k, c in enumerate(codes):
-            seen = np.concatenate([[0], np.cumsum(hot[c])])
-            starts = window_starts(len(c))
-            ends = np.minimum(starts + tagger.LENGTH, len(c))
-            for lo, hi in zip(starts[m := seen[ends] > seen[starts]].tolist(), ends[m].tolist(), strict=True):
-                todo.append((k, lo, hi, len(c)))
-        for at in range(0, len(todo), self.batch):
-            part = todo[at : at + self.batch]
-            x = np.zeros((len(part), tagger.LENGTH), np.uint8)
-            for row, (k, lo, hi, _) in enumerate(part):
-                x[row, : hi - lo] = codes[k][lo:hi]
-            got = tagger.decode(self.weights, x)
-            for row, (k, lo, hi, n) in enumerate(part):
-                a, b = lo + quarter if lo else 0, n if hi == n else lo + half + quarter
-                out[k][a:b] = got[row, a - lo : b - lo]
-        return out
+        at = np.cumsum([0, *map(len, codes)])
+        flat = np.concatenate([np.zeros(0, np.uint8), *codes])
+        out = np.zeros(len(flat), np.int8)
+        near = reached(flat, at)
+        if near.any():
+            # Emissions of the characters that may stand in a span, one row each.
+            row = np.cumsum(near) - 1
+            total, weight = np.zeros((row[-1] + 1, tagger.TAGS), np.float32), np.zeros(row[-1] + 1, np.float32)
+            lo, hi = windows(flat, at, near)
+            x = np.arange(tagger.LENGTH)
+            for parity in (0, 1):  # windows of one parity don't overlap
+                for k in range(parity, len(lo), 2 * self.batch):
+                    a, b = lo[k : k + 2 * self.batch : 2], hi[k : k + 2 * self.batch : 2]
+                    where = a[:, None] + x
+                    inside = where < b[:, None]
+                    e = tagger.emissions(self.weights, np.where(inside, flat[np.where(inside, where, 0)], 0).astype(np.uint8))[0].transpose(1, 0, 2)
+                    tri = np.minimum(x + 1, (b - a)[:, None] - x).astype(np.float32)
+                    inside[inside] = near[where[inside]]
+                    to = row[where[inside]]
+                    np.add.at(total, to, e[inside] * tri[inside][:, None])
+                    np.add.at(weight, to, tri[inside])
+            edge = np.flatnonzero(np.diff(near.astype(np.int8), prepend=0, append=0))
+            cuts = np.unique(np.concatenate([edge, at]))
+            starts, ends = cuts[:-1], cuts[1:]
+            starts, ends = starts[near[starts]], ends[near[starts]]
+            first, last = np.isin(starts, at), np.isin(ends, at)
+            tags = tagger.best_paths(self.weights, total / weight[:, None], row[starts], ends - starts, first, last)
+            out[near] = tags
+        return np.split(out, at[1:-1])
 
     def added(self, text: str, tags: np.ndarray, base: list[Span]) -> list[Span]:
         out: list[Span] = []

@@ -220,17 +220,40 @@ def trained(hidden: int = 16, steps: int = 320, rows: int = 64, seed: int = 7) -
 
 def decode(p: dict, x: np.ndarray) -> np.ndarray:
     """The best tags (rows, time) of windows of classes."""
-    e = emissions(p, x)[0]
+    n, t_max = x.shape
+    e = emissions(p, x)[0].transpose(1, 0, 2).reshape(n * t_max, TAGS)
+    whole = np.ones(n, bool)
+    return best_paths(p, e, np.arange(n) * t_max, np.full(n, t_max), whole, whole).reshape(n, t_max)
+
+
+def best_paths(p: dict, e: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, last: np.ndarray, cells: int = 1 << 19) -> np.ndarray:
+    """The best tags of the stretches e[start : start + size] of emissions, end to end in the stretches' order.
+
+    A stretch begins (ends) a text where `first` (`last`) says so; elsewhere outside characters stand before (after) it. Stretches of
+    like length are searched together, some `cells` characters at a time.
+    """
     tr = p["trans"] + ALLOWED
-    t_max, n, _ = e.shape
-    score, back = e[0] + _START, np.zeros((t_max, n, TAGS), np.int8)
-    for t in range(1, t_max):
-        a = score[:, :, None] + tr[None]
-        back[t] = a.argmax(1)
-        score = a.max(1) + e[t]
-    tags = np.empty((n, t_max), np.int8)
-    tags[:, -1] = score.argmax(1)
-    rows = np.arange(n)
-    for t in range(t_max - 1, 0, -1):
-        tags[:, t - 1] = back[t][rows, tags[:, t]]
-    return tags
+    to = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(to[-1], np.int8)
+    by = np.argsort(sizes, kind="stable")
+    at = 0
+    while at < len(by):
+        n = 1
+        while at + n < len(by) and (n + 1) * sizes[by[at + n]] <= cells:
+            n += 1
+        part = by[at : at + n]
+        at += n
+        size, t_max = sizes[part], int(sizes[part].max())
+        score = e[starts[part]] + np.where(first[part, None], _START, tr[0])
+        back = np.zeros((t_max, n, TAGS), np.int8)
+        for t in range(1, t_max):
+            live = size > t
+            a = score[live][:, :, None] + tr[None]
+            back[t, live] = a.argmax(1)
+            score[live] = a.max(1) + e[starts[part[live]] + t]
+        tag = (score + np.where(last[part, None], 0, tr[:, 0])).argmax(1)
+        for t in range(t_max - 1, -1, -1):
+            live = size > t
+            out[to[part[live]] + t] = tag[live]
+            tag = np.where(live, back[t][np.arange(n), tag], tag)
+    return out

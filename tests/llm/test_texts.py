@@ -260,10 +260,51 @@ def test_windows_cover_and_agree():
     assert (m.tags([t])[0] == whole).all()
 
 
-def test_windows_without_a_trigger_change_nothing():
-    """The constraint as a check: evaluated or not, a window of plain prose gives no span."""
+def plain_tags(weights, text):
+    """All windows, and one search over the whole text: emissions of tags other than outside count only near a trigger."""
+    c, half = tagger.classes(text), tagger.LENGTH // 2
+    total, weight = np.zeros((len(c), tagger.TAGS)), np.zeros(len(c))
+    for lo in range(0, max(1, len(c) - half), half):
+        x = np.zeros((1, tagger.LENGTH), np.uint8)
+        n = min(tagger.LENGTH, len(c) - lo)
+        x[0, :n] = c[lo : lo + n]
+        tri = np.minimum(np.arange(n) + 1, n - np.arange(n))
+        total[lo : lo + n] += tagger.emissions(weights, x)[0][:n, 0] * tri[:, None]
+        weight[lo : lo + n] += tri
+    e = total / weight[:, None]
+    hot = [k for k, x in enumerate(text) if x in "0123456789@[("]
+    far = np.array([all(abs(k - h) > pii.REACH for h in hot) for k in range(len(c))])
+    e[far, 1:] = -1e6
+    tr = weights["trans"] + tagger.ALLOWED
+    score, back = e[0] + tagger._START, []
+    for x in e[1:]:
+        a = score[:, None] + tr
+        back.append(a.argmax(0))
+        score = a.max(0) + x
+    tags = [int(score.argmax())]
+    for b in reversed(back):
+        tags.append(int(b[tags[-1]]))
+    return np.array(tags[::-1])
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_windows_that_are_left_out_change_nothing(seed):
+    """Texts with and without spans, and spans longer than half a window, against a decoder that leaves nothing out."""
+    m, r = pii.Tagger(tagger.trained()), random.Random(seed)
+    some = [tagger._personal(r)[0] for _ in range(3)] + ["jo [at] mail.engineering.university.department.of.letters.example.org", "(555) 123-4567", " - ".join(["4417"] * 14)]
+    texts = [prose(r.randint(0, 60), seed * 9 + k) + " " + r.choice(some) + " " + prose(r.randint(0, 90), seed * 9 + k + 5) for k in range(4)] + ["7", prose(40, seed)]
+    got = m.tags(texts)
+    assert sum(int(g.any()) for g in got) >= 2
+    for t, g in zip(texts, got, strict=True):
+        assert (g == plain_tags(m.weights, t)).all()
+
+
+def test_spans_that_the_generator_does_not_make():
+    """Hosts, names and numbers from outside the generator's lists."""
     m = pii.Tagger(tagger.trained())
-    assert not m.tags([prose(500, 13)])[0].any()
+    some = ["write to maria.lopez [at] bakery-shop.example [dot] org please", "call (415) 555-0132 after noon", "my number is 415-555-0198 thanks", "server 10[.]20[.]30[.]40 is down", "reach bob_smith (at) hospital.example (dot) net today", "card 4539.1488.0343.6467 was charged"]
+    found = [bool(pii.find([t], m)[0][1]) for t in some]
+    assert sum(found) >= 5, list(zip(some, found))
 
 
 def test_detect_and_redact(spark):
