@@ -1,13 +1,16 @@
 """Benchmark decontamination by templates, with DataFrame and SQL functions only.
 
 A text becomes canonical tokens: words in lower case without outer punctuation, with numbers, units after numbers and names (capitalised
-words inside a sentence) replaced by typed placeholders. Every window of `window` canonical tokens of the documents is hash-joined with the
-benchmark's windows. Hits of a document and an item on one diagonal (document position less item position) are one alignment; it is a leak
-if its windows cover `share` of the item's tokens, and if its slots are consistent: what an item puts in a slot of one type always meets
-one and the same value in the document (the same question with other numbers is caught, a chance match of placeholders is not).
-
-Nulls and empty texts have no windows; an item or document shorter than a window is one window of its own length, so only an equal text
-meets it. Repeated rows and equal ids: the documents' ids name the result, all rows of an id that leaks are meant. Other columns are not read.
+words, wherever they stand) replaced by typed placeholders; names with nothing but a space between are one, so "Anna" meets "Mary Ann". Every window of
+`window` canonical tokens of the documents is hash-joined with the benchmark's windows that hold a word. Hits of a document and an item
+are one alignment if they lie on one diagonal (document position less item position), or on several within a band of BAND shifts (words
+put in or left out). An alignment is a leak if its windows cover `share` of the item's tokens, and if its slots are consistent: what an
+item puts in a slot always meets one and the same value in the document, and two names of an item never meet one name (two numbers may,
+by chance). So the same question with other names and numbers is caught, and a chance match of placeholders is not.
+
+Whether a text leaks follows from the text alone, so texts are called by their MD5: a row with a null id is judged by its own text, and
+all rows of an id that leaks are meant. Null and empty texts have no windows; an item or document shorter than a window is one window of its own length, so only an
+equal text meets it; an item of placeholders only has none. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,21 +20,27 @@ from pyspark.sql import functions as F
 
 from stockyard.llm import common as C
 
-WINDOW, SHARE = 6, 0.5
+WINDOW, SHARE, BAND = 6, 0.5, 16
+_NAME = "\u0001n"
 #: Units that become a placeholder after a number.
 UNITS = "kg g mg km m cm mm mi mile miles ft feet inch inches l ml s sec secs second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents pound pounds".split()
 SPACE = r"[\x20\x09-\x0D]+"
 _NUMBER = r"(?<![\p{L}\p{N}])[-+$€£]?\p{N}+(?:[.,:/]\p{N}+)*"
 
 
+def _unmarked(text: Column) -> Column:
+    """Without the control characters that mark placeholders here; null is empty."""
+    return F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002\u0003", "")
+
+
 def raw_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda t: t != "")
+    return F.filter(F.split(_unmarked(text), SPACE), lambda t: t != "")
 
 
 def canonical(text: Column) -> Column:
-    """The canonical text: as many tokens as raw_tokens(text), one space between them."""
-    t = F.regexp_replace(F.concat(F.lit(" "), F.coalesce(text, F.lit("")), F.lit(" ")), SPACE, " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;:)] )\p{Lu}\p{Ll}[\p{L}'’-]*", "\u0001n")  # names: no sentence end before
+    """The canonical text before runs of names are one: as many tokens as raw_tokens(text), one space between them."""
+    t = F.regexp_replace(F.concat(F.lit(" "), _unmarked(text), F.lit(" ")), SPACE, " ")
+    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}[\p{L}'’-]*", _NAME)
     t = F.regexp_replace(t, rf"(?<= )\p{{P}}*{_NUMBER}(%|(?:[\p{{L}}°]*))(?= |\p{{P}})", "\u0001d$1")
     t = F.regexp_replace(t, rf"(?<=\u0001d )(?:{'|'.join(UNITS)})(?= |\p{{P}})", "\u0001u")
     return F.trim(F.lower(t))
@@ -42,67 +51,103 @@ def _bare(tokens: Column) -> Column:
     return F.transform(tokens, lambda w: F.coalesce(F.nullif(F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""), F.lit("")), w))
 
 
-def canonical_tokens(text: Column) -> Column:
+def canonical_tokens(text: Column, fold: bool = True) -> Column:
     c = canonical(text)
+    if fold:
+        c = F.regexp_replace(c, rf"(?<={_NAME}) {_NAME}", "")
     # One pass over the text drops punctuation at token ends, far cheaper than one per token; a token of nothing else keeps its first sign.
     c = F.regexp_replace(c, r"(?<=[\p{L}\p{N}])[\p{P}\p{S}]+(?= |$)|(?<= )[\p{P}\p{S}]+(?=[\p{L}\p{N}\u0001])|^[\p{P}\p{S}]+(?=[\p{L}\p{N}\u0001])", "")
     return F.filter(F.split(c, " "), lambda t: t != "")
 
 
-def windows(df: DataFrame, id_col: str, text_col: str, window: int, prefix: str) -> DataFrame:
-    """A row for each window: {prefix}_id, {prefix}_pos, {prefix}_n (tokens of the text), hash."""
-    d = df.select(F.col(id_col).alias(f"{prefix}_id"), canonical_tokens(F.col(text_col)).alias("_t"))
+def slot_tokens(text: Column) -> Column:
+    """The raw tokens that stand beside canonical_tokens(text), without outer punctuation; a run of names is one of them."""
+    mark = lambda c, r: F.concat(F.when(c.startswith(_NAME), "\u0001").otherwise(""), r, F.when(c.endswith(_NAME), "\u0003").otherwise(""))
+    marked = F.array_join(F.zip_with(F.filter(F.split(canonical(text), " "), lambda t: t != ""), _bare(raw_tokens(text)), mark), " ")
+    return F.filter(F.split(F.translate(F.regexp_replace(marked, "\u0003 \u0001", "\u0002"), "\u0001\u0003", ""), " "), lambda t: t != "")
+
+
+def _texts(df: DataFrame, text_col: str, key: str) -> DataFrame:
+    """(key, text): a text called by its MD5; no nulls."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return df.select(F.md5(text.cast("binary")).alias(key), text.alias("_text")).filter("_text IS NOT NULL")
+
+
+def windows(texts: DataFrame, window: int, prefix: str, words_only: bool = False) -> DataFrame:
+    """A row for each window of (`{prefix}_id`, _text): {prefix}_id, {prefix}_n (tokens of the text), {prefix}_pos, hash."""
+    d = texts.select(f"{prefix}_id", canonical_tokens(F.col("_text")).alias("_t"))
     d = d.withColumn(f"{prefix}_n", F.size("_t")).filter(F.col(f"{prefix}_n") > 0)
+    if words_only:
+        d = d.withColumn("_word", F.transform("_t", lambda t: ~t.startswith("\u0001")))
     hashes = F.transform("_t", lambda t: F.xxhash64(t))
-    d = d.select(f"{prefix}_id", f"{prefix}_n", hashes.alias("_h"))
+    d = d.select(f"{prefix}_id", f"{prefix}_n", hashes.alias("_h"), *(["_word"] if words_only else []))
     slots = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(f"{prefix}_n") - window))
     each = F.transform(slots, lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(window)]))
-    return d.select(f"{prefix}_id", f"{prefix}_n", F.posexplode(each).alias(f"{prefix}_pos", "hash"))
-
-
-def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """(d_id, i_id, shift, first, last, covered): diagonals whose windows cover `share` of the item's tokens."""
-    bench = C.small_or_not(C.written(windows(items, "item_id", "text", window, "i"), "bench-windows")[0])
-    hits = windows(docs, "doc_id", "text", window, "d").join(bench, "hash")
-    diag = hits.groupBy("d_id", "i_id", "i_n", (F.col("d_pos") - F.col("i_pos")).alias("shift")).agg(F.array_sort(F.collect_set("i_pos")).alias("ps"))
+    out = d.select(f"{prefix}_id", f"{prefix}_n", *(["_word"] if words_only else []), F.posexplode(each).alias(f"{prefix}_pos", "hash"))
+    return out.filter(F.array_contains(F.slice("_word", F.col(f"{prefix}_pos") + 1, window), True)).drop("_word") if words_only else out
+
+
+def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, band: int = BAND) -> DataFrame:
+    """(d_id, i_id, i_n, hits, covered) of (d_id, _text) and (i_id, _text): diagonals and bands whose windows cover `share` of the item's tokens."""
+    bench = C.small_or_not(C.written(windows(items, window, "i", True), "bench-windows")[0])
+    hits = windows(docs, window, "d").join(bench, "hash").select("d_id", "i_id", "i_n", "i_pos", (F.col("d_pos") - F.col("i_pos")).alias("shift"))
+    # Two bands for each shift, so that any two shifts less than half a band apart share one.
+    ways = F.array(*[F.struct(F.lit(k).alias("way"), at.alias("at")) for k, at in enumerate((F.col("shift"), F.floor(F.col("shift") / band).cast("int"), F.floor((F.col("shift") + band // 2) / band).cast("int")))])
+    each = hits.select("d_id", "i_id", "i_n", F.struct("i_pos", "shift").alias("hit"), F.explode(ways).alias("w"))
+    found = each.groupBy("d_id", "i_id", "i_n", "w").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    found = found.filter((F.col("w.way") == 0) | F.exists("hits", lambda h: h["shift"] != F.get(F.col("hits"), F.lit(0))["shift"]))
     # Tokens covered: each window adds those past the end of the window before it.
     one = F.least(F.lit(window), F.col("i_n"))
-    gaps = F.aggregate("ps", F.lit(0), lambda s, _: s, lambda s: s)  # keeps the type int
-    covered = F.aggregate(F.transform("ps", lambda p, k: F.least(one, F.when(k == 0, one).otherwise(p - F.get(F.col("ps"), k - 1)))), gaps, lambda s, x: s + x)
-    return diag.withColumn("covered", covered).filter(F.col("covered") >= F.ceil(share * F.col("i_n"))).select("d_id", "i_id", "i_n", "shift", F.array_min("ps").alias("first"), (F.array_max("ps") + one).alias("last"), "covered")
-
-
-def _slots(raw: Column, canon: Column, at: Column, n: Column) -> tuple[Column, Column]:
-    return F.slice(raw, at + 1, n), F.slice(canon, at + 1, n)
-
-
-def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
-    """(doc_id, item_id, covered, n_item_tokens, n_slots, exact): each leak once, its best diagonal; exact if all slots keep their values."""
-    found, _ = C.written(alignments(docs, items, window, share), "alignments")
-    ids = C.small_or_not(C.written(found.select("d_id").distinct(), "aligned-ids")[0])
-    d = docs.select(F.col("doc_id").alias("d_id"), F.col("text").alias("_dt")).join(ids, "d_id", "left_semi").select("d_id", canonical_tokens(F.col("_dt")).alias("_dc"), _clean_raw("_dt").alias("_dr"))
-    i = items.select(F.col("item_id").alias("i_id"), canonical_tokens(F.col("text")).alias("_ic"), _clean_raw("text").alias("_ir"))
-    both = found.join(d, "d_id").join(C.small_or_not(i), "i_id")
-    n = F.col("last") - F.col("first")
-    dr, dc = _slots(F.col("_dr"), F.col("_dc"), F.col("first") + F.col("shift"), n)
-    ir, ic = _slots(F.col("_ir"), F.col("_ic"), F.col("first"), n)
-    zipped = F.arrays_zip(ir.alias("i"), dr.alias("d"), ic.alias("ic"), dc.alias("dc"))
-    slots = F.filter(zipped, lambda z: z["ic"].startswith("\u0001") & (z["ic"] == z["dc"]))
-    pairs = F.array_distinct(F.transform(slots, lambda z: F.struct(z["ic"].alias("kind"), z["i"].alias("i"), z["d"].alias("d"))))
-    values = F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["i"])))
-    checked = both.select("d_id", "i_id", "i_n", "covered", F.size(slots).alias("n_slots"), (F.size(pairs) == F.size(values)).alias("consistent"), F.forall(pairs, lambda p: p["i"] == p["d"]).alias("exact")).filter("consistent")
-    best = checked.groupBy("d_id", "i_id").agg(F.max(F.struct("covered", "exact", "i_n", "n_slots")).alias("b"))
-    return best.select(F.col("d_id").alias("doc_id"), F.col("i_id").alias("item_id"), F.col("b.covered").cast("bigint").alias("covered"), F.col("b.i_n").cast("bigint").alias("n_item_tokens"), F.col("b.n_slots").cast("bigint").alias("n_slots"), F.col("b.exact").alias("exact"))
-
-
-def _clean_raw(text: str) -> Column:
-    return _bare(raw_tokens(F.col(text)))
-
-
-def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose id has no leak."""
-    bad, _ = C.written(leaks(docs, items, **options).select("doc_id").distinct(), "leaking-ids")
-    return docs.join(C.small_or_not(bad), "doc_id", "left_anti").select(*docs.columns)
+    gaps = F.transform("hits", lambda h, k: F.least(one, F.when(k == 0, one).otherwise(h["i_pos"] - F.get(F.col("hits"), k - 1)["i_pos"])))
+    found = found.withColumn("covered", F.aggregate(gaps, F.lit(0), lambda s, x: s + x))
+    return found.filter(F.col("covered") >= F.ceil(share * F.col("i_n"))).select("d_id", "i_id", "i_n", "hits", "covered")
+
+
+def _leaking(docs: DataFrame, items: DataFrame, text_col: str, window: int, share: float) -> DataFrame:
+    """(d_id, i_id, b): texts that leak, with the best alignment's covered, exact, i_n and n_slots, as a table."""
+    d, i = _texts(docs, text_col, "d_id"), _texts(items, "text", "i_id").distinct()
+    found, path = C.written(alignments(d, i, window, share), "alignments")
+    ids, ids_path = C.written(found.select("d_id").distinct(), "aligned-texts")
+    d = d.join(C.small_or_not(ids), "d_id", "left_semi").dropDuplicates(["d_id"]).select("d_id", canonical_tokens(F.col("_text")).alias("_dc"), slot_tokens(F.col("_text")).alias("_dr"))
+    i = i.select("i_id", canonical_tokens(F.col("_text")).alias("_ic"), slot_tokens(F.col("_text")).alias("_ir"))
+    both = found.join(d, "d_id").join(i, "i_id")
+    names = ("ic", "ir", "dc", "dr")
+
+    def beside(h):
+        return F.arrays_zip(*[F.slice(f"_{c}", (h["i_pos"] if c[0] == "i" else h["i_pos"] + h["shift"]) + 1, window).alias(c) for c in names])
+
+    slots = F.filter(F.flatten(F.transform("hits", beside)), lambda z: z["ic"].startswith("\u0001") & (z["ic"] == z["dc"]))
+    pairs = F.array_distinct(F.transform(slots, lambda z: F.struct(z["ic"].alias("kind"), F.lower(z["ir"]).alias("i"), F.lower(z["dr"]).alias("d"))))
+    both = both.select("d_id", "i_id", "i_n", "covered", pairs.alias("pairs"))
+    of = lambda side, some=None: F.size(F.array_distinct(F.transform(F.filter("pairs", some) if some else F.col("pairs"), lambda p: F.struct(p["kind"], p[side]))))
+    named = lambda p: p["kind"] == _NAME
+    one_way, back = F.size("pairs") == of("i"), F.size(F.filter("pairs", named)) == of("d", named)
+    checked = both.filter(one_way & back).select("d_id", "i_id", "i_n", "covered", F.size("pairs").alias("n_slots"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("exact"))
+    out, _ = C.written(checked.groupBy("d_id", "i_id").agg(F.max(F.struct("covered", "exact", "i_n", "n_slots")).alias("b")), "leaking-texts")
+    for p in (path, ids_path):
+        C.drop_path(docs.sparkSession, p)
+    return out
+
+
+def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, covered, n_item_tokens, n_slots, exact): each leak once, its best alignment; exact if all slots keep their values.
+
+    n_slots counts pairs of an item's and a document's value. A null doc_id or item_id is an id like any other.
+    """
+    found = C.small_or_not(_leaking(docs, items, text_col, window, share))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")).alias("d_id"))
+    i = items.select("item_id", F.md5(F.col("text").cast("string").cast("binary")).alias("i_id"))
+    best = d.join(found, "d_id").join(i, "i_id").groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
+    return best.select("doc_id", "item_id", *[F.col(f"b.{c}").cast("bigint").alias(n) for c, n in (("covered", "covered"), ("i_n", "n_item_tokens"), ("n_slots", "n_slots"))], F.col("b.exact").alias("exact"))
+
+
+def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has no leak, nor that of another row with their (not null) id; all columns of docs."""
+    key = F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))
+    texts, _ = C.written(_leaking(docs, items, text_col, window, share).select(F.col("d_id").alias("_leaking_text")).distinct(), "leaking")
+    texts = C.small_or_not(texts)
+    ids, _ = C.written(docs.join(texts, key == F.col("_leaking_text"), "left_semi").select(F.col(f"`{id_col}`").alias("_leaking_id")).distinct(), "leaking-ids")
+    return docs.join(texts, key == F.col("_leaking_text"), "left_anti").join(C.small_or_not(ids), F.col(f"`{id_col}`") == F.col("_leaking_id"), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,10 +209,77 @@ def test_inconsistent_slots(spark):
 
 
 def test_canonical_tokens_stand_beside_raw_ones(spark):
-    texts = ["A b, C d. Paul e 5kg 7 kg! $3.50 -- x) (y 12:30. “q” 50% end", prose(80, 9), "# | ++ a", "...", "Don’t stop Mary’s 3rd"]
+    texts = ["A b, C d. Paul e 5kg 7 kg! $3.50 -- x) (y 12:30. “q” 50% end", prose(80, 9), "# | ++ a", "...", "Don’t stop Mary’s 3rd", "Well. Mary Ann (Bob Lee), Eve Tom5 Jo Ann! \x01n Al \x03 Bo"]
     df = frame(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    for r in df.select("text", D.canonical_tokens(df.text).alias("c"), D.raw_tokens(df.text).alias("r")).collect():
+    for r in df.select("text", D.canonical_tokens(df.text, False).alias("c"), D.raw_tokens(df.text).alias("r"), D.canonical_tokens(df.text).alias("fc"), D.slot_tokens(df.text).alias("fr")).collect():
         assert len(r.c) == len(r.r), (r.c, r.r)
+        assert len(r.fc) == len(r.fr), (r.fc, r.fr)
+
+
+def test_names_and_ids(spark):
+    """Names of another number of words, names at sentence starts, words put in, null ids, two names that meet one."""
+    item = "Tom has 5 apples. Anna eats 2 of them. Tom buys 4 more. How many are left?"
+    long = " ".join(f"w{k}" for k in range(59))
+    w = long.split(" ")
+    b = spark.createDataFrame([(1, item), (2, long), (None, "a farmer called Tom sold 48 clips to Anna and then half as many clips in May")], "item_id bigint, text string")
+    docs = [
+        (1, "Well. Mary Ann has 7 apples. Bob eats 3 of them. Mary Ann buys 9 more. How many are left?", "s"),
+        (None, "x y z " + item, "s"),
+        (3, " ".join([*w[:20], "new", *w[20:40], "other", *w[40:]]), "s"),
+        (4, "Eve has 7 apples. Eve eats 3 of them. Eve buys 9 more. How many are left?", "s"),
+        (5, "a farmer called Mary Jo sold 12 clips to Bob and then half as many clips in June", "s"),
+        (None, "nothing here", "s"), (None, None, "s"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in D.leaks(frame(spark, docs), b).collect()}
+    assert got == {(1, 1), (None, 1), (3, 2), (5, None)}
+    left = D.decontaminated(frame(spark, docs), b).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(d[0]), str(d[1])) for d in (docs[3], docs[5], docs[6]))
+
+
+def plain_leaks(docs, items, window, share):
+    """All windows of all pairs of a document and an item, from canonical and slot tokens."""
+    out = set()
+    for d, (dc, dr) in docs.items():
+        for i, (ic, ir) in items.items():
+            size, n = min(window, len(ic)), len(ic)
+            if len(ic) < window or len(dc) < window:
+                if dc == ic and any(t[0] != "\x01" for t in ic):
+                    ways = {0: [(0, 0)]}
+                else:
+                    continue
+            else:
+                hits = [(p, q - p) for p in range(n - window + 1) for q in range(len(dc) - window + 1) if ic[p : p + window] == dc[q : q + window] and any(t[0] != "\x01" for t in ic[p : p + window])]
+                ways = defaultdict(list)
+                for p, s in hits:
+                    for key in ((0, s), (1, s // D.BAND), (2, (s + D.BAND // 2) // D.BAND)):
+                        ways[key].append((p, s))
+            for hs in ways.values():
+                if len({p + k for p, _ in hs for k in range(size)}) < -(-share * n // 1):
+                    continue
+                pairs = {(ic[p + k], ir[p + k].lower(), dr[p + k + s].lower()) for p, s in hs for k in range(size) if ic[p + k][0] == "\x01"}
+                names = {x for x in pairs if x[0] == D._NAME}
+                if len({x[:2] for x in pairs}) == len(pairs) and len({x[2] for x in names}) == len(names):
+                    out.add((d, i))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaks_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    some = ["red", "blue", "Tom", "Anna", "Bob", "5", "7", "12", "km", "goes", "to"]
+    words = lambda n: [r.choice(some) for _ in range(n)]
+    items = [(i, " ".join(words(r.randint(2, 30)))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = r.choice(items)[1].split(" ")
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice(([], [r.choice(some)], [w[k], r.choice(some)]))
+        docs.append((d, " ".join(words(r.randint(0, 8)) + w + words(r.randint(0, 8)))))
+    told = lambda df: {r[0]: (r[1], r[2]) for r in df.select(df.columns[0], D.canonical_tokens(df.text), D.slot_tokens(df.text)).collect()}
+    i, d = spark.createDataFrame(items, "item_id bigint, text string"), spark.createDataFrame(docs, "doc_id bigint, text string")
+    want = plain_leaks(told(d), told(i), 4, 0.5)
+    assert {(x.doc_id, x.item_id) for x in D.leaks(d, i, window=4).collect()} == want and 5 < len(want) < 600
 
 
 # Personal data
