@@ -1,7 +1,7 @@
 """Quality rules: per-document counts, and the frequency of normalised lines among a host's documents.
 
-A line (words lower-cased in A-Z, digits made 0, single spaces) that more than `limit` documents of a host have, and a `share` of them
-at least, is boilerplate: it goes from all but one of them (the one with the least doc_id). A document left with less than `depleted`
+A line (words lower-cased in A-Z, digits made 0, single spaces) that more than `limit` documents of a host have is boilerplate, whatever
+the size of the host: it goes from all but one of them (the one with the least doc_id, so the corpus keeps one copy of what it says). A document left with less than `depleted`
 of its words is rejected, as is one that fails the base rules.
 
 Nulls: a null text has no word (and so fails the base rules), a null host is a host of its own. Repeated rows are documents of their
@@ -16,11 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stockyard.llm import bytetext as B
 from stockyard.llm import common as C
 
-LIMIT, SHARE, DEPLETED = 20, 0.02, 0.2
+LIMIT, DEPLETED = 20, 0.2
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _NORMAL = B.LOWER.copy()
@@ -99,25 +100,25 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_text: bool = False) -> DataFrame:
     """_id, _host (, _text again as _kept), the counts, and the lines with a word as three arrays: hash, words, index among all lines."""
-    df = docs.select(F.col(id_col).alias("_id"), F.col(host_col).cast("string").alias("_host"), F.col(text_col).cast("string").alias("_text"), *([F.struct(*docs.columns).alias("_kept")] if keep_text else []))
-    kept = f", _kept {docs.schema.simpleString()}" if keep_text else ""
+    of = lambda c: F.col(f"`{c}`")
+    df = docs.select(of(id_col).alias("_id"), of(host_col).cast("string").alias("_host"), of(text_col).cast("string").alias("_text"), *([F.struct(*map(of, docs.columns)).alias("_kept")] if keep_text else []))
     C.bounded_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)[id_col]
-    return df.mapInArrow(_measured, f"_id {kind}, _host string{kept}, {', '.join(f'{c} bigint' for c in _COUNTS)}, _lines array<bigint>, _line_words array<int>, _line_index array<int>")
+    counts = [T.StructField(c, T.LongType()) for c in _COUNTS]
+    lists = [T.StructField(c, T.ArrayType(k)) for c, k in (("_lines", T.LongType()), ("_line_words", T.IntegerType()), ("_line_index", T.IntegerType()))]
+    return df.mapInArrow(_measured, T.StructType([*df.drop("_text").schema.fields, *counts, *lists]))
 
 
-def frequent_lines(rows: DataFrame, limit: int, share: float) -> DataFrame:
-    """(_host, _line, _owner) of the lines above the limits. One row a line and host, summed before the shuffle; _owner: the least (id, row)."""
-    sizes = rows.groupBy("_host").agg(F.count("*").alias("_docs"))
+def frequent_lines(rows: DataFrame, limit: int) -> DataFrame:
+    """(_host, _line, _owner) of the lines above the limit. One row a line and host, summed before the shuffle; _owner: the least (id, row)."""
     each = rows.select("_host", F.struct("_id", "_row").alias("_who"), F.explode(F.array_distinct("_lines")).alias("_line"))
     counts = each.groupBy("_host", "_line").agg(F.count("*").alias("_n"), F.min("_who").alias("_owner")).filter(F.col("_n") > limit)
-    return counts.join(F.broadcast(sizes) if sizes.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS else sizes, counts["_host"].eqNullSafe(sizes["_host"])).filter(F.col("_n") >= share * F.col("_docs")).select(counts["_host"], "_line", F.col("_owner._row").alias("_owner"))
+    return counts.select("_host", "_line", F.col("_owner._row").alias("_owner"))
 
 
-def judged(docs: DataFrame, limit: int = LIMIT, share: float = SHARE, depleted: float = DEPLETED, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_text: bool = False) -> DataFrame:
+def judged(docs: DataFrame, limit: int = LIMIT, depleted: float = DEPLETED, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", keep_text: bool = False) -> DataFrame:
     """A row for each row of docs: _id, the counts, n_removed_words, base_failed, kept, and _gone (indexes of lines to take out)."""
     rows, path = C.written(measure(docs, id_col, text_col, host_col, keep_text).withColumn("_row", F.monotonically_increasing_id()), "quality")
-    often, _ = C.written(frequent_lines(rows, limit, share), "frequent-lines")
+    often, _ = C.written(frequent_lines(rows, limit), "frequent-lines")
     lines = rows.select("_row", "_host", F.explode(F.arrays_zip("_lines", "_line_words", "_line_index")).alias("_l")).select("_row", "_host", F.col("_l._lines").alias("_line"), F.col("_l._line_words").alias("_w"), F.col("_l._line_index").alias("_i"))
     often = C.small_or_not(often)
     hits = lines.join(often, (lines["_line"] == often["_line"]) & lines["_host"].eqNullSafe(often["_host"]) & (lines["_row"] != often["_owner"]))
@@ -132,7 +133,8 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     """The rows of docs that are kept, with boilerplate lines taken out of text (and n_chars, if there is one, set anew); all columns of docs."""
     text = limits.get("text_col", "text")
     df = judged(docs, keep_text=True, **limits).filter("kept")
-    left = F.when(F.col("_gone").isNull(), F.col(f"_kept.{text}")).otherwise(F.array_join(F.filter(F.split(f"_kept.{text}", "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n"))
+    whole = F.col(f"_kept.`{text}`")
+    left = F.when(F.col("_gone").isNull(), whole).otherwise(F.array_join(F.filter(F.split(whole, "\n", -1), lambda _, i: ~F.array_contains("_gone", i)), "\n"))
     out = df.select(*[left.alias(c) if c == text else F.col(f"_kept.`{c}`").alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length(text).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
@@ -154,8 +156,7 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT ln) AS n FROM l GROUP BY doc_id
 t AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS p, w FROM d WHERE len(w) >= 3),
 tri AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w[p], w[p+1], w[p+2]) AS n FROM t),
 rep AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p+1, p+2]) AS q FROM tri WHERE n > 1) GROUP BY doc_id),
-host AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
-often AS (SELECT l.source, norm, min(doc_id) AS owner FROM l JOIN host USING (source) GROUP BY l.source, norm HAVING count(DISTINCT doc_id) > {LIMIT} AND count(DISTINCT doc_id) >= {SHARE} * max(host.n)),
+often AS (SELECT l.source, norm, min(doc_id) AS owner FROM l GROUP BY l.source, norm HAVING count(DISTINCT doc_id) > {LIMIT}),
 gone AS (SELECT doc_id, sum(nw) AS n FROM l JOIN often o ON l.source = o.source AND l.norm = o.norm AND l.doc_id <> o.owner GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stockyard.llm import bytetext as B
 from stockyard.llm import decontaminate as D
@@ -70,16 +71,22 @@ def test_frequent_lines(spark):
     common = "All  Rights reserved 2019 " + prose(60, 2)
     rows = [(i, prose(55, 100 + i) + "\n" + common.replace("2019", str(2000 + i)).upper().lower(), "h") for i in range(8)]
     rows += [(i, common + "\nshort end here", "h") for i in range(20, 24)] + [(50, common, "other"), (51, None, "h")]
-    got = {r._id: r for r in quality.judged(frame(spark, rows), limit=5, share=0.1).collect()}
+    got = {r._id: r for r in quality.judged(frame(spark, rows), limit=5).collect()}
     n = len(WORD.findall(common))
     assert got[0].n_removed_words == 0 and got[0].kept  # it keeps the line
     assert all(got[i].n_removed_words == n and got[i].kept for i in range(1, 8))
     assert all(got[i].n_removed_words == n and not got[i].kept and not got[i].base_failed for i in range(20, 24))
     assert got[50].n_removed_words == 0 and got[50].kept and not got[51].kept
-    left = {r.doc_id: r for r in quality.clean(frame(spark, rows), limit=5, share=0.1).collect()}
+    left = {r.doc_id: r for r in quality.clean(frame(spark, rows), limit=5).collect()}
     assert set(left) == {*range(8), 50} and left[3].text == prose(55, 103) and left[3].n_chars == len(left[3].text) and left[3].bucket == 1
 
 
+def test_columns_that_need_quotes(spark):
+    docs = frame(spark, [(1, prose(60, 1), "s"), (2, prose(60, 1), "s")]).withColumn("my col", F.lit(1)).withColumn("x-y", F.lit("z"))
+    for got in (quality.clean(docs), omh.deduplicated(docs), D.decontaminated(docs, spark.createDataFrame([(1, "a b")], "item_id int, text string")), pii.redact(docs)):
+        assert got.columns == docs.columns and got.count() >= 1
+
+
 def test_quality_odd_rows(spark):
     assert len(quality.judged(frame(spark, ODD)).collect()) == len(ODD) and quality.judged(frame(spark, [])).collect() == []
 
