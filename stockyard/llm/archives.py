@@ -155,23 +155,29 @@ def _one(archive: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([archive], pa.binary())], ["value"])
 
 
-def write_arc(pages: DataFrame, path: str, version: int = 2, date: str = "20080430204825", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """pages (page_id, url, html) as ARC archives of archive_bytes, or one record if that is larger: one record a row in UTF-8, null html empty."""
+def write_arc(pages: DataFrame, path: str, versions: tuple[int, ...] = (1, 2), date: str = "20080430204825", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """pages (page_id, url, html) as ARC archives of archive_bytes, or one record if that is larger: one record a row in UTF-8, null html empty.
+
+    A task deals its rows to one open archive of each version in turn.
+    """
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, out, size = "stockyard.arc", [], 0
+        name, out, size, turn = "stockyard.arc", {v: [] for v in versions}, dict.fromkeys(versions, 0), 0
         for b in batches:
             for pid, url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if not out:
-                    out.append(_arc_header(version, name, date))
-                    size = len(out[0]) + 1
-                out.append(arc_record(version, url, http_message(html.as_buffer().to_pybytes() if html.is_valid else b"", pid), date, name, size))
-                size += len(out[-1]) + 1
-                if size >= archive_bytes:
-                    yield _one(b"\n".join(out))
-                    out = []
-        if out:
-            yield _one(b"\n".join(out))
+                v = versions[turn % len(versions)]
+                turn += 1
+                if not out[v]:
+                    out[v].append(_arc_header(v, name, date))
+                    size[v] = len(out[v][0]) + 1
+                out[v].append(arc_record(v, url, http_message(html.as_buffer().to_pybytes() if html.is_valid else b"", pid), date, name, size[v]))
+                size[v] += len(out[v][-1]) + 1
+                if size[v] >= archive_bytes:
+                    yield _one(b"\n".join(out[v]))
+                    out[v] = []
+        for rest in out.values():
+            if rest:
+                yield _one(b"\n".join(rest))
 
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"))
     lines = rows.mapInArrow(archives, "value binary").select(F.col("value").cast("string"))
@@ -203,11 +209,20 @@ def arc_index(spark: SparkSession, path: str) -> DataFrame:
     return _files(spark, path).mapInArrow(index, "file string, offset bigint, page_id bigint, digest binary, payload_bytes bigint")
 
 
+#: Records of one payload that a task takes, and over how many tasks at most the rest is dealt.
+DEALT, SALT = 1000, 1000
+
+
 def revisits(index: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """(file, offset, to_page, to_file, to_offset) of the records that repeat a payload; the largest page_id, then place, is the one they repeat."""
     rows = index.filter(F.col("payload_bytes") >= least)
-    best = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "file", "offset")).alias("best")).filter("n > 1").select("digest", "best")
-    got = rows.join(best, "digest").filter((F.col("file") != F.col("best.file")) | (F.col("offset") != F.col("best.offset")))
+    # Summed before the shuffle; a payload of many records is dealt to several tasks.
+    best = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "file", "offset")).alias("best")).filter("n > 1")
+    best = best.select("digest", "best", F.explode(F.sequence(F.lit(0), (F.least("n", F.lit(SALT * DEALT)) / DEALT).cast("int"))).alias("_salt"), (F.least("n", F.lit(SALT * DEALT)) / DEALT).cast("int").alias("_last"))
+    many, _ = C.written(best, "arc-repeated")
+    heavy = C.small_or_not(many.filter("_last > 0 AND _salt = 0").select("digest", "_last"))
+    rows = rows.join(heavy, "digest", "left").withColumn("_salt", F.pmod(F.xxhash64("file", "offset"), F.coalesce("_last", F.lit(0)) + 1).cast("int")).drop("_last")
+    got = rows.join(many.drop("_last"), ["digest", "_salt"]).filter((F.col("file") != F.col("best.file")) | (F.col("offset") != F.col("best.offset")))
     return got.select("file", "offset", F.col("best.page_id").alias("to_page"), F.col("best.file").alias("to_file"), F.col("best.offset").alias("to_offset"))
 
 
