@@ -14,6 +14,7 @@ handles file names and sizes.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -90,7 +91,7 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> int:
         """One arrival: its rows as small shards, then a commit, tried again on a conflict."""
-        new = self._write(df.select(*[F.col(c) for c in self.schema.fieldNames()]), 0)
+        new = self._write(df.select(*[F.col(f"`{c}`") for c in self.schema.fieldNames()]), 0)
         return self._swap([], new)
 
     def append_each(self, df: DataFrame, arrival: str) -> int:
@@ -130,15 +131,21 @@ class ShardStore:
         return [sorted(run, key=lambda s: (s["bytes"], s["name"])) for _, run in sorted(tiers.items()) if len(run) >= self.fanin]
 
     def compact(self) -> int:
-        """Merge until no tier has a run: each pass reads a tier's shards once and packs them, without a shuffle, into target-sized files."""
-        while runs := self.plan():
+        """Merge until no tier has a run: each pass reads a tier's shards once and packs them, without a shuffle, into target-sized files.
+
+        A run that the reader's splits can't pack into fewer files stays as it is, and the other tiers go on.
+        """
+        stuck: set[frozenset[str]] = set()
+        named = lambda run: frozenset(s["name"] for s in run)
+        while runs := [r for r in self.plan() if named(r) not in stuck]:
             for run in runs:
                 files = max(1, round(sum(s["bytes"] for s in run) / self.target))
                 merged = self._write(self.spark.read.schema(self.schema).parquet(*[s["name"] for s in run]).coalesce(files), 1 + max(s["level"] for s in run))
                 if len(merged) >= len(run):
                     self._drop(merged)
-                    return self.version()  # the reader's splits allow no fewer files
-                self._swap(run, merged)
+                    stuck.add(named(run))
+                else:
+                    self._swap(run, merged)
         return self.version()
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -161,6 +168,24 @@ class ShardStore:
             C.drop_path(self.spark, self._manifest(v))
 
 
+    def clear_orphans(self, older_s: float = 86_400) -> int:
+        """Delete what no manifest names and nobody has touched for older_s seconds: files of jobs that died. Gives their number."""
+        fs, p = C.filesystem(self.spark, self.path)
+        if not fs.exists(p):
+            return 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        live = {path(s["name"]).toUri().getPath() for v in range(1, self.version() + 1) if fs.exists(path(self._manifest(v))) for s in self.shards(v)}
+        before, n = time.time() - older_s, 0
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            f = files.next()
+            name = f.getPath().getName()
+            orphan = name.startswith(".") if f.getPath().getParent().getName() == "manifest" else f.getPath().toUri().getPath() not in live
+            if orphan and not name.endswith(".crc") and f.getModificationTime() / 1000 <= before:
+                n += bool(fs.delete(f.getPath(), False))
+        return n
+
+
 def store_of(docs: DataFrame, path: str, arrivals: int = 6, key: str = "doc_id", **options) -> ShardStore:
     """Append docs in `arrivals` batches, compact, and expire what no reader needs.
 
@@ -179,8 +204,10 @@ def store_of(docs: DataFrame, path: str, arrivals: int = 6, key: str = "doc_id",
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = store_of(docs, C.new_path(spark, "shards"))
-    return store.read().select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    # Facts of the manifest: there are merged shards, and no tier has a run left to merge.
+    facts = (F.lit(any(s["level"] for s in store.shards())).alias("compacted"), F.lit(bool(store.plan())).alias("pending"))
+    return store.read().select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), *facts)
 
 
 QUERIES = {"op6_sharding": op6_sharding}
-ORACLE_SQL = {"op6_sharding": "SELECT doc_id, lang, source, CAST(length(text) AS BIGINT) AS text_chars, sha256(text) AS text_sha256 FROM documents"}
+ORACLE_SQL = {"op6_sharding": "SELECT doc_id, lang, source, CAST(length(text) AS BIGINT) AS text_chars, sha256(text) AS text_sha256, TRUE AS compacted, FALSE AS pending FROM documents"}
