@@ -1,6 +1,8 @@
 """URL filter: longest matching host/path rule, else logistic regression on hashed character n-grams.
 
-Native: JVM expressions and the DataFrame-based ML pipeline only.
+Native: JVM expressions and the DataFrame-based ML pipeline only. Nulls, empty urls and urls without :// have an empty host and path and
+are judged as such; repeated rows and equal ids are rows of their own; of rules of one length the greater in order wins; an empty table
+gives an empty result. Only url and the columns asked for are read.
 """
 
 from __future__ import annotations
@@ -21,16 +23,27 @@ RULES = (
     ("net/fr/", "block"),
 )
 
-_GOOD_NAMES = "garden history museum library weather recipes school science travel football chess poetry railway harbour village teaching reading newspaper forest medicine law research physics music painting theres thion anding tionsh ththre thering blether ththon ouing".split()
-_BAD_NAMES = "spam-farm adult-x casino-win cheap-pills free-bets ads-track spam-blast adult-video casino-royal cheap-meds free-spins ads-click porn-tube pills-shop bets-online track-pixel win-prizes xxx-cams loan-fast viagra-store".split()
-_PLACES = ("example.com", "example.org", "example.net", "site.org")
+#: Words of names, from general knowledge of what sites are called; no table of pages was looked at.
+GOOD_WORDS = "garden history museum library weather recipe school science travel football chess poetry railway harbour village teaching reading newspaper forest medicine law research physics music painting bakery bridge castle dance energy farm gallery hospital island journal kitchen language market nature opera parish quality river sailing theatre university valley water yoga zoology".split()
+BAD_WORDS = "casino poker roulette jackpot slots gambling betting bets viagra cialis pills pharma-deal porn xxx sex adult escort camgirls nude spam phishing malware warez crack keygen torrent clickbait adserver ads banner popup tracker payday loan free-money cheap win prize lottery miracle-cure".split()
+_SYLLABLES = [c + v for c in "bdfgklmnprstvz" for v in "aeiou"]
+_PLACES = ("com", "org", "net", "de", "co.uk", "info")
 _PREFIXES = ("", "www.", "m.", "blog.")
 _PATHS = ("/", "/en/12", "/fr/825", "/de/481/", "/es/7.html", "/about/team", "/2020/05/story")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (host, path, label): every name below each place, prefix and path, as fixed by the lists above."""
-    rows = [(f"{pre}{name}.{place}", path, label) for names, label in ((_GOOD_NAMES, 0.0), (_BAD_NAMES, 1.0)) for k, name in enumerate(names) for j, place in enumerate(_PLACES) for pre, path in [(_PREFIXES[(k + j) % 4], _PATHS[(3 * k + j) % 7])]]
+    """The small labelled table (host, path, label), by rule: names of one word, of two words of the same list, and good names of no word.
+
+    A bad name has a word of the bad list or two; good names of no word are syllables in a fixed order, so that strange letters alone
+    aren't bad. Places, prefixes and paths go round both labels alike.
+    """
+    rows = []
+    for words, label in ((GOOD_WORDS, 0.0), (BAD_WORDS, 1.0)):
+        n = len(words)
+        names = words + [f"{w}{'-' if k % 2 else ''}{words[(7 * k + 3) % n]}" for k, w in enumerate(words)]
+        names += [f"{w}-{x}" for w, x in zip(BAD_WORDS, GOOD_WORDS, strict=False)] if label else ["".join(_SYLLABLES[(11 * k + 17 * j * j) % len(_SYLLABLES)] for j in range(2 + k % 3)) for k in range(2 * n)]
+        rows += [(f"{_PREFIXES[(k + j) % 4]}{name}.{place}", _PATHS[(3 * k + j) % 7], label) for k, name in enumerate(names) for j, place in enumerate(_PLACES) if (k + j) % 3 == 0]
     return spark.createDataFrame(rows, "host string, path string, label double")
 
 
