@@ -9,7 +9,9 @@ valid last piece, the one that the merges of (piece before, piece) alone would l
 reference encoder of that model kind gives.
 
 No piece of usual models holds a space after another character, so a text falls into runs "spaces, then others" at whose borders all ways
-meet; runs of up to MEMO characters are remembered, in a bounded memo. A model with such pieces is searched as one run.
+meet, as they do between two characters that no piece holds side by side. Every stretch between two such boundaries goes through the
+same search, however long it is; what it gave for stretches of up to MEMO characters is remembered, in a bounded memo. A model with
+pieces across spaces is searched as one run. Ties (unigram): the way whose last piece is longest; BPE merges break ties by place.
 
 Unknown characters become byte pieces (or the unknown piece, if the model has none). U+2581 in a text is one of them, so that decoding
 gives it back; everything else encodes as usual: a space is put before a text that isn't empty.
@@ -112,41 +114,6 @@ class Encoder:
             got = self.fits[a, b] = self._merged(a + b) == [a, b]
         return got
 
-    # The search
-
-    def _step(self, text: str, end: int, first: int, back: dict[int, int], score: dict[int, float]) -> None:
-        """Enter position `end` (characters before it are known): its best last piece's start, among positions not before `first`."""
-        ids = self.v.ids
-        lo = max(first, end - self.v.longest)
-        one = text[end - 1 - self.base : end - self.base]
-        if self.v.kind == "bpe":
-            for start in range(lo, end):
-                piece = text[start - self.base : end - self.base]
-                if piece in ids:
-                    before = back.get(start, -1)
-                    if before < 0 or self._known(text, before, start) is False or self._fit(text[before - self.base : start - self.base], piece):
-                        if len(piece) == 1 or self._merged_whole(piece):
-                            back[end] = start
-                            return
-            back[end] = end - 1
-            return
-        best, at = None, end - 1
-        for start in range(lo, end):
-            piece = text[start - self.base : end - self.base]
-            i = ids.get(piece)
-            if i is not None:
-                s = score[start] + self.v.score[i]
-                if best is None or s > best:
-                    best, at = s, start
-        if one not in ids:
-            s = score[end - 1] + self.v.floor
-            if best is None or s > best:
-                best, at = s, end - 1
-        back[end], score[end] = at, best if best is not None else score[end - 1] + self.v.floor
-
-    def _known(self, text: str, start: int, end: int) -> bool:
-        return text[start - self.base : end - self.base] in self.v.ids
-
     def _merged_whole(self, piece: str) -> bool:
         got = self.fits.get((piece, ""))
         if got is None:
@@ -160,92 +127,108 @@ class Encoder:
         raw = [self.v.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
         return raw if min(raw) >= 0 else [self.v.unknown]
 
+    # The search
+
     def stream(self, chunks: Iterable[str]) -> Iterator[list[int]]:
         """Ids of a run of text that comes in chunks, committed as soon as they are certain."""
-        text, self.base = "", 0
-        back: dict[int, int] = {}
-        score = {0: 0.0}
-        done, end, longest = 0, 0, self.v.longest
+        for part in (self._bpe if self.v.kind == "bpe" else self._unigram)(chunks):
+            yield np.frombuffer(part, np.uint32).tolist()
+
+    def _bpe(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """Every position's one valid last piece, in a window that begins at the last committed boundary."""
+        ids, fits, longest = self.v.ids, self.fits, self.v.longest
+        text, last, end = "", [""], 1  # last[i]: the piece that ends at i; last[0]: the one before the window, if there is one
         for chunk in chunks:
             text += chunk
-            for _ in chunk:
+            while end <= len(text):
+                for start in range(end - longest if end > longest else 0, end):
+                    piece = text[start:end]
+                    if piece in ids:
+                        key = (last[start], piece)
+                        fit = fits.get(key)
+                        if fit is None:
+                            fit = self._fit(*key) if key[0] in ids else self._merged_whole(piece)
+                            fits[key] = fit
+                        if fit:
+                            last.append(piece)
+                            break
+                else:
+                    last.append(text[end - 1])
+                if end >= 2 * longest and end % longest == 0:
+                    meet = self._meeting(last, end, longest)
+                    if meet:
+                        yield self._path(last, meet)
+                        text, last, end = text[meet:], last[meet:], end - meet
+                    if end > self.most_kept:
+                        self.most_kept = end
                 end += 1
-                self._step(text, end, done, back, score)
-                if end - done >= 2 * longest and end % longest == 0 or end - done == 2 * longest:
-                    meet = self._meeting(range(end - longest + 1, end + 1), back, done)
-                    if meet > done:
-                        yield self._path(text, meet, done, back)
-                        for k in [k for k in back if k <= meet]:
-                            del back[k]
-                        for k in [k for k in score if k < meet]:
-                            del score[k]
-                        text, self.base, done = text[meet - self.base - 0 :], meet, meet
-                    self.most_kept = max(self.most_kept, end - done)
-        if end > done:
-            yield self._path(text, end, done, back)
+        if end > 1:
+            yield self._path(last, end - 1)
+
+    def _unigram(self, chunks: Iterable[str]) -> Iterator[bytes]:
+        """Every position's best last piece by the sum of scores, in a window that begins at the last committed boundary."""
+        ids, scores, longest = self.v.ids, self.v.score, self.v.longest
+        text, last, best, end = "", [""], [0.0], 1
+        for chunk in chunks:
+            text += chunk
+            while end <= len(text):
+                one = text[end - 1 : end]
+                top, piece = (best[end - 1] + self.v.floor, one) if one not in ids else (None, one)
+                for start in range(end - longest if end > longest else 0, end):
+                    i = ids.get(text[start:end])
+                    if i is not None and (top is None or best[start] + scores[i] > top):
+                        top, piece = best[start] + scores[i], text[start:end]
+                last.append(piece)
+                best.append(top)
+                if end >= 2 * longest and end % longest == 0:
+                    meet = self._meeting(last, end, longest)
+                    if meet:
+                        yield self._path(last, meet)
+                        text, last, best, end = text[meet:], last[meet:], best[meet:], end - meet
+                    self.most_kept = max(self.most_kept, end)
+                end += 1
+        if end > 1:
+            yield self._path(last, end - 1)
 
     @staticmethod
-    def _meeting(window: Iterable[int], back: dict[int, int], done: int) -> int:
-        """The last boundary on the ways back from all positions of the window."""
-        at = set(window)
+    def _meeting(last: list[str], end: int, longest: int) -> int:
+        """The last boundary on the ways back from all positions of the window; 0 if that is where it begins."""
+        at = set(range(end - longest + 1, end + 1))
         while len(at) > 1:
-            last = max(at)
-            if last <= done:
-                return done
-            at.discard(last)
-            at.add(back[last])
-        return max(at.pop(), done)
-
-    def _path(self, text: str, end: int, done: int, back: dict[int, int]) -> list[int]:
-        cuts = [end]
-        while cuts[-1] > done:
-            cuts.append(back[cuts[-1]])
-        cuts.reverse()
-        return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in self._ids_of(text[a - self.base : b - self.base])]
+            x = max(at)
+            at.discard(x)
+            at.add(x - len(last[x]))
+        return at.pop()
+
+    def _path(self, last: list[str], at: int) -> bytes:
+        out = []
+        while at:
+            out.append(last[at])
+            at -= len(last[at])
+        return b"".join([self._raw(p) for p in reversed(out)])
 
     def run(self, text: str) -> bytes:
-        """Ids of a run, as 32-bit numbers."""
-        return np.fromiter((i for part in self.stream([text]) for i in part), np.uint32).tobytes()
+        """Ids of a run, as 32-bit numbers, by the streaming search."""
+        return b"".join(self._bpe((text,)) if self.v.kind == "bpe" else self._unigram((text,)))
+
+    def _remembered(self, text: str) -> bytes:
+        """run(text), or what it gave before: texts of up to MEMO characters are kept in a bounded memo."""
+        got = self.memo.get(text)
+        if got is None:
+            got = self.run(text)
+            if len(text) <= MEMO:
+                if len(self.memo) >= MEMO_SIZE:
+                    self.memo.clear()
+                self.memo[text] = got
+        return got
 
     def _word(self, w: str) -> bytes:
-        """Ids of a short run: cut where no piece can cross, each part searched at once, as it is shorter than the window would be."""
-        pairs, memo = self.v.pairs, self.memo
+        """Ids of a run without an inner space: all ways meet where no piece can cross, so it is searched from there to there."""
+        pairs = self.v.pairs
         cuts = [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
         if len(cuts) == 2:
-            return self._part(w)
-        out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = w[a:b]
-            got = memo.get(part)
-            if got is None:
-                got = memo[part] = self._part(part)
-            out.append(got)
-        return b"".join(out)
-
-    def _part(self, w: str) -> bytes:
-        if self.v.kind != "bpe":
             return self.run(w)
-        ids, fits, longest = self.v.ids, self.fits, self.v.longest
-        last = [""]
-        for end in range(1, len(w) + 1):
-            for start in range(end - longest if end > longest else 0, end):
-                piece = w[start:end]
-                if piece in ids:
-                    key = (last[start], piece)
-                    fit = fits.get(key)
-                    if fit is None:
-                        fit = self._fit(*key) if start and key[0] in ids else self._merged_whole(piece)
-                        fits[key] = fit
-                    if fit:
-                        last.append(piece)
-                        break
-            else:
-                last.append(w[end - 1])
-        out, at = [], len(w)
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return b"".join([self._raw(p) for p in reversed(out)])
+        return b"".join([self._remembered(w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
 
     def _raw(self, piece: str) -> bytes:
         got = self.raw.get(piece)
@@ -267,12 +250,11 @@ class Encoder:
         for w in _RUNS.findall(text):
             got = find(w)
             if got is None:
-                if len(w) > MEMO:
-                    got = self.run(w)
-                else:
+                got = self._word(w)
+                if len(w) <= MEMO:
                     if len(memo) >= MEMO_SIZE:
                         memo.clear()
-                    got = memo[w] = self._word(w)
+                    memo[w] = got
             out.append(got)
         return b"".join(out)
 
