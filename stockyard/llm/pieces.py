@@ -65,6 +65,12 @@ class Vocabulary:
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.splits = not any(" " in p.lstrip(" ") for p in self.ids)
         self.floor = min(self.score, default=0.0) - 10
+        #: By their last three characters, the lengths of the longer pieces, longest first.
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                tails.setdefault(p[-3:], set()).add(len(p))
+        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
 
     def digest(self) -> str:
         return hashlib.sha256(repr((self.kind, self.text, self.score)).encode()).hexdigest()
@@ -88,8 +94,17 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
         self.fits: dict[tuple[str, str], bool] = {}
         self.raw: dict[str, bytes] = {}
+        self.ends: dict[str, tuple[int, ...]] = {}
         self.most_kept = 0
 
+    def _lengths(self, tail: str) -> tuple[int, ...]:
+        """The lengths that a piece can have which ends in these (up to three) characters, longest first."""
+        if len(self.ends) > MEMO_SIZE:
+            self.ends.clear()
+        ids = self.v.ids
+        got = self.ends[tail] = (self.v.tails.get(tail, ()) if len(tail) == 3 else ()) + tuple(n for n in (2, 1) if len(tail) >= n and tail[-n:] in ids)
+        return got
+
     # BPE: whether two pieces can stand side by side
 
     def _merged(self, text: str) -> list[str]:
@@ -136,14 +151,21 @@ class Encoder:
 
     def _bpe(self, chunks: Iterable[str]) -> Iterator[bytes]:
         """Every position's one valid last piece, in a window that begins at the last committed boundary."""
-        ids, fits, longest = self.v.ids, self.fits, self.v.longest
+        ids, fits, longest, ends = self.v.ids, self.fits, self.v.longest, self.ends
         text, last, end = "", [""], 1  # last[i]: the piece that ends at i; last[0]: the one before the window, if there is one
         for chunk in chunks:
             text += chunk
             while end <= len(text):
-                for start in range(end - longest if end > longest else 0, end):
+                tail = text[end - 3 if end > 3 else 0 : end]
+                lengths = ends.get(tail)
+                if lengths is None:
+                    lengths = self._lengths(tail)
+                for n in lengths:
+                    if n > end:
+                        continue
+                    start = end - n
                     piece = text[start:end]
-                    if piece in ids:
+                    if n < 3 or piece in ids:
                         key = (last[start], piece)
                         fit = fits.get(key)
                         if fit is None:
@@ -174,8 +196,10 @@ class Encoder:
             while end <= len(text):
                 one = text[end - 1 : end]
                 top, piece = (best[end - 1] + self.v.floor, one) if one not in ids else (None, one)
-                for start in range(end - longest if end > longest else 0, end):
-                    i = ids.get(text[start:end])
+                tail = text[end - 3 if end > 3 else 0 : end]
+                for n in self.ends.get(tail) or self._lengths(tail):
+                    start = end - n
+                    i = ids.get(text[start:end]) if start >= 0 else None
                     if i is not None and (top is None or best[start] + scores[i] > top):
                         top, piece = best[start] + scores[i], text[start:end]
                 last.append(piece)
