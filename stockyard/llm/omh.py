@@ -215,19 +215,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def _met(solid: DataFrame) -> DataFrame:
-    """(bucket, node, n, c1, c2) of buckets that have two nodes or more, as a table: c1 and c2 are the bucket's two centres, node and length."""
+    """(bucket, node, n) of buckets that have two nodes or more, as a table."""
     buckets, path = C.written(solid.select(F.explode("_sketch").alias("bucket"), "node", "n"), "buckets")
-    centre = lambda order: F.min(F.struct(order.alias("o"), "node", "n"))
-    centres = buckets.groupBy("bucket").agg(F.count("*").alias("c"), centre(F.col("node")).alias("c1"), centre(F.xxhash64("node")).alias("c2")).filter("c > 1").drop("c")
-    out, _ = C.written(buckets.join(centres, "bucket").select("bucket", "node", "n", *[F.struct(f"{c}.node", f"{c}.n").alias(c) for c in ("c1", "c2")]), "met-buckets")
+    # Most buckets have one node: only their numbers are counted and shuffled beside the rows, nothing else of them.
+    full = buckets.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket")
+    out, _ = C.written(buckets.join(full, "bucket", "left_semi"), "met-buckets")
     C.drop_path(solid.sparkSession, path)
     C.release(solid.sparkSession)
     return out
 
 
 def _star_pairs(met: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of each bucket's members and its centres whose lengths allow a link."""
-    each = met.select("node", "n", F.explode(F.array("c1", "c2")).alias("c")).filter(F.col("node") != F.col("c.node")).filter(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
+    """The pairs (a, b) of each bucket's members and its two centres whose lengths allow a link."""
+    centre = lambda order: F.min(F.struct(order.alias("o"), "node", "n"))
+    centres, _ = C.written(met.groupBy("bucket").agg(centre(F.col("node")).alias("c1"), centre(F.xxhash64("node")).alias("c2")).select("bucket", F.explode(F.array_distinct(F.array(*[F.struct(f"{c}.node", f"{c}.n") for c in ("c1", "c2")]))).alias("c")), "centres")
+    each = met.join(C.small_or_not(centres), "bucket").filter(F.col("node") != F.col("c.node")).filter(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
     return each.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
