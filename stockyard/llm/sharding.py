@@ -204,10 +204,9 @@ def store_of(docs: DataFrame, path: str, arrivals: int = 6, key: str = "doc_id",
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     store = store_of(docs, C.new_path(spark, "shards"))
-    # Facts of the manifest: there are merged shards, and no tier has a run left to merge.
-    facts = (F.lit(any(s["level"] for s in store.shards())).alias("compacted"), F.lit(bool(store.plan())).alias("pending"))
-    return store.read().select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), *facts)
+    pending = F.lit(bool(store.plan())).alias("pending")  # of the manifest: has a tier a run left to merge?
+    return store.read().select("doc_id", "lang", "source", F.length("text").cast("bigint").alias("text_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), pending)
 
 
 QUERIES = {"op6_sharding": op6_sharding}
-ORACLE_SQL = {"op6_sharding": "SELECT doc_id, lang, source, CAST(length(text) AS BIGINT) AS text_chars, sha256(text) AS text_sha256, TRUE AS compacted, FALSE AS pending FROM documents"}
+ORACLE_SQL = {"op6_sharding": "SELECT doc_id, lang, source, CAST(length(text) AS BIGINT) AS text_chars, sha256(text) AS text_sha256, FALSE AS pending FROM documents"}
