@@ -18,16 +18,17 @@ def z_by_group(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
     return df.withColumns({c: F.when(F.stddev_pop(c).over(w) > 0, (F.col(c) - F.avg(c).over(w)) / F.stddev_pop(c).over(w)).otherwise(0.0) for c in features})
 
 
-def lof(df: DataFrame, key: list[str], features: list[str], by: list[str], k: int = 20, blocks: int = 8) -> DataFrame:
+def lof(df: DataFrame, key: list[str], features: list[str], by: list[str], k: int = 20, block: int = 500) -> DataFrame:
     """key, by, lof: exact k nearest neighbours within each group of `by` (needs more than k rows, else the group is left out).
 
-    Every row meets every row of its group, in blocks, so no task holds a group's pairs; meant for groups of up to a few thousand rows.
+    Every row meets every row of its group, in blocks of about `block` rows, so a larger group is more tasks and none holds a group's
+    pairs; meant for groups of up to some ten thousand rows, as the work grows with the square of a group.
     The distance is plain arithmetic over the few features.
     """
     n = df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > k)
-    rows = df.join(n, by, "left_semi").withColumn("_id", F.struct(*key))
-    a = rows.select(*by, F.col("_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in features], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    b = rows.select(*by, F.col("_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in features], F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int").alias("_b"))
+    rows = df.join(n, by).withColumn("_id", F.struct(*key)).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    a = rows.select(*by, F.col("_id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in features], F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_b"))
+    b = rows.select(*by, F.col("_id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in features], F.pmod(F.xxhash64("_id"), F.col("_blocks")).cast("int").alias("_b"))
     d = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in features), F.lit(0.0)))
     near = Window.partitionBy(*by, "a").orderBy("d", "b")
     pairs = a.join(b, [*by, "_b"]).filter("a != b").select(*by, "a", "b", d.alias("d")).withColumn("r", F.row_number().over(near)).filter(F.col("r") <= k)
@@ -124,9 +125,9 @@ def isolation_by_group(df: DataFrame, key: list[str], features: list[str], by: s
 
 
 def flag_share(df: DataFrame, score: str, contamination: float, by: list[str] | None = None) -> DataFrame:
-    """flag: the `contamination` share with the highest score, by an exact quantile broadcast back."""
+    """flag: the `contamination` share with the highest score, by an exact quantile joined back (one row, or one a group)."""
     cut = df.groupBy(*(by or [])).agg(F.percentile(score, F.lit(1 - contamination)).alias("_cut"))
-    return (df.join(F.broadcast(cut), by) if by else df.join(F.broadcast(cut))).withColumn("flag", F.col(score) > F.col("_cut")).drop("_cut")
+    return (df.join(cut, by) if by else df.join(F.broadcast(cut))).withColumn("flag", F.col(score) > F.col("_cut")).drop("_cut")
 
 
 # Comparison

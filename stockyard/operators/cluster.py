@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -40,10 +39,12 @@ def quality(points: DataFrame, features: list[str], label: str) -> DataFrame:
     return t.join(F.broadcast(db)).select("k", "n", ((F.col("b") / (F.col("k") - 1)) / (F.col("w") / (F.col("n") - F.col("k")))).alias("calinski_harabasz"), "davies_bouldin")
 
 
-def silhouette(points: DataFrame, key: str, features: list[str], label: str, most: int | None = 1000, blocks: int = 8) -> DataFrame:
-    """key, label, silhouette (Euclidean). Every point of a stated sample (`most` by hash of the key, None for all) meets all of it, in blocks."""
+def silhouette(points: DataFrame, key: str, features: list[str], label: str, most: int | None = 1000, block: int = 500) -> DataFrame:
+    """key, label, silhouette (Euclidean). Every point of a stated sample (`most` by hash of the key, None for all) meets all of it, in
+    blocks of about `block` rows, so that more points are more tasks."""
     p = points if most is None else points.orderBy(F.xxhash64(key), key).limit(most)
     p = p.select(key, label, *features)
+    blocks = max(1, -(-(points.count() if most is None else most) // block))
     a = p.select(F.col(key).alias("a"), F.col(label).alias("la"), *[F.col(c).alias(f"a_{c}") for c in features], F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     b = p.select(F.col(key).alias("b"), F.col(label).alias("lb"), *[F.col(c).alias(f"b_{c}") for c in features], F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
     d = F.sqrt(sum(((F.col(f"a_{c}") - F.col(f"b_{c}")) ** 2 for c in features), F.lit(0.0)))
@@ -82,37 +83,46 @@ def pca(vectors: DataFrame, key: str, k: int = 2) -> tuple[DataFrame, list[float
     return m.transform(vectors).select(key, *[c[i].alias(f"c{i + 1}") for i in range(k)]), [float(x) for x in m.explainedVariance]
 
 
-def ward(points: DataFrame, key: str, features: list[str], ks: tuple[int, ...] = tuple(range(2, 9)), most: int = 2000) -> DataFrame:
-    """key, k, cluster: Ward linkage cut at each k, over at most `most` points by hash of the key (a dendrogram is one value)."""
-    schema = f"{key} {dict(points.dtypes)[key]}, k int, cluster int"
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = pdf[features].to_numpy(float)
-        n = len(x)
-        d = ((x[:, None] - x[None]) ** 2).sum(2)
-        np.fill_diagonal(d, np.inf)
-        size, live, group = np.ones(n), np.ones(n, bool), np.arange(n)
-        out = {}
-        for left in range(n, 0, -1):
-            if left in ks:
-                out[left] = np.unique(group, return_inverse=True)[1]
-            if left == 1:
-                break
-            i, j = divmod(int(d.argmin()), n)
-            i, j = min(i, j), max(i, j)
-            new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
-            new[~live] = np.inf
-            new[[i, j]] = np.inf
-            d[i], d[:, i] = new, new
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            live[j] = False
-            group[group == j] = i
-        return pd.concat([pd.DataFrame({key: pdf[key].values, "k": k, "cluster": c}) for k, c in sorted(out.items())])
-
-    p = points.orderBy(F.xxhash64(key), key).limit(most).select(key, *features).withColumn("_all", F.lit(0))
-    return p.groupBy("_all").applyInPandas(link, schema)
+def _linked(x: np.ndarray, weight: np.ndarray, ks: tuple[int, ...]) -> dict[int, np.ndarray]:
+    """Labels of weighted points at each k of a Ward dendrogram."""
+    n = len(x)
+    size, live, group = weight.astype(float), np.ones(n, bool), np.arange(n)
+    d = ((x[:, None] - x[None]) ** 2).sum(2) * 2 * size[:, None] * size[None] / (size[:, None] + size[None])
+    np.fill_diagonal(d, np.inf)
+    out = {}
+    for left in range(n, 0, -1):
+        if left in ks:
+            out[left] = np.unique(group, return_inverse=True)[1]
+        if left == 1:
+            break
+        i, j = divmod(int(d.argmin()), n)
+        i, j = min(i, j), max(i, j)
+        new = ((size[i] + size) * d[i] + (size[j] + size) * d[j] - size * d[i, j]) / (size[i] + size[j] + size)
+        new[~live] = np.inf
+        new[[i, j]] = np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        live[j] = False
+        group[group == j] = i
+    return out
+
+
+def ward(points: DataFrame, key: str, features: list[str], ks: tuple[int, ...] = tuple(range(2, 9)), groups: int = 400, seed: int = 0) -> DataFrame:
+    """key, k, cluster of every point: Ward linkage cut at each k.
+
+    A dendrogram is one value, so it is built over at most `groups` groups of points, each with its centre and weight: with so few points
+    each is its own, so the result is exact; else they are K-Means cells, and a point gets its cell's cluster.
+    """
+    if points.count() <= groups:
+        cells = points.select(key, *features, F.row_number().over(Window.orderBy(key)).alias("_g"))
+    else:
+        cells = kmeans(assembled(points, key, features), key, groups, 1, seed, 20)[0].withColumnRenamed("cluster", "_g").join(points, key).select(key, *features, "_g")
+    centres = cells.groupBy("_g").agg(F.count("*").alias("_n"), *[F.avg(c).alias(c) for c in features]).orderBy("_g").toPandas()
+    cut = _linked(centres[features].to_numpy(float), centres["_n"].to_numpy(), ks)
+    rows = [(int(g), int(k), int(c)) for k, labels in sorted(cut.items()) for g, c in zip(centres["_g"], labels, strict=True)]
+    named = points.sparkSession.createDataFrame(rows, "_g int, k int, cluster int")
+    return cells.select(key, F.col("_g").cast("int").alias("_g")).join(F.broadcast(named), "_g").select(key, "k", "cluster")  # groups x ks rows
 
 
 def pairwise_agreement(runs: DataFrame, key: str, run: str, label: str) -> DataFrame:

@@ -114,7 +114,11 @@ def paired_t(scored: DataFrame, a: str, b: str, value: str = "mape") -> DataFram
     """One row: n, mean difference a - b, t, p."""
     d = scored.filter(F.col("model").isin(a, b)).groupBy("k").pivot("model", [a, b]).agg(F.first(value)).dropna().select((F.col(f"`{a}`") - F.col(f"`{b}`")).alias("d"))
     g = d.agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), (F.avg("d") / (F.stddev_samp("d") / F.sqrt(F.count("*")))).alias("t"))
-    p = F.udf(lambda t, n: None if t is None or n < 2 else tails.t_two_sided(t, n - 1), "double")  # one row
+
+    @F.pandas_udf("double")
+    def p(t: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or m < 2 else tails.t_two_sided(x, m - 1) for x, m in zip(t, n, strict=True)], dtype=float)
+
     return g.withColumn("p", p("t", "n"))
 
 
@@ -127,7 +131,11 @@ def wilcoxon(scored: DataFrame, a: str, b: str, value: str = "mape") -> DataFram
     g = r.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("up"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("down"), F.sum("tt").alias("tt"))
     sd = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("tt") / 48)
     g = g.select("n", F.least("up", "down").alias("w"), ((F.least("up", "down") - F.col("n") * (F.col("n") + 1) / 4) / sd).alias("z"))
-    p = F.udf(lambda z: None if z is None else tails.normal_two_sided(z), "double")  # one row
+
+    @F.pandas_udf("double")
+    def p(z: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) else tails.normal_two_sided(x) for x in z], dtype=float)
+
     return g.withColumn("p", p("z"))
 
 
@@ -186,13 +194,18 @@ def ljung_box(acfs: DataFrame, lags: int = 10) -> DataFrame:
 
 
 def decompose(dense: DataFrame, period: int = 7) -> DataFrame:
-    """k, date, trend, seasonal, residual: centred mean (null within half a period of the ends), weekday means of the rest, centred."""
+    """k, date, q, trend, seasonal, residual: centred mean, carried on at both ends along the line through its nearest `period` values;
+    weekday means of the rest, centred."""
     w = Window.partitionBy("k").orderBy("date")
     half = period // 2
-    t = dense.withColumn("trend", F.when(F.count("*").over(w.rowsBetween(-half, half)) == period, F.avg("q").over(w.rowsBetween(-half, half))))
-    day = t.groupBy("k", F.weekday("date").alias("w")).agg(F.avg(F.col("q") - F.col("trend")).alias("s"))
+    c = dense.select("k", "date", "q", F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy("k")).alias("n"), F.when(F.count("*").over(w.rowsBetween(-half, half)) == period, F.avg("q").over(w.rowsBetween(-half, half))).alias("trend"))
+    front, back = F.when(F.col("i") <= half + period, F.col("trend")), F.when(F.col("i") > F.col("n") - half - period, F.col("trend"))
+    lines = c.groupBy("k").agg(*[f(y, F.col("i")).alias(f"{side}_{name}") for side, y in (("f", front), ("b", back)) for name, f in (("s", F.regr_slope), ("i", F.regr_intercept))])
+    at = lambda side: F.col(f"{side}_i") + F.col(f"{side}_s") * F.col("i")
+    t = c.join(lines, "k").select("k", "date", "q", F.weekday("date").alias("w"), F.when(F.col("i") <= half, at("f")).when(F.col("i") > F.col("n") - half, at("b")).otherwise(F.col("trend")).alias("trend"))
+    day = t.groupBy("k", "w").agg(F.avg(F.col("q") - F.col("trend")).alias("s"))
     day = day.withColumn("s", F.col("s") - F.avg("s").over(Window.partitionBy("k")))
-    return t.withColumn("w", F.weekday("date")).join(F.broadcast(day), ["k", "w"]).select("k", "date", "q", "trend", F.col("s").alias("seasonal"), (F.col("q") - F.col("trend") - F.col("s")).alias("residual"))
+    return t.join(day, ["k", "w"]).select("k", "date", "q", "trend", F.col("s").alias("seasonal"), (F.col("q") - F.col("trend") - F.col("s")).alias("residual"))
 
 
 def _ols(x: np.ndarray, y: np.ndarray):

@@ -24,6 +24,12 @@ def affinity_top(spark, sf):
     return A.top_pairs(A.pairs_with_lift(V.sessions(spark, sf), 0.0001)).select("a", "b", "together", F.round("lift", 6).alias("lift"))
 
 
-@query("affinity_validated")
+# The same law in SQL: logarithms of binomials, summed over all overlaps from `together` on.
+_LC = lambda x, y: f"(lgamma(({x}) + 1.0) - lgamma(({y}) + 1.0) - lgamma(({x}) - ({y}) + 1.0))"
+_HYPER = f"least(1, list_sum([exp({_LC('n_a', 'i')} + {_LC('n - n_a', 'n_b - i')} - {_LC('n', 'n_b')}) for i in range(greatest(together, n_a + n_b - n, 0)::BIGINT, least(n_a, n_b)::BIGINT + 1)]))"
+
+
+@query("affinity_validated", f"WITH {_PAIRS}, top AS (SELECT * FROM lifted ORDER BY lift DESC, together DESC, a, b LIMIT 200), p AS (SELECT *, {_HYPER} AS p FROM top) SELECT a, b, together, n_a, n_b, n, round(lift, 6) AS lift, round(p, 8) AS p, p < 0.05 AS validated FROM p")
 def affinity_validated(spark, sf):
-    return A.validated(A.top_pairs(A.pairs_with_lift(V.sessions(spark, sf), 0.0001)))
+    v = A.validated(A.top_pairs(A.pairs_with_lift(V.sessions(spark, sf), 0.0001)))
+    return v.select("a", "b", "together", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("p", 8).alias("p"), "validated")

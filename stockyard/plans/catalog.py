@@ -22,6 +22,27 @@ VIEWS = {
 }
 
 
+def _simpson(f: str, top: str, n: int = 4000) -> str:
+    """SQL for the integral of f (an expression in u) from 0 to top, by Simpson's rule."""
+    weight = f"CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"(({top}) / {3 * n} * list_sum([{weight} * ({f.replace('$u', f'(({top}) * i / {n})')}) for i in range({n + 1})]))"
+
+
+def normal_cdf(z: str) -> str:
+    return f"(0.5 + {_simpson('exp(-0.5 * ($u) ** 2)', z)} / sqrt(2 * pi()))"
+
+
+def t_two_sided(t: str, df: str) -> str:
+    return f"(1 - 2 * exp(lgamma((({df}) + 1) / 2.0) - lgamma(({df}) / 2.0)) / sqrt(({df}) * pi()) * {_simpson(f'(1 + ($u) ** 2 / ({df})) ** (-(({df}) + 1) / 2.0)', f'abs({t})')})"
+
+
+def f_upper(f: str, a: str, b: str) -> str:
+    """Upper tail of F with a (at least 2) and b degrees of freedom."""
+    front = f"exp(lgamma((({a}) + ({b})) / 2.0) - lgamma(({a}) / 2.0) - lgamma(({b}) / 2.0)) * (({a}) / ({b})::DOUBLE) ** (({a}) / 2.0)"
+    inner = f"($u) ** (({a}) / 2.0 - 1) * (1 + ({a}) * ($u) / ({b})) ** (-(({a}) + ({b})) / 2.0)"
+    return f"(1 - {front} * {_simpson(inner, f)})"
+
+
 def with_views(sql: str) -> str:
     """Put the views that a statement names, and those that they name, before it."""
     need: list[str] = []

@@ -11,7 +11,7 @@ from stockyard.sources import views as V
 
 FEATURES = [f"{c}_z" for c in S.FEATURES]
 NAMES = ["Low-Velocity / Low-Value", "Low-Velocity / High-Value", "High-Velocity / Low-Value", "High-Velocity / High-Value"]
-_E = [f"e{i}" for i in range(6)]
+_E = [f"e{i}" for i in range(64)]
 
 
 def _z(spark, sf):
@@ -71,6 +71,12 @@ def kmeans_sweep(spark, sf):
     return reduce(DataFrame.unionByName, out)
 
 
+@query("chosen_k_of_sweep")
+def chosen_k_of_sweep(spark, sf):
+    """choose_k's rule on what kmeans_sweep found."""
+    return K.choose_k(kmeans_sweep(spark, sf))
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(spark, sf):
     return _clusters(spark, sf)[0]
@@ -102,36 +108,46 @@ def pca_projection(spark, sf):
 
 @query("ward_clusters")
 def ward_clusters(spark, sf):
-    return K.ward(_z(spark, sf), "sku", FEATURES, most=400)
+    return K.ward(_z(spark, sf).cache(), "sku", FEATURES)
 
 
 @query("seed_stability")
 def seed_stability(spark, sf):
+    """20 seeds, each the best of two starts of its own."""
     v = K.assembled(_z(spark, sf), "sku", FEATURES)
-    runs = reduce(DataFrame.unionByName, [K.kmeans(v, "sku", 4, 1, seed=s)[0].withColumn("run", F.lit(s)) for s in range(6)])
+    runs = reduce(DataFrame.unionByName, [K.kmeans(v, "sku", 4, 2, seed=1000 * s)[0].withColumn("run", F.lit(s)) for s in range(20)])
     return K.pairwise_agreement(runs.cache(), "sku", "run", "cluster").agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.min("ari").alias("min_ari"), (F.count_if(F.col("ari") > 0.95) / F.count("*")).alias("share_above_95"), F.avg(F.when(F.col("run_a") == 0, F.col("ari"))).alias("mean_against_first"))
 
 
+def _silhouette(clustered, features):
+    return K.silhouette(clustered, "sku", features, "cluster", 1000).agg(F.avg("silhouette").alias("silhouette"))
+
+
 @query("feature_ablation")
 def feature_ablation(spark, sf):
-    """dropped, ari against all features."""
+    """dropped, ari against all features, silhouette (over 1,000 skus) in the features that are left."""
     z = _z(spark, sf).cache()
-    base = K.kmeans(K.assembled(z, "sku", FEATURES), "sku", 4, 2)[0]
+    base = K.kmeans(K.assembled(z, "sku", FEATURES), "sku", 4, 2)[0].withColumnRenamed("cluster", "base")
     out = []
     for f in FEATURES:
-        c = K.kmeans(K.assembled(z, "sku", [x for x in FEATURES if x != f]), "sku", 4, 1)[0].withColumnRenamed("cluster", "other")
-        out.append(K.agreement(base.join(c, "sku"), "cluster", "other").select(F.lit(f[:-2]).alias("dropped"), "ari"))
+        left = [x for x in FEATURES if x != f]
+        c = K.kmeans(K.assembled(z, "sku", left), "sku", 4, 2)[0]
+        ari = K.agreement(base.join(c, "sku"), "base", "cluster")
+        out.append(ari.join(F.broadcast(_silhouette(z.join(c, "sku"), left))).select(F.lit(f[:-2]).alias("dropped"), "ari", "silhouette"))
     return reduce(DataFrame.unionByName, out)
 
 
 @query("outlier_sensitivity")
 def outlier_sensitivity(spark, sf):
+    """n, ari and the silhouettes (over 1,000 skus) with all skus and without those above the 99 % quantile of revenue."""
     f = features(spark, sf).cache()
     cut = f.agg(F.percentile("total_revenue", F.lit(0.99)).alias("cut"))
     kept = f.join(F.broadcast(cut)).filter(F.col("total_revenue") <= F.col("cut")).drop("cut")
-    z = S.z_scores(kept, S.FEATURES).select("sku", *FEATURES)
-    c = K.kmeans(K.assembled(z, "sku", FEATURES), "sku", 4, 2)[0].withColumnRenamed("cluster", "other")
-    return K.agreement(_clusters(spark, sf, restarts=2)[0].join(c, "sku"), "cluster", "other").select("n", "ari")
+    all_, left = (S.z_scores(x, S.FEATURES).select("sku", *FEATURES) for x in (f, kept))
+    a, b = (K.kmeans(K.assembled(z, "sku", FEATURES), "sku", 4, 2)[0] for z in (all_, left))
+    ari = K.agreement(a.join(b.withColumnRenamed("cluster", "other"), "sku"), "cluster", "other").select("n", "ari")
+    sils = [_silhouette(z.join(c, "sku"), FEATURES).withColumnRenamed("silhouette", n) for z, c, n in ((all_, a, "silhouette_all"), (left, b, "silhouette_without"))]
+    return ari.join(F.broadcast(sils[0])).join(F.broadcast(sils[1]))
 
 
 @query("revenue_p99", "WITH r AS (SELECT sku, CAST(sum(revenue) AS DOUBLE) AS v FROM demand GROUP BY sku) SELECT round(quantile_cont(v, 0.99), 4) AS p99, round(median(v), 4) AS median FROM r")

@@ -3,7 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from stockyard.operators import experiment as X
-from stockyard.plans.catalog import query
+from stockyard.plans.catalog import normal_cdf, query
 from stockyard.plans.rfm import _SCORED, _segments
 from stockyard.sources import views as V
 
@@ -26,10 +26,15 @@ def conversion(spark, sf):
     return _conversion(spark, sf).select("customer", "orders_now", F.round("rate_before", 6).alias("rate_before"), "converted")
 
 
-@query("power_analysis")
+#: Standard normal quantiles at 0.975 and 0.8.
+_ZA, _ZB = "1.959963984540054::DOUBLE", "0.8416212335729143::DOUBLE"
+
+
+@query("power_analysis", f"WITH {_CONV}, b AS (SELECT least(greatest(avg(CASE WHEN change >= -0.2::DOUBLE THEN 1 ELSE 0 END), 0.01::DOUBLE), 0.94::DOUBLE) AS p, count(*) AS n FROM cv), h AS (SELECT *, 2 * asin(sqrt(p)) - 2 * asin(sqrt(least(p + 0.05::DOUBLE, 0.999::DOUBLE))) AS h FROM b), r AS (SELECT *, CAST(ceil(2 * (({_ZA} + {_ZB}) / h) ** 2) AS BIGINT) AS need FROM h), u AS (SELECT *, least(need, n // 2) AS used FROM r) SELECT round(p, 6) AS baseline_rate, 0.05::DOUBLE AS mde, round(h, 6) AS effect, need AS required_n, CAST(used AS BIGINT) AS used_n, CAST(n AS BIGINT) AS available, n >= 2 * need AS feasible, round(greatest(0.001::DOUBLE, sin(asin(sqrt(p)) + ({_ZA} + {_ZB}) * sqrt(2 / greatest(used, 1)::DOUBLE) / 2) ** 2 - p), 6) AS detectable_mde, 0.05::DOUBLE AS alpha, 0.8::DOUBLE AS power FROM u")
 def power_analysis(spark, sf):
     r = _conversion(spark, sf).agg(F.avg("converted").alias("p"), F.count("*").alias("n")).first()
     d = X.power_analysis(min(max(r.p, 0.01), 0.94), r.n)
+    d |= {k: round(d[k], 6) for k in ("baseline_rate", "effect", "detectable_mde")}
     return spark.createDataFrame([tuple(d.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'bigint' if isinstance(v, int) else 'double'}" for k, v in d.items()))
 
 
@@ -76,9 +81,16 @@ def two_proportion_z(spark, sf):
     return _z(spark, sf).select(*[F.round(c, 5 if c == "z" else 6).alias(c) for c in ("p1", "p2", "diff", "z", "low", "high")])
 
 
-@query("experiment_p_values")
+@query("experiment_p_values", f"WITH {_OUT}, y AS (SELECT (p1 - p2) / sqrt(p * (1 - p) * (1 / n1 + 1 / n2)) AS z, abs(2 * asin(sqrt(p1)) - 2 * asin(sqrt(p2))) AS h, n1 FROM z), x AS (SELECT *, h * sqrt(n1 / 2) AS s FROM y) SELECT round(z, 5) AS z, round(2 - 2 * {normal_cdf('abs(z)')}, 6) AS p, CASE WHEN h > 1e-6 THEN round({normal_cdf(f's - {_ZA}')} + {normal_cdf(f'-s - {_ZA}')}, 6) ELSE 0 END AS power FROM x")
 def experiment_p_values(spark, sf):
-    return _z(spark, sf).select("z", X.normal_p("z").alias("p"), X.post_hoc_power("p1", "p2", "n1").alias("power"))
+    return _z(spark, sf).select(F.round("z", 5).alias("z"), F.round(X.normal_p("z"), 6).alias("p"), F.round(X.post_hoc_power("p1", "p2", "n1"), 6).alias("power"))
+
+
+@query("test_design", f"WITH {_SCORED}, a AS (SELECT count(*) AS n FROM seg WHERE segment = 'At Risk') SELECT 'At Risk' AS population, n AS available, 'customer' AS unit, 'stratified by type' AS assignment, 'converted' AS primary_metric, 'mean order value' AS guardrail, DATE '{BEFORE[0]}' AS baseline_from, DATE '{BEFORE[1]}' AS baseline_to, DATE '{NOW[0]}' AS test_from, DATE '{NOW[1]}' AS test_to, 0.05::DOUBLE AS alpha, 0.8::DOUBLE AS power FROM a")
+def test_design(spark, sf):
+    """The record of the test's design: whom, what, when, and at which error rates."""
+    d = {"population": "At Risk", "unit": "customer", "assignment": "stratified by type", "primary_metric": "converted", "guardrail": "mean order value", "baseline_from": BEFORE[0], "baseline_to": BEFORE[1], "test_from": NOW[0], "test_to": NOW[1], "alpha": 0.05, "power": 0.8}
+    return _at_risk(spark, sf).agg(F.count("*").alias("available")).select("available", *[F.lit(v).alias(k) for k, v in d.items()])
 
 
 _AOV = f"{_CONV}, ov AS (SELECT CASE WHEN customer % 2 = 0 THEN 'T' ELSE 'C' END AS arm, revenue::DOUBLE AS v FROM sales JOIN cv USING (customer)), w AS (SELECT avg(v) FILTER (arm = 'T') AS a, avg(v) FILTER (arm = 'C') AS b, var_samp(v) FILTER (arm = 'T') / count(*) FILTER (arm = 'T') AS va, var_samp(v) FILTER (arm = 'C') / count(*) FILTER (arm = 'C') AS vb, count(*) FILTER (arm = 'T') AS na, count(*) FILTER (arm = 'C') AS nb FROM ov)"

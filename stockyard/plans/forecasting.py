@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from stockyard.operators import forecast as O
 from stockyard.operators import panel as P
-from stockyard.plans.catalog import query
+from stockyard.plans.catalog import f_upper, normal_cdf, query, t_two_sided
 from stockyard.sources import views as V
 
 
@@ -123,20 +123,26 @@ def wilcoxon_test(spark, sf):
     return O.wilcoxon(_scored(spark, sf), "SES", "Naive").select("n", "w")
 
 
-@query("model_tests_p")
+_RANKED = "w_ranks AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY abs(d)) AS c FROM df WHERE d <> 0), w_sums AS (SELECT count(*) AS n, least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) AS w, sum(c * c - 1) AS tt FROM w_ranks), w_z AS (SELECT (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - tt / 48) AS z FROM w_sums)"
+
+
+@query("model_tests_p", f"WITH RECURSIVE {_DIFF}, {_RANKED}, t_one AS (SELECT count(*) AS n, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM df) SELECT 'paired t' AS test, round({t_two_sided('t', 'n - 1')}, 6) AS p FROM t_one UNION ALL SELECT 'wilcoxon', round(2 - 2 * {normal_cdf('abs(z)')}, 6) FROM w_z")
 def model_tests_p(spark, sf):
     s = _scored(spark, sf)
-    return O.paired_t(s, "SES", "Naive").select(F.lit("paired t").alias("test"), "p").unionByName(O.wilcoxon(s, "SES", "Naive").select(F.lit("wilcoxon").alias("test"), "p"))
+    return _r(O.paired_t(s, "SES", "Naive").select(F.lit("paired t").alias("test"), "p").unionByName(O.wilcoxon(s, "SES", "Naive").select(F.lit("wilcoxon").alias("test"), "p")), ("p",))
+
 
+_WEEKDAY = "WITH d AS (SELECT k, isodow(date) AS w, q FROM dense), m AS (SELECT k, w, count(*) AS c, avg(q) AS mu FROM d GROUP BY k, w), a AS (SELECT k, avg(q) AS mu, count(*) AS n FROM d GROUP BY k), b AS (SELECT k, sum(c * (m.mu - a.mu) ** 2) / 6 AS msb FROM m JOIN a USING (k) GROUP BY k), s AS (SELECT d.k, sum((q - mu) ** 2) / (any_value(n.n) - 7) AS msw FROM d JOIN m USING (k, w) JOIN (SELECT k AS k, count(*) AS n FROM d GROUP BY k) n ON n.k = d.k GROUP BY d.k)"
 
-@query("weekday_f_test", "WITH d AS (SELECT k, isodow(date) AS w, q FROM dense), m AS (SELECT k, w, count(*) AS c, avg(q) AS mu FROM d GROUP BY k, w), a AS (SELECT k, avg(q) AS mu, count(*) AS n FROM d GROUP BY k), b AS (SELECT k, sum(c * (m.mu - a.mu) ** 2) / 6 AS msb FROM m JOIN a USING (k) GROUP BY k), s AS (SELECT d.k, sum((q - mu) ** 2) / (any_value(n.n) - 7) AS msw FROM d JOIN m USING (k, w) JOIN (SELECT k AS k, count(*) AS n FROM d GROUP BY k) n ON n.k = d.k GROUP BY d.k) SELECT k, round(msb / msw, 5) AS f FROM b JOIN s USING (k)")
+
+@query("weekday_f_test", f"{_WEEKDAY} SELECT k, round(msb / msw, 5) AS f FROM b JOIN s USING (k)")
 def weekday_f_test(spark, sf):
     return O.weekday_f(V.dense(spark, sf)).select("k", F.round("f", 5).alias("f"))
 
 
-@query("weekday_f_test_p")
+@query("weekday_f_test_p", f"{_WEEKDAY}, y AS (SELECT k, msb / msw AS f, (SELECT count(*) FROM d WHERE d.k = b.k) - 7 AS dd FROM b JOIN s USING (k)) SELECT k, round(f, 5) AS f, round({f_upper('f', '6', 'dd')}, 6) AS p FROM y")
 def weekday_f_test_p(spark, sf):
-    return O.weekday_f(V.dense(spark, sf))
+    return O.weekday_f(V.dense(spark, sf)).select("k", F.round("f", 5).alias("f"), F.round("p", 6).alias("p"))
 
 
 _ACF = "x AS (SELECT k, row_number() OVER (PARTITION BY k ORDER BY date) AS i, q - avg(q) OVER (PARTITION BY k) AS x FROM dense), l AS (SELECT range AS lag FROM range(26)), c AS (SELECT a.k, lag, sum(a.x * b.x) AS c FROM x a, l JOIN x b ON b.k = a.k AND b.i = a.i - lag GROUP BY a.k, lag), r AS (SELECT k, lag, c / max(c) FILTER (lag = 0) OVER (PARTITION BY k) AS acf FROM c), nn AS (SELECT k, count(*) AS n FROM dense GROUP BY k)"
@@ -147,9 +153,12 @@ def acf(spark, sf):
     return O.acf(V.dense(spark, sf)).select("k", "lag", F.round("acf", 6).alias("acf"))
 
 
-@query("pacf")
+_PACF = "rs AS (SELECT k, list(acf ORDER BY lag) AS r FROM r GROUP BY k), pc AS (SELECT k, r, 1 AS m, [r[2]] AS phi FROM rs UNION ALL SELECT k, r, m + 1, list_concat([phi[j] - l * phi[m + 1 - j] for j in range(1, m + 1)], [l]) FROM (SELECT *, (r[m + 2] - list_sum([phi[j] * r[m + 2 - j] for j in range(1, m + 1)])) / (1 - list_sum([phi[j] * r[j + 1] for j in range(1, m + 1)])) AS l FROM pc WHERE m < 25))"
+
+
+@query("pacf", f"WITH RECURSIVE {_ACF}, {_PACF} SELECT k, CAST(m AS INT) AS lag, round(phi[m], 6) AS pacf FROM pc UNION ALL SELECT k, CAST(0 AS INT), 1.0::DOUBLE FROM rs")
 def pacf(spark, sf):
-    return O.pacf(O.acf(V.dense(spark, sf)))
+    return _r(O.pacf(O.acf(V.dense(spark, sf))), ("pacf",))
 
 
 @query("ljung_box", f"WITH {_ACF} SELECT k, round(any_value(n) * (any_value(n) + 2) * sum(acf * acf / (n - lag)), 4) AS q FROM r JOIN nn USING (k) WHERE lag BETWEEN 1 AND 10 GROUP BY k")
@@ -157,7 +166,11 @@ def ljung_box(spark, sf):
     return O.ljung_box(O.acf(V.dense(spark, sf), 10)).select("k", F.round("q", 4).alias("q"))
 
 
-@query("decomposition", "WITH t AS (SELECT k, date, q, CASE WHEN count(*) OVER w = 7 THEN avg(q) OVER w END AS trend FROM dense WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), d AS (SELECT k, isodow(date) AS w, avg(q - trend) AS s FROM t GROUP BY ALL), c AS (SELECT k, w, s - avg(s) OVER (PARTITION BY k) AS s FROM d) SELECT t.k, date, q, round(trend, 6) AS trend, round(s, 6) AS seasonal, round(q - trend - s, 6) AS residual FROM t JOIN c ON c.k = t.k AND c.w = isodow(date)")
+@query("decomposition", """WITH c AS (SELECT k, date, q, row_number() OVER (PARTITION BY k ORDER BY date) AS i, count(*) OVER (PARTITION BY k) AS n, CASE WHEN count(*) OVER w = 7 THEN avg(q) OVER w END AS trend FROM dense WINDOW w AS (PARTITION BY k ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+e AS (SELECT k, regr_slope(trend, i) FILTER (i <= 10) AS fs, regr_intercept(trend, i) FILTER (i <= 10) AS fi, regr_slope(trend, i) FILTER (i > n - 10) AS bs, regr_intercept(trend, i) FILTER (i > n - 10) AS bi FROM c WHERE trend IS NOT NULL GROUP BY k),
+t AS (SELECT k, date, q, CASE WHEN i <= 3 THEN fi + fs * i WHEN i > n - 3 THEN bi + bs * i ELSE trend END AS trend FROM c JOIN e USING (k)),
+d AS (SELECT k, isodow(date) AS w, avg(q - trend) AS s FROM t GROUP BY ALL), m AS (SELECT k, w, s - avg(s) OVER (PARTITION BY k) AS s FROM d)
+SELECT t.k, date, q, round(trend, 6) AS trend, round(s, 6) AS seasonal, round(q - trend - s, 6) AS residual FROM t JOIN m ON m.k = t.k AND m.w = isodow(date)""")
 def decomposition(spark, sf):
     return _r(O.decompose(V.dense(spark, sf)), ("trend", "seasonal", "residual"))
 
@@ -192,7 +205,7 @@ def panel_features(spark, sf):
     d = V.dense(spark, sf).withColumn("_i", F.row_number().over(P.Window.partitionBy("k").orderBy("date")))
     f = d.withColumns({**P.lags("q", "k", "date", (1, 7, 14, 28)), **P.trailing_means("q", "k", "date", (7, 14, 28)), "std_7": P.trailing_std("q", "k", "date"), "weekday": F.weekday("date"), "month": F.month("date"), "quarter": F.quarter("date"), "weekend": (F.weekday("date") >= 5).cast("int"), "since_big": P.days_since(F.col("q") > 150, "k", "date").cast("bigint")})
     codes = d.select("k").distinct().withColumn("k_code", P.label_codes("k"))
-    return f.join(F.broadcast(codes), "k").dropna(subset=["lag_28"]).drop("_i")
+    return f.join(codes, "k").dropna(subset=["lag_28"]).drop("_i")
 
 
 @query("panel_features", f"WITH f AS (SELECT k, date, q, {_LAGS}, {_MEANS}, round(coalesce(stddev_samp(q) OVER (PARTITION BY k ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING), 0), 6) AS std_7, CAST(isodow(date) - 1 AS INT) AS weekday, CAST(month(date) AS INT) AS month, CAST(quarter(date) AS INT) AS quarter, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS weekend, row_number() OVER w AS i FROM dense WINDOW w AS (PARTITION BY k ORDER BY date)), g AS (SELECT *, coalesce(i - max(CASE WHEN q > 150 THEN i END) OVER (PARTITION BY k ORDER BY date), 999) AS since_big, CAST(dense_rank() OVER (ORDER BY k) - 1 AS INT) AS k_code FROM f) SELECT * EXCLUDE (i) FROM g WHERE lag_28 IS NOT NULL")

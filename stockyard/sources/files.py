@@ -45,10 +45,19 @@ def records(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def write_text(text: str, path: str) -> None:
-    """A rendered document, on the driver."""
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A rendered document (Markdown, say) as one file on any file system that Spark knows; replaces what is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def markdown(df: DataFrame, title: str, most: int = 200) -> str:
+    """A table of at most so many rows (a report, so it is for small results) as a Markdown section."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in df.limit(most).collect())]) + "\n"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -56,5 +65,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stockyard-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="stockyard-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

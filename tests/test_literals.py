@@ -160,6 +160,9 @@ def test_ward_and_quality(spark):
     g = np.random.default_rng(2)
     rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([g.normal(c, 0.1, (20, 2)) for c in ((0, 0), (5, 5), (0, 5))]))]
     df = spark.createDataFrame(rows, "id int, x double, y double")
+    for groups in (400, 12):  # each point on its own, then cells
+        cut = cluster.ward(df, "id", ["x", "y"], (3,), groups)
+        assert cut.count() == 60 and segment.agreement(df.select("id", F.floor(F.col("id") / 20).alias("t")).join(cut, "id"), "t", "cluster").first().ari == pytest.approx(1)
     w = cluster.ward(df, "id", ["x", "y"], (3,))
     truth = df.select("id", F.floor(F.col("id") / 20).alias("t")).join(w, "id")
     assert segment.agreement(truth, "t", "cluster").first().ari == pytest.approx(1)
@@ -256,3 +259,69 @@ def test_sweep_is_whole(spark, monkeypatch):
     monkeypatch.setattr(clustering.K, "quality", lambda *_: spark.range(1).select(F.lit(1.0).alias("calinski_harabasz"), F.lit(1.0).alias("davies_bouldin")))
     sweep = clustering.kmeans_sweep(spark, None)
     assert ks == list(range(2, 13)) and set(samples) == {1000} and sweep.columns == ["k", "inertia", "silhouette", "ch", "db"]
+
+
+def test_decomposition_to_the_ends(spark):
+    """A straight line and a weekly pattern come apart exactly, also in the first and last days."""
+    week = [3, -1, 0, 2, -2, -3, 1]
+    rows = [("a", day(i), 10 + 0.5 * i + week[i % 7]) for i in range(35)]
+    for r in forecast.decompose(spark.createDataFrame(rows, "k string, date date, q double")).collect():
+        i = (r.date - day(0)).days
+        assert (r.trend, r.seasonal, r.residual) == pytest.approx((10 + 0.5 * i, week[i % 7], 0), abs=1e-9)
+
+
+def test_qq_points_are_normal_quantiles(spark):
+    from statistics import NormalDist
+
+    df = spark.createDataFrame([("a", day(i), float(x)) for i, x in enumerate([5, 1, 4, 2, 3])], "k string, date date, residual double")
+    got = sorted((r.y, r.x) for r in forecast.qq_points(df).collect())
+    assert [y for y, _ in got] == [1, 2, 3, 4, 5] and [x for _, x in got] == pytest.approx([NormalDist().inv_cdf((i + 0.5) / 5) for i in range(5)])
+
+
+def test_pca_equals_the_eigenvectors(spark):
+    g = np.random.default_rng(5)
+    x = g.normal(size=(80, 4)) @ np.diag([3.0, 2.0, 1.0, 0.5])
+    x -= x.mean(0)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double, d double")
+    got, shares = cluster.pca(cluster.assembled(df, "id", list("abcd")), "id")
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert shares == pytest.approx((values[::-1] / values.sum())[:2])
+    for r in got.collect():
+        assert (abs(r.c1), abs(r.c2)) == pytest.approx(tuple(np.abs(x[r.id] @ vectors[:, ::-1][:, :2])), abs=1e-9)
+
+
+def test_clusters_are_a_fixed_point(spark):
+    """Every point is nearest to the mean of its own cluster."""
+    g = np.random.default_rng(6)
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([g.normal(c, 0.3, (30, 2)) for c in ((0, 0), (6, 6), (0, 6), (6, 0))]))]
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    c, inertia = cluster.kmeans(cluster.assembled(df, "id", ["x", "y"]), "id", 4)
+    of = {r.id: r.cluster for r in c.collect()}
+    x = np.array([r[1:] for r in rows])
+    lab = np.array([of[i] for i in range(len(rows))])
+    means = np.array([x[lab == k].mean(0) for k in range(4)])
+    d = ((x[:, None] - means[None]) ** 2).sum(2)
+    assert (d.argmin(1) == lab).all() and inertia == pytest.approx(d.min(1).sum())
+
+
+def test_pairwise_agreement(spark):
+    runs = {0: [0, 0, 1, 1, 2, 2], 1: [1, 1, 0, 0, 2, 2], 2: [0, 0, 0, 1, 1, 1]}
+    df = spark.createDataFrame([(i, r, c) for r, cs in runs.items() for i, c in enumerate(cs)], "sku int, run int, cluster int")
+    got = {(r.run_a, r.run_b): r.ari for r in cluster.pairwise_agreement(df, "sku", "run", "cluster").collect()}
+    assert got[0, 1] == pytest.approx(1) and got[0, 2] == got[1, 2] == pytest.approx(0.242424, abs=1e-6)
+
+
+def test_markdown_sink(spark, tmp_path):
+    from stockyard.sources import files
+
+    path = f"file://{tmp_path}/report.md"
+    files.write_text(spark, files.markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string"), "Rows"), path)
+    files.write_text(spark, files.markdown(spark.createDataFrame([(1, "a|b"), (2, None)], "n int, s string"), "Rows"), path)
+    assert (tmp_path / "report.md").read_text() == "## Rows\n\n| n | s |\n|-|-|\n| 1 | a\\|b |\n| 2 |  |\n"
+
+
+def test_bootstrap_draws_by_position(spark):
+    """Each draw is a row of the table, as many as there are, with repeats and gaps; a seed gives the same draws."""
+    df = spark.range(500).withColumnRenamed("id", "k")
+    one, two, other = (sorted(r.k for r in sampling.bootstrap(df.repartition(n), "k", seed).collect()) for n, seed in ((2, 1), (7, 1), (2, 2)))
+    assert one == two != other and len(one) == 500 and set(one) < set(range(500)) and 280 < len(set(one)) < 350
