@@ -10,6 +10,8 @@ from stockyard import registry
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 OWN = set(registry.QUERIES)
+#: Many fits each, minutes in all: they run where STOCKYARD_SLOW is set.
+SLOW = {"kmeans_sweep", "chosen_k_of_sweep", "feature_ablation", "boosted_grid_cv", "boosted_accuracy", "feature_importance", "seed_stability", "outlier_sensitivity", "cluster_profiles", "boosted_forecasts"}
 
 
 @pytest.fixture(scope="module")
@@ -31,9 +33,10 @@ def test_equals_sql(spark, con, name):
     assert said.startswith("ok"), said
 
 
-@pytest.mark.parametrize("name", sorted(OWN - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(OWN - set(entry.oracle_sql()) - (set() if os.environ.get("STOCKYARD_SLOW") else SLOW)))
 def test_runs(spark, name):
-    df = entry.queries()[name](spark, SF)
+    # Its groups need 20 rows, which the smallest tables don't have.
+    df = entry.queries()[name](spark, SF.replace("0.001", "0.01") if name == "operator_isolation" else SF)
     rows = df.collect()
     spark.catalog.clearCache()
     assert rows and all(any(r[c] is not None for r in rows) for c in df.columns)
