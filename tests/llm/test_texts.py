@@ -189,6 +189,30 @@ def test_no_possible_pair_is_left_out(spark):
     assert got >= set(links) and len(got) < 300 * 299 / 2
 
 
+@pytest.mark.parametrize("seed", [5])
+def test_classes_equal_brute_force(spark, seed):
+    """The whole operator on two families of one template each and on copies with few to many edits: classes of all pairs at 0.8."""
+    r = random.Random(seed)
+    texts = family(80, seed, 300, 6) + family(60, seed + 1, 120, 3)
+    base = [prose(r.randint(20, 300), 900 + k) for k in range(40)]
+    texts += base + [edited(t, r.randint(0, 1 + len(t) // 250), k) for k, t in enumerate(base * 5)]
+    node = list(range(len(texts)))
+
+    def top(i):
+        while node[i] != i:
+            i = node[i]
+        return i
+
+    links = brute_links(texts)
+    for i, j in links:
+        a, b = sorted((top(i), top(j)))
+        node[b] = a
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    r.shuffle(rows)
+    got = {x._kept.doc_id: x.class_id for x in omh.classes(frame(spark, rows)).collect()}
+    assert got == {i: top(i) for i in range(len(texts))} and len(links) > 250 and 60 < len(set(got.values())) < len(texts)
+
+
 # Decontamination
 
 
