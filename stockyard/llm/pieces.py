@@ -92,7 +92,8 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.memo: dict[str, bytes] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        #: By (id of the piece before, or -1, plus one) << 32 | id of the piece: a number takes less memory than the two texts.
+        self.fits: dict[int, bool] = {}
         self.raw: dict[str, bytes] = {}
         self.ends: dict[str, tuple[int, ...]] = {}
         self.most_kept = 0
@@ -121,18 +122,12 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _fit(self, a: str, b: str) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > MEMO_SIZE:
-                self.fits.clear()
-            got = self.fits[a, b] = self._merged(a + b) == [a, b]
-        return got
-
-    def _merged_whole(self, piece: str) -> bool:
-        got = self.fits.get((piece, ""))
-        if got is None:
-            got = self.fits[piece, ""] = self._merged(piece) == [piece]
+    def _fit(self, key: int, before: int, piece: str) -> bool:
+        """Whether the merges leave the piece as it is behind the piece of the id `before`, or on its own (-1); remembered under `key`."""
+        if len(self.fits) >= MEMO_SIZE:
+            self.fits.clear()
+        left = [self.v.text[before].decode()] if before >= 0 else []
+        got = self.fits[key] = self._merged("".join([*left, piece])) == [*left, piece]
         return got
 
     def _ids_of(self, piece: str) -> list[int]:
@@ -153,6 +148,7 @@ class Encoder:
         """Every position's one valid last piece, in a window that begins at the last committed boundary."""
         ids, fits, longest, ends = self.v.ids, self.fits, self.v.longest, self.ends
         text, last, end = "", [""], 1  # last[i]: the piece that ends at i; last[0]: the one before the window, if there is one
+        known = [-1]  # its id; -1: none, or not in the vocabulary
         for chunk in chunks:
             text += chunk
             while end <= len(text):
@@ -165,22 +161,24 @@ class Encoder:
                         continue
                     start = end - n
                     piece = text[start:end]
-                    if n < 3 or piece in ids:
-                        key = (last[start], piece)
+                    i = ids.get(piece)
+                    if i is not None:
+                        key = known[start] + 1 << 32 | i
                         fit = fits.get(key)
                         if fit is None:
-                            fit = self._fit(*key) if key[0] in ids else self._merged_whole(piece)
-                            fits[key] = fit
+                            fit = self._fit(key, known[start], piece)
                         if fit:
                             last.append(piece)
+                            known.append(i)
                             break
                 else:
                     last.append(text[end - 1])
+                    known.append(ids.get(text[end - 1], -1))
                 if end >= 2 * longest and end % longest == 0:
                     meet = self._meeting(last, end, longest)
                     if meet:
                         yield self._path(last, meet)
-                        text, last, end = text[meet:], last[meet:], end - meet
+                        text, last, known, end = text[meet:], last[meet:], known[meet:], end - meet
                     if end > self.most_kept:
                         self.most_kept = end
                 end += 1
