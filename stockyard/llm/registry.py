@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("archives", "centroids", "chat_format", "decontaminate", "katz", "omh", "pieces", "pii", "quality", "secrets", "sharding", "url_filter")
+MODULES = ("archives", "centroids", "chat_format", "decontaminate", "katz", "omh", "pieces", "pii", "quality", "secrets", "sharding", "trie", "url_filter")
 
 
 def _all() -> list:
