@@ -10,8 +10,8 @@ reference encoder of that model kind gives.
 
 No piece of usual models holds a space after another character, so a text falls into runs "spaces, then others" at whose borders all ways
 meet, as they do between two characters that no piece holds side by side. Every stretch between two such boundaries goes through the
-same search, however long it is; what it gave for stretches of up to MEMO characters is remembered, in a bounded memo. A model with
-pieces across spaces is searched as one run. Ties (unigram): the way whose last piece is longest; BPE merges break ties by place.
+same search, however long it is. The distinct stretches of up to MEMO characters of a block of text are searched in order, so that each
+goes on from where it leaves the one before it, and remembered in a bounded memo. A model with pieces across spaces is searched as one run. Ties (unigram): the way whose last piece is longest; BPE merges break ties by place.
 
 Unknown characters become byte pieces (or the unknown piece, if the model has none). U+2581 in a text is one of them, so that decoding
 gives it back; everything else encodes as usual: a space is put before a text that isn't empty.
@@ -34,6 +34,8 @@ from stockyard.llm import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MEMO, MEMO_SIZE = 40, 400_000
+#: Characters whose distinct runs are searched together.
+BLOCK = 1 << 20
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _RUNS = re.compile(r" +[^ ]*|[^ ]+")
 
@@ -45,6 +47,7 @@ class Vocabulary:
         self.kind = kind
         self.text: list[bytes] = []
         self.ids: dict[str, int] = {}
+        self.plain: dict[int, str] = {}
         self.score: list[float] = []
         self.bytes = [-1] * 256
         self.unknown = 0
@@ -56,6 +59,7 @@ class Vocabulary:
             elif what == "normal":
                 plain = piece.replace("▁", " ")
                 self.ids[plain] = i
+                self.plain[i] = plain
                 self.text.append(plain.encode())
             else:
                 self.unknown = i if what == "unknown" else self.unknown
@@ -71,6 +75,54 @@ class Vocabulary:
             if len(p) > 2:
                 tails.setdefault(p[-3:], set()).add(len(p))
         self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
+        #: BPE: a piece's place in the order of merges (-1: a character), and the two pieces that its last merge joins (none: merges never make it).
+        self.rank: list[int] = [-1] * len(pieces)
+        self.halves: dict[int, tuple[int, int]] = {}
+        if kind == "bpe":
+            for r, i in enumerate(sorted((i for p, i in self.ids.items() if len(p) > 1), key=lambda i: -self.score[i])):
+                self.rank[i] = r
+            for p, i in self.ids.items():
+                parts = self.merged(p, 2)
+                if len(p) > 1 and len(parts) == 2:
+                    self.halves[i] = (self.ids[parts[0]], self.ids[parts[1]])
+
+    def merged(self, text: str, least: int = 1) -> list[str]:
+        """The merges of a short text until so many parts are left, best score first, leftmost on ties."""
+        parts, ids, score = list(text), self.ids, self.score
+        while len(parts) > least:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                i = ids.get(parts[k] + parts[k + 1])
+                if i is not None and (best is None or score[i] > best):
+                    best, at = score[i], k
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def fit(self, before: int, piece: int) -> bool:
+        """Whether the merges leave the piece as it is behind the piece `before`, or on its own (-1).
+
+        Both pieces are taken apart, the later merge first, down to the characters where they meet. At each step the two parts that
+        touch stood side by side once; had their own merge come before the one just undone (or at the same place in the order, farther left), it would have crossed.
+        """
+        rank, halves, ids, text = self.rank, self.halves, self.ids, self.plain
+        if rank[piece] >= 0 and piece not in halves:
+            return False
+        limit = len(rank)
+        while before >= 0:
+            cross = ids.get(text[before] + text[piece])
+            if cross is not None and rank[cross] < limit:
+                return False
+            if rank[before] > rank[piece]:
+                limit = rank[before]
+                before = halves[before][1]
+            elif rank[piece] < 0:
+                return True
+            else:
+                limit = rank[piece] + 1
+                piece = halves[piece][0]
+        return True
 
     def digest(self) -> str:
         return hashlib.sha256(repr((self.kind, self.text, self.score)).encode()).hexdigest()
@@ -106,28 +158,11 @@ class Encoder:
         got = self.ends[tail] = (self.v.tails.get(tail, ()) if len(tail) == 3 else ()) + tuple(n for n in (2, 1) if len(tail) >= n and tail[-n:] in ids)
         return got
 
-    # BPE: whether two pieces can stand side by side
-
-    def _merged(self, text: str) -> list[str]:
-        """The merges of a short text, best score first, leftmost on ties."""
-        parts, ids, score = list(text), self.v.ids, self.v.score
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                i = ids.get(parts[k] + parts[k + 1])
-                if i is not None and (best is None or score[i] > best):
-                    best, at = score[i], k
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _fit(self, key: int, before: int, piece: str) -> bool:
-        """Whether the merges leave the piece as it is behind the piece of the id `before`, or on its own (-1); remembered under `key`."""
+    def _fit(self, key: int, before: int, piece: int) -> bool:
+        """Vocabulary.fit(), remembered under `key`."""
         if len(self.fits) >= MEMO_SIZE:
             self.fits.clear()
-        left = [self.v.text[before].decode()] if before >= 0 else []
-        got = self.fits[key] = self._merged("".join([*left, piece])) == [*left, piece]
+        got = self.fits[key] = self.v.fit(before, piece)
         return got
 
     def _ids_of(self, piece: str) -> list[int]:
@@ -144,46 +179,66 @@ class Encoder:
         for part in (self._bpe if self.v.kind == "bpe" else self._unigram)(chunks):
             yield np.frombuffer(part, np.uint32).tolist()
 
+    def _extend(self, text: str, last: list[str], known: list[int], to: int) -> None:
+        """Every position's one valid last piece, for the positions after those of `last` up to `to`."""
+        ids, fits, ends = self.v.ids, self.fits, self.ends
+        for end in range(len(last), to + 1):
+            tail = text[end - 3 if end > 3 else 0 : end]
+            lengths = ends.get(tail)
+            if lengths is None:
+                lengths = self._lengths(tail)
+            for n in lengths:
+                if n > end:
+                    continue
+                start = end - n
+                piece = text[start:end]
+                i = ids.get(piece)
+                if i is not None:
+                    key = known[start] + 1 << 32 | i
+                    fit = fits.get(key)
+                    if fit is None:
+                        fit = self._fit(key, known[start], i)
+                    if fit:
+                        last.append(piece)
+                        known.append(i)
+                        break
+            else:
+                last.append(text[end - 1])
+                known.append(ids.get(text[end - 1], -1))
+
     def _bpe(self, chunks: Iterable[str]) -> Iterator[bytes]:
-        """Every position's one valid last piece, in a window that begins at the last committed boundary."""
-        ids, fits, longest, ends = self.v.ids, self.fits, self.v.longest, self.ends
-        text, last, end = "", [""], 1  # last[i]: the piece that ends at i; last[0]: the one before the window, if there is one
+        """The valid last pieces in a window that begins at the last committed boundary."""
+        longest = self.v.longest
+        text, last = "", [""]  # last[i]: the piece that ends at i; last[0]: the one before the window, if there is one
         known = [-1]  # its id; -1: none, or not in the vocabulary
         for chunk in chunks:
             text += chunk
-            while end <= len(text):
-                tail = text[end - 3 if end > 3 else 0 : end]
-                lengths = ends.get(tail)
-                if lengths is None:
-                    lengths = self._lengths(tail)
-                for n in lengths:
-                    if n > end:
-                        continue
-                    start = end - n
-                    piece = text[start:end]
-                    i = ids.get(piece)
-                    if i is not None:
-                        key = known[start] + 1 << 32 | i
-                        fit = fits.get(key)
-                        if fit is None:
-                            fit = self._fit(key, known[start], piece)
-                        if fit:
-                            last.append(piece)
-                            known.append(i)
-                            break
-                else:
-                    last.append(text[end - 1])
-                    known.append(ids.get(text[end - 1], -1))
+            while (end := len(last) - 1) < len(text):
+                end = min(len(text), (end // longest + 1) * longest)
+                self._extend(text, last, known, end)
                 if end >= 2 * longest and end % longest == 0:
                     meet = self._meeting(last, end, longest)
                     if meet:
                         yield self._path(last, meet)
                         text, last, known, end = text[meet:], last[meet:], known[meet:], end - meet
-                    if end > self.most_kept:
-                        self.most_kept = end
-                end += 1
-        if end > 1:
-            yield self._path(last, end - 1)
+                self.most_kept = max(self.most_kept, end)
+        if len(last) > 1:
+            yield self._path(last, len(last) - 1)
+
+    def _learn(self, words: set[str]) -> None:
+        """Remember run(w) for words of up to MEMO characters: in order, so that each goes on from where it leaves the one before it."""
+        text, last, known = "", [""], [-1]
+        for w in sorted(words):
+            if self.v.kind != "bpe":
+                self.memo[w] = self.run(w)
+                continue
+            k, most = 0, min(len(w), len(text))
+            while k < most and w[k] == text[k]:
+                k += 1
+            del last[k + 1 :], known[k + 1 :]
+            self._extend(w, last, known, len(w))
+            self.memo[w] = self._path(last, len(w))
+            text = w
 
     def _unigram(self, chunks: Iterable[str]) -> Iterator[bytes]:
         """Every position's best last piece by the sum of scores, in a window that begins at the last committed boundary."""
@@ -233,24 +288,20 @@ class Encoder:
         """Ids of a run, as 32-bit numbers, by the streaming search."""
         return b"".join(self._bpe((text,)) if self.v.kind == "bpe" else self._unigram((text,)))
 
-    def _remembered(self, text: str) -> bytes:
-        """run(text), or what it gave before: texts of up to MEMO characters are kept in a bounded memo."""
-        got = self.memo.get(text)
-        if got is None:
-            got = self.run(text)
-            if len(text) <= MEMO:
-                if len(self.memo) >= MEMO_SIZE:
-                    self.memo.clear()
-                self.memo[text] = got
-        return got
-
-    def _word(self, w: str) -> bytes:
-        """Ids of a run without an inner space: all ways meet where no piece can cross, so it is searched from there to there."""
-        pairs = self.v.pairs
+    def _long(self, w: str) -> bytes:
+        """Ids of a run of more than MEMO characters: all ways meet where no piece can cross, so it is searched from there to there; short parts are remembered."""
+        memo, pairs = self.memo, self.v.pairs
         cuts = [0, *(k for k in range(1, len(w)) if w[k - 1 : k + 1] not in pairs), len(w)]
-        if len(cuts) == 2:
-            return self.run(w)
-        return b"".join([self._remembered(w[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+        out = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            p = w[a:b]
+            got = memo.get(p)
+            if got is None:
+                got = self.run(p)
+                if len(p) <= MEMO and len(memo) < MEMO_SIZE:
+                    memo[p] = got
+            out.append(got)
+        return b"".join(out)
 
     def _raw(self, piece: str) -> bytes:
         got = self.raw.get(piece)
@@ -260,25 +311,48 @@ class Encoder:
                 self.raw[piece] = got
         return got
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, as 32-bit numbers; null and empty texts have none."""
-        if not text:
-            return b""
-        text = " " + text
+    def _runs(self, text: str) -> Iterator[list[str]]:
+        """The runs "spaces, then others" of a text, in lists of about BLOCK characters."""
+        at = 0
+        while at < len(text):
+            to = at + BLOCK
+            if to < len(text):
+                while to < len(text) and not (text[to] == " " and text[to - 1] != " "):
+                    to += 1
+            yield _RUNS.findall(text, at, to)
+            at = to
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of whole texts, as 32-bit numbers; null and empty texts have none. Their distinct runs are searched once, together."""
         if not self.v.splits:
-            return self.run(text)
-        memo, out = self.memo, []
-        find = memo.get
-        for w in _RUNS.findall(text):
-            got = find(w)
-            if got is None:
-                got = self._word(w)
-                if len(w) <= MEMO:
-                    if len(memo) >= MEMO_SIZE:
-                        memo.clear()
-                    memo[w] = got
-            out.append(got)
-        return b"".join(out)
+            return [self.run(" " + t) if t else b"" for t in texts]
+        out = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for k, t in enumerate(texts):
+            for runs in self._runs(" " + t) if t else ():
+                held.append((k, runs))
+                size += sum(map(len, runs))
+                if size >= BLOCK:
+                    self._emit(held, out)
+                    held, size = [], 0
+        self._emit(held, out)
+        return [b"".join(x) for x in out]
+
+    def _emit(self, held: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        memo = self.memo
+        words = {w for _, runs in held for w in runs if len(w) <= MEMO}
+        new = words - memo.keys()
+        if len(memo) + len(new) > MEMO_SIZE:
+            memo.clear()
+            new = words
+        self._learn(new)
+        get, long = memo.get, self._long
+        for k, runs in held:
+            out[k].append(b"".join([get(w) or long(w) for w in runs]))
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, without the space that encode() put before it."""
@@ -310,13 +384,13 @@ def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
     def rows(batches):
         enc = encoder_of(name, vocabulary)
         for b in batches:
-            for lo, hi, data, at in B.slices(b.column(1), 2 << 20):
+            for lo, hi, data, at in B.slices(b.column(1)):
                 raw = data.tobytes()
-                ids, sha, same = [], [], []
+                ids = enc.encode_all([raw[at[k] : at[k + 1]].decode("utf-8", "replace") for k in range(hi - lo)])
+                sha, same = [], []
                 for k in range(hi - lo):
                     text = raw[at[k] : at[k + 1]]
-                    ids.append(enc.encode(text.decode("utf-8", "replace")))
-                    back = enc.decode(np.frombuffer(ids[-1], np.uint32).tolist()).encode("utf-8", "surrogatepass")
+                    back = enc.decode(np.frombuffer(ids[k], np.uint32).tolist()).encode("utf-8", "surrogatepass")
                     sha.append(hashlib.sha256(back).hexdigest())
                     same.append(back == text)
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -324,7 +398,7 @@ def encoded(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_co
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), lists, pa.array(n), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["id", "ids", "n_ids", "decoded_sha256", "round_trip"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, f"id {kind}, ids array<int>, n_ids bigint, decoded_sha256 string, round_trip boolean")
+    out = docs.select(C.col(id_col).alias("id"), C.col(text_col).cast("string").alias("text")).mapInArrow(rows, f"id {kind}, ids array<int>, n_ids bigint, decoded_sha256 string, round_trip boolean")
     return out.withColumnRenamed("id", id_col)
 
 
