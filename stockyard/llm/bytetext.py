@@ -6,6 +6,7 @@ White space here is [\\x20\\x09-\\x0D], all single bytes, so splitting bytes is
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,21 +18,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Odd multipliers of the two polynomials; they have inverses modulo 2**64.
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Values hashed with one table of powers: all tables of a worker hold 4 x BLOCK numbers (4 MB), however long a text is.
+BLOCK = 1 << 17
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    got = _powers.get(base)
-    if got is None or len(got[0]) <= n:
-        size = 1 << max(16, int(n).bit_length())  # grows with the longest slice only
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(size, b, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
-        got = _powers[base] = (out[0], out[1])
-    return got
+@functools.lru_cache(maxsize=2)
+def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i below BLOCK."""
+    out = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        x = np.full(BLOCK, b, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,11 +43,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def segments(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BYTE_BASE) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each segment; its length counts too."""
-    up, down = powers(base, len(values))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[: len(values)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    """A 64-bit hash of values[start:end] for each segment; its length counts too. Starts and ends rise; memory is of the segments and one block of values."""
+    up, down = powers(base)
+    before, after, back = (np.zeros(len(starts), np.uint64) for _ in range(3))
+    total, scale, unscale = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+    step, unstep = up[-1:] * np.uint64(base), down[-1:] * np.uint64(pow(base, -1, 1 << 64))
+    for lo in range(0, len(values) + 1, BLOCK):
+        part = values[lo : lo + BLOCK].astype(np.uint64)
+        part += np.uint64(1)
+        part *= up[: len(part)]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part, out=sums[1:])
+        # Sums before the positions lo .. lo + BLOCK - 1, in powers of the whole.
+        for at, to in ((starts, before), (ends, after)):
+            a, b = np.searchsorted(at, (lo, lo + BLOCK))
+            to[a:b] = total + sums[at[a:b] - lo] * scale
+            if at is starts:
+                back[a:b] = down[at[a:b] - lo] * unscale
+        total, scale, unscale = total + sums[-1:] * scale, scale * step, unscale * unstep
+    return mix((after - before) * back + (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
