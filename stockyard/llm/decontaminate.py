@@ -15,12 +15,14 @@ equal text meets it; an item of placeholders only has none. Other columns are no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockyard.llm import common as C
 
 WINDOW, SHARE, BAND = 6, 0.5, 16
+#: Item positions on either side that a chain's mean shift is taken over.
+REACH = 20
 _NAME = "\u0001n"
 #: Units that become a placeholder after a number.
 UNITS = "kg g mg km m cm mm mi mile miles ft feet inch inches l ml s sec secs second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents pound pounds".split()
@@ -69,7 +71,7 @@ def slot_tokens(text: Column) -> Column:
 
 def _texts(df: DataFrame, text_col: str, key: str) -> DataFrame:
     """(key, text): a text called by its MD5; no nulls."""
-    text = F.col(f"`{text_col}`").cast("string")
+    text = C.col(text_col).cast("string")
     return df.select(F.md5(text.cast("binary")).alias(key), text.alias("_text")).filter("_text IS NOT NULL")
 
 
@@ -87,14 +89,28 @@ def windows(texts: DataFrame, window: int, prefix: str, words_only: bool = False
     return out.filter(F.array_contains(F.slice("_word", F.col(f"{prefix}_pos") + 1, window), True)).drop("_word") if words_only else out
 
 
+def _chains(hits: DataFrame, band: int) -> DataFrame:
+    """(d_id, i_id, i_n, hit, w): hits of diagonals that follow one another within `band` shifts, one hit for each item position."""
+    by = ["d_id", "i_id", "i_n"]
+    lines = hits.groupBy(*by, "shift").agg(F.count("*").alias("n"))  # a diagonal is one row, however many hits lie on it
+    along = Window.partitionBy(*by).orderBy("shift")
+    lines = lines.withColumn("new", F.coalesce((F.col("shift") - F.lag("shift").over(along) > band).cast("int"), F.lit(0))).withColumn("at", F.sum("new").over(along).cast("int"))
+    # Chains that reach beyond a band; the bands have the others.
+    wide = lines.withColumn("span", F.max("shift").over(Window.partitionBy(*by, "at")) - F.min("shift").over(Window.partitionBy(*by, "at"))).where(F.col("span") >= band // 2)
+    mine = hits.join(wide.select(*by, "shift", "at"), [*by, "shift"])
+    near = F.avg("shift").over(Window.partitionBy(*by, "at").orderBy("i_pos").rangeBetween(-REACH, REACH))
+    one = mine.withColumn("off", F.abs(F.col("shift") - near)).groupBy(*by, "at", "i_pos").agg(F.min_by("shift", F.struct("off", "shift")).alias("shift"))
+    return one.select(*by, F.struct("i_pos", "shift").alias("hit"), F.struct(F.lit(3).alias("way"), "at").alias("w"))
+
+
 def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, band: int = BAND) -> DataFrame:
-    """(d_id, i_id, i_n, hits, covered) of (d_id, _text) and (i_id, _text): diagonals and bands whose windows cover `share` of the item's tokens."""
+    """(d_id, i_id, i_n, hits, covered) of (d_id, _text) and (i_id, _text): diagonals, bands and chains whose windows cover `share` of the item's tokens."""
     bench = C.small_or_not(C.written(windows(items, window, "i", True), "bench-windows")[0])
     hits = windows(docs, window, "d").join(bench, "hash").select("d_id", "i_id", "i_n", "i_pos", (F.col("d_pos") - F.col("i_pos")).alias("shift"))
-    # Two bands for each shift, so that any two shifts less than half a band apart share one.
+    # Two bands for each shift, so that any two shifts less than half a band apart share one. A band holds at most BAND hits for a token of the item.
     ways = F.array(*[F.struct(F.lit(k).alias("way"), at.alias("at")) for k, at in enumerate((F.col("shift"), F.floor(F.col("shift") / band).cast("int"), F.floor((F.col("shift") + band // 2) / band).cast("int")))])
     each = hits.select("d_id", "i_id", "i_n", F.struct("i_pos", "shift").alias("hit"), F.explode(ways).alias("w"))
-    found = each.groupBy("d_id", "i_id", "i_n", "w").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    found = each.unionByName(_chains(hits, band)).groupBy("d_id", "i_id", "i_n", "w").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
     found = found.filter((F.col("w.way") == 0) | F.exists("hits", lambda h: h["shift"] != F.get(F.col("hits"), F.lit(0))["shift"]))
     # Tokens covered: each window adds those past the end of the window before it.
     one = F.least(F.lit(window), F.col("i_n"))
@@ -135,7 +151,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float
     n_slots counts pairs of an item's and a document's value. A null doc_id or item_id is an id like any other.
     """
     found = C.small_or_not(_leaking(docs, items, text_col, window, share))
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.md5(F.col(f"`{text_col}`").cast("string").cast("binary")).alias("d_id"))
+    d = docs.select(C.col(id_col).alias("doc_id"), F.md5(C.col(text_col).cast("string").cast("binary")).alias("d_id"))
     i = items.select("item_id", F.md5(F.col("text").cast("string").cast("binary")).alias("i_id"))
     best = d.join(found, "d_id").join(i, "i_id").groupBy("doc_id", "item_id").agg(F.max("b").alias("b"))
     return best.select("doc_id", "item_id", *[F.col(f"b.{c}").cast("bigint").alias(n) for c, n in (("covered", "covered"), ("i_n", "n_item_tokens"), ("n_slots", "n_slots"))], F.col("b.exact").alias("exact"))
@@ -143,11 +159,13 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose text has no leak, nor that of another row with their (not null) id; all columns of docs."""
-    key = F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))
-    texts, _ = C.written(_leaking(docs, items, text_col, window, share).select(F.col("d_id").alias("_leaking_text")).distinct(), "leaking")
+    texts, _ = C.written(_leaking(docs, items, text_col, window, share).select(F.col("d_id").alias("leaking")).distinct(), "leaking")
     texts = C.small_or_not(texts)
-    ids, _ = C.written(docs.join(texts, key == F.col("_leaking_text"), "left_semi").select(F.col(f"`{id_col}`").alias("_leaking_id")).distinct(), "leaking-ids")
-    return docs.join(texts, key == F.col("_leaking_text"), "left_anti").join(C.small_or_not(ids), F.col(f"`{id_col}`") == F.col("_leaking_id"), "left_anti")
+    # The whole row under one name, so that no column of docs can clash.
+    rows = docs.select(F.struct(*[C.col(c) for c in docs.columns]).alias("row"), F.md5(C.col(text_col).cast("string").cast("binary")).alias("key"), C.col(id_col).alias("id"))
+    ids, _ = C.written(rows.join(texts, F.col("key") == F.col("leaking"), "left_semi").select(F.col("id").alias("leaking")).distinct(), "leaking-ids")
+    kept = rows.join(texts, F.col("key") == F.col("leaking"), "left_anti").join(C.small_or_not(ids), F.col("id") == F.col("leaking"), "left_anti")
+    return kept.select("row.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
