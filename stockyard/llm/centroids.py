@@ -144,7 +144,7 @@ def clustered(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     """id, cluster, distance, cluster_inertia, inertia, centroid_sha256 for each kept vector of df."""
     spark = df.sparkSession
     C.bounded_batches(spark, BLOCK)
-    vectors = df.select(F.expr(f"`{id_col.replace('`', '``')}`").alias("id"), F.expr(f"`{vector_col.replace('`', '``')}`").cast("array<double>").alias("v"))
+    vectors = df.select(C.col(id_col).alias("id"), C.col(vector_col).cast("array<double>").alias("v"))
     kind = dict(vectors.dtypes)["id"]
     now = centroids_of(vectors, k, rounds, dim, scale)
 

@@ -15,6 +15,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockyard.llm import common as C
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 #: Control strings that are escaped in texts.
 CONTROLS = (START, SEP, END, "<|endoftext|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<s>", "</s>")
@@ -48,7 +50,7 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", loss_roles:
     so it must fit in memory, as its formatted text must.
     """
     rows = turns.select(
-        F.col(conv_id).alias("conv_id"),
+        C.col(conv_id).alias("conv_id"),
         F.struct(F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"),
     )
     got = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))

@@ -6,13 +6,18 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; beyond it the same join shuffles. 200,000 rows of a few numbers are under 10 MB.
 BROADCAST_ROWS = 200_000
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, whatever dots or spaces that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

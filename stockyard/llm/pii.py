@@ -223,7 +223,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weig
                     sha[k], spans[k] = hashlib.sha256(told(base).encode()).hexdigest(), told(all_)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *map(pa.array, n), pa.array(sha, pa.string()), pa.array(spans, pa.string())], ["id", *(f"n_{c}" for c in KINDS), "base_sha256", "spans"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    out = docs.select(C.col(id_col).alias("id"), C.col(text_col).cast("string").alias("text")).mapInArrow(rows, f"id {kind}, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -256,8 +256,10 @@ def redact(docs: DataFrame, text_col: str = "text", weights: dict | None = None)
                     part = part.set_column(where, b.schema.field(where).name, pa.array(texts, b.schema.field(where).type))
                 yield part
 
-    out = docs.mapInArrow(rows, docs.schema)
-    return out.withColumn("n_chars", F.length(text_col).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    # Under plain names, since a column's own may hold anything.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    out = plain.mapInArrow(rows, plain.schema).toDF(*docs.columns)
+    return out.withColumn("n_chars", F.length(C.col(text_col)).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,8 +76,8 @@ def is_plain(identifier: str) -> bool:
 
 def identifiers(docs: DataFrame, text_col: str = "text", most: int = DICTIONARY) -> list[str]:
     """The identifiers of the most rows, the commonest last (the compressor reaches those most cheaply); equal counts go by name. At most `most` names come to the driver."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col).cast("string"), F.lit(IDENTIFIER), 0))).alias("w")
-    counts = docs.where(F.col(text_col).cast("string").rlike(r"[A-Za-z](?:_[A-Za-z]|\(|[A-Z])")).select(word).where(F.length("w") <= 64).groupBy("w").count()
+    word = F.explode(F.array_distinct(F.regexp_extract_all(C.col(text_col).cast("string"), F.lit(IDENTIFIER), 0))).alias("w")
+    counts = docs.where(C.col(text_col).cast("string").rlike(r"[A-Za-z](?:_[A-Za-z]|\(|[A-Z])")).select(word).where(F.length("w") <= 64).groupBy("w").count()
     letters = F.length(F.regexp_replace("w", "_", ""))
     words = F.greatest(F.lit(1), F.regexp_count("w", F.lit(_WORDS.pattern)))
     best = counts.where((F.col("count") > 1) & (letters >= 3 * words)).orderBy(F.desc("count"), "w").limit(most).collect()
@@ -187,8 +187,7 @@ def told(spans: list[Span]) -> str:
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: list[str] | None = None) -> DataFrame:
     """A row for each row of docs: its id, counts of the base spans, base_sha256, spans. names: the dictionary's identifiers, from docs if not given."""
     C.bounded_batches(docs.sparkSession)
-    quoted = lambda c: "`" + c.replace("`", "``") + "`"
-    docs = docs.select(F.expr(quoted(id_col)).alias("id"), F.expr(quoted(text_col)).cast("string").alias("text"))
+    docs = docs.select(C.col(id_col).alias("id"), C.col(text_col).cast("string").alias("text"))
     names = identifiers(docs) if names is None else names
     kind = dict(docs.dtypes)["id"]
     none = hashlib.sha256(b"").hexdigest()

@@ -195,7 +195,7 @@ def store_of(docs: DataFrame, path: str, arrivals: int = 6, key: str = "doc_id",
     if "_arrival" in docs.columns:
         raise ValueError("the column name _arrival is taken")
     store = ShardStore(docs.sparkSession, path, docs.schema, **options)
-    store.append_each(docs.withColumn("_arrival", F.pmod(F.xxhash64(key), F.lit(arrivals))), "_arrival")
+    store.append_each(docs.withColumn("_arrival", F.pmod(F.xxhash64(C.col(key)), F.lit(arrivals))), "_arrival")
     store.compact()
     store.expire()
     return store

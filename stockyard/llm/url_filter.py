@@ -14,6 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockyard.llm import common as C
+
 #: (rule, verdict); the host is what stands before the first slash.
 RULES = (
     ("com/", "allow"),
@@ -97,7 +99,7 @@ def filter_urls(pages: DataFrame, model: PipelineModel, rules=RULES, threshold:
     A rule's verdict stands; else block from a probability of threshold on. Nulls, empty urls and repeated rows stay as rows of their own;
     other columns of pages are not looked at, so their names can't clash.
     """
-    df = pages.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    df = pages.select(*[C.col(c).alias(f"k{i}") for i, c in enumerate(keep)], host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     df = model.transform(_marked(df)).withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("p", vector_to_array("_p")[1])
     verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("p") >= threshold, "block").otherwise("allow"))
     return df.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), F.col("p").alias("bad_probability"))

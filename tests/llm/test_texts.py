@@ -48,6 +48,25 @@ def test_words_and_hashes():
     assert all(len(v) == 1 for v in h.values()) and len({next(iter(v)) for v in h.values()}) == len(h)
 
 
+def test_hashes_of_long_texts(monkeypatch):
+    """Blocks change no hash; a text of 20 MB leaves no table behind that grew with it."""
+    r = np.random.default_rng(1)
+    data = r.integers(0, 256, 5000).astype(np.uint8)
+    e = np.unique(r.integers(1, 5001, 700))
+    s = np.maximum(0, e - 3)
+    whole = B.segments(data, s, e)
+    same = B.segments(np.concatenate([data[:7], data]), s + 7, e + 7)
+    assert (whole == same).all()
+    monkeypatch.setattr(B, "BLOCK", 64)
+    B.powers.cache_clear()
+    assert (B.segments(data, s, e) == whole).all()
+    monkeypatch.undo()
+    B.powers.cache_clear()
+    long = np.resize(data, 20 << 20)
+    B.segments(long, np.array([0, len(long) - 9]), np.array([len(long) // 2, len(long)]))
+    assert sum(a.nbytes for b in (B.BYTE_BASE, B.WORD_BASE) for a in B.powers(b)) == 4 * 8 * B.BLOCK <= 4 << 20
+
+
 # Quality
 
 
@@ -87,6 +106,18 @@ def test_columns_that_need_quotes(spark):
         assert got.columns == docs.columns and got.count() >= 1
 
 
+def test_columns_that_clash(spark):
+    """Dots, spaces, quotes, and the names that operators use inside."""
+    names = ["_leaking_text", "_leaking_id", "leaking", "row", "key", "id", "_kept", "a.b", "c`d", "e f", "hash", "c0"]
+    docs = frame(spark, [(1, prose(60, 1) + " a@b.com", "s"), (None, None, None)]).withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    b = spark.createDataFrame([(1, "a b")], "item_id int, text string")
+    for got in (D.decontaminated(docs, b), pii.redact(docs)):
+        assert got.columns == docs.columns and [tuple(r)[5:] for r in got.collect()] == [tuple(range(len(names)))] * 2
+    dotted = docs.withColumnRenamed("doc_id", "doc.id").withColumnRenamed("text", "my.text")
+    for got in (D.decontaminated(dotted, b, id_col="doc.id", text_col="my.text"), pii.redact(dotted, "my.text"), pii.detect(dotted, "doc.id", "my.text"), pieces.encoded(dotted, id_col="doc.id", text_col="my.text")):
+        assert got.count() == 2
+
+
 def test_quality_odd_rows(spark):
     assert len(quality.judged(frame(spark, ODD)).collect()) == len(ODD) and quality.judged(frame(spark, [])).collect() == []
 
@@ -284,6 +315,17 @@ def plain_leaks(docs, items, window, share):
                 for p, s in hits:
                     for key in ((0, s), (1, s // D.BAND), (2, (s + D.BAND // 2) // D.BAND)):
                         ways[key].append((p, s))
+                chains: list[list[int]] = []
+                for s in sorted({s for _, s in hits}):
+                    if not chains or s - chains[-1][-1] > D.BAND:
+                        chains.append([])
+                    chains[-1].append(s)
+                for c in chains:
+                    mine = [h for h in hits if c[0] <= h[1] <= c[-1]]
+                    if c[-1] - c[0] >= D.BAND // 2:
+                        for p in {p for p, _ in mine}:
+                            near = [s for q, s in mine if abs(q - p) <= D.REACH]
+                            ways[3, c[0]].append(min((abs(s - sum(near) / len(near)), s, (p, s)) for q, s in mine if q == p)[2])
             for hs in ways.values():
                 if len({p + k for p, _ in hs for k in range(size)}) < -(-share * n // 1):
                     continue
@@ -294,16 +336,44 @@ def plain_leaks(docs, items, window, share):
     return out
 
 
-@pytest.mark.parametrize("seed", range(3))
+def test_words_put_in_along_a_long_item(spark):
+    """A whole copy with a word put in (or another left out) after every so many: shifts add up far beyond a band."""
+    items, docs = [], []
+    for k, (n, gap) in enumerate([(200, 10), (400, 20), (400, 10), (800, 20), (800, 30), (1500, 12), (600, -12)]):
+        words = prose(n, 900 + k).split(" ")
+        items.append((k, " ".join(words)))
+        copy = [x for j, w in enumerate(words) for x in ([w, f"new{j}"] if gap > 0 and j % gap == gap - 1 else [] if gap < 0 and j % -gap == 0 else [w])]
+        docs.append((k, prose(100, 950 + k) + " " + " ".join(copy) + " " + prose(60, 970 + k), "s"))
+        # The same words in another order, and a third of the item, are none.
+        r = random.Random(k)
+        docs += [(100 + k, " ".join(r.sample(words, n)), "s"), (200 + k, prose(50, k) + " " + " ".join(words[: n // 3]), "s")]
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r for r in D.leaks(frame(spark, docs), b).collect()}
+    assert set(got) == {(k, k) for k in range(len(items))}
+    assert all(r.n_slots == 0 and r.covered >= 0.4 * r.n_item_tokens for r in got.values())
+
+
+def test_slots_along_a_chain(spark):
+    """Numbers all along a long item, words put in between: one value must stand for each."""
+    words = prose(300, 77).split(" ")
+    item = [x for j, w in enumerate(words) for x in ([w, str(j)] if j % 9 == 0 else [w])]
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    put_in = lambda change: " ".join(x for j, w in enumerate(item) for x in ([change(w, j), f"new{j}"] if j % 11 == 10 else [change(w, j)]))
+    docs = [(1, put_in(lambda w, j: str(int(w) + 7) if w.isdigit() else w), "s"), (2, put_in(lambda w, j: w), "s")]
+    assert {(r.doc_id, r.exact) for r in D.leaks(frame(spark, docs), b).collect()} == {(1, False), (2, True)}
+
+
+@pytest.mark.parametrize("seed", range(6))
 def test_leaks_equal_brute_force(spark, seed):
     r = random.Random(seed)
     some = ["red", "blue", "Tom", "Anna", "Bob", "5", "7", "12", "km", "goes", "to"]
     words = lambda n: [r.choice(some) for _ in range(n)]
     items = [(i, " ".join(words(r.randint(2, 30)))) for i in range(12)]
     docs = []
+    items += [(i, " ".join(words(r.randint(60, 120)) + [f"w{k}" for k in range(60)])) for i in (12, 13)]
     for d in range(60):
         w = r.choice(items)[1].split(" ")
-        for _ in range(r.randint(0, 3)):
+        for _ in range(r.randint(0, 3) if len(w) < 60 else r.randint(0, 24)):
             k = r.randrange(len(w))
             w[k : k + 1] = r.choice(([], [r.choice(some)], [w[k], r.choice(some)]))
         docs.append((d, " ".join(words(r.randint(0, 8)) + w + words(r.randint(0, 8)))))
