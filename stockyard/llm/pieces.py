@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -78,13 +79,18 @@ class Vocabulary:
         #: BPE: a piece's place in the order of merges (-1: a character), and the two pieces that its last merge joins (none: merges never make it).
         self.rank: list[int] = [-1] * len(pieces)
         self.halves: dict[int, tuple[int, int]] = {}
+        #: Pieces with a merge in them whose score another merge shares: where they go first depends on their places in the text.
+        self.tied: set[int] = set()
         if kind == "bpe":
             for r, i in enumerate(sorted((i for p, i in self.ids.items() if len(p) > 1), key=lambda i: -self.score[i])):
                 self.rank[i] = r
-            for p, i in self.ids.items():
-                parts = self.merged(p, 2)
+            shared = Counter(self.score[i] for p, i in self.ids.items() if len(p) > 1)
+            for p in sorted(self.ids, key=len):
+                parts, i = self.merged(p, 2), self.ids[p]
                 if len(p) > 1 and len(parts) == 2:
                     self.halves[i] = (self.ids[parts[0]], self.ids[parts[1]])
+                    if shared[self.score[i]] > 1 or not self.tied.isdisjoint(self.halves[i]):
+                        self.tied.add(i)
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """The merges of a short text until so many parts are left, best score first, leftmost on ties."""
@@ -109,6 +115,9 @@ class Vocabulary:
         rank, halves, ids, text = self.rank, self.halves, self.ids, self.plain
         if rank[piece] >= 0 and piece not in halves:
             return False
+        if before in self.tied or piece in self.tied:
+            both = [text[before], text[piece]] if before >= 0 else [text[piece]]
+            return self.merged("".join(both)) == both
         limit = len(rank)
         while before >= 0:
             cross = ids.get(text[before] + text[piece])

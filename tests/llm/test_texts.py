@@ -505,6 +505,26 @@ def test_ids_equal_the_library(library, seed):
         assert got == library.encode(t) and e.decode(got) == t
 
 
+@pytest.mark.parametrize("ties", [False, True])
+def test_pairs_that_merges_leave(ties):
+    """fit() against the merges themselves, for all pairs of small vocabularies with much repetition; scores may be shared."""
+    for seed in range(150):
+        r = random.Random(seed)
+        have = ["a", "b", "c"]
+        rows = [(x, -1e9, "normal") for x in have]
+        for k in range(r.randint(2, 16)):
+            x = r.choice(have) + r.choice(have)
+            if x not in have and len(x) < 14:
+                have.append(x)
+                rows.append((x, -float(k // 3 if ties else k), "normal"))
+        v = pieces.Vocabulary(rows, "bpe")
+        own = {i for p, i in v.ids.items() if v.merged(p) == [p]}
+        assert {i for i in v.ids.values() if v.fit(-1, i)} == own
+        for a in own:
+            for b in v.ids.values():
+                assert v.fit(a, b) == (v.merged(v.plain[a] + v.plain[b]) == [v.plain[a], v.plain[b]]), (seed, v.plain[a], v.plain[b])
+
+
 def test_literal_space_mark_comes_back():
     e = pieces.Encoder(pieces.load())
     for t in ("a▁b", "▁", "▁ ▁"):
