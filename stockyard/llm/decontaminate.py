@@ -106,7 +106,8 @@ def _chains(hits: DataFrame, band: int) -> DataFrame:
 def alignments(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = SHARE, band: int = BAND) -> DataFrame:
     """(d_id, i_id, i_n, hits, covered) of (d_id, _text) and (i_id, _text): diagonals, bands and chains whose windows cover `share` of the item's tokens."""
     bench = C.small_or_not(C.written(windows(items, window, "i", True), "bench-windows")[0])
-    hits = windows(docs, window, "d").join(bench, "hash").select("d_id", "i_id", "i_n", "i_pos", (F.col("d_pos") - F.col("i_pos")).alias("shift"))
+    # Read three times below, and far smaller than the texts' windows.
+    hits, _ = C.written(windows(docs, window, "d").join(bench, "hash").select("d_id", "i_id", "i_n", "i_pos", (F.col("d_pos") - F.col("i_pos")).alias("shift")), "bench-hits")
     # Two bands for each shift, so that any two shifts less than half a band apart share one. A band holds at most BAND hits for a token of the item.
     ways = F.array(*[F.struct(F.lit(k).alias("way"), at.alias("at")) for k, at in enumerate((F.col("shift"), F.floor(F.col("shift") / band).cast("int"), F.floor((F.col("shift") + band // 2) / band).cast("int")))])
     each = hits.select("d_id", "i_id", "i_n", F.struct("i_pos", "shift").alias("hit"), F.explode(ways).alias("w"))
