@@ -56,13 +56,16 @@ def silhouette(points: DataFrame, key: str, features: list[str], label: str, mos
 def choose_k(sweep: DataFrame) -> DataFrame:
     """One row: k_chosen, k_elbow for sweep (k, inertia, silhouette, ch).
 
-    Among k >= 3 with a silhouette above both neighbours', the one with the best ch; without any, the best silhouette. Elbow: where the
-    negated second difference of the inertia is largest.
+    Only k >= 3 can be chosen, and only those are neighbours: of those with a silhouette above both neighbours', the one with the best ch;
+    without any, the one with the best silhouette; the least k of equals. Elbow: where the negated second difference of the inertia is largest,
+    over all k. Null where no k is left. A sweep has a row for each k that was tried, so it is one small group.
     """
-    w = Window.orderBy("k")
-    d = sweep.withColumns({"p": F.lag("silhouette").over(w), "n": F.lead("silhouette").over(w), "bend": -(F.lead("inertia").over(w) - 2 * F.col("inertia") + F.lag("inertia").over(w))})
-    peak = (F.col("k") >= 3) & (F.col("silhouette") > F.col("p")) & (F.col("silhouette") > F.col("n"))
-    return d.agg(F.coalesce(F.max_by(F.when(peak, F.col("k")), F.when(peak, F.col("ch"))), F.max_by("k", "silhouette")).alias("k_chosen"), F.max_by("k", "bend").alias("k_elbow"))
+    w = Window.partitionBy(F.col("k") >= 3).orderBy("k")
+    d = sweep.withColumns({"p": F.lag("silhouette").over(w), "n": F.lead("silhouette").over(w)}).withColumns({"peak": (F.col("k") >= 3) & (F.col("silhouette") > F.col("p")) & (F.col("silhouette") > F.col("n"))})
+    all_ = Window.partitionBy(F.lit(0)).orderBy("k")
+    d = d.withColumn("bend", -(F.lead("inertia").over(all_) - 2 * F.col("inertia") + F.lag("inertia").over(all_)))
+    best = lambda when, by: F.max_by(F.when(when, F.col("k")), F.when(when, F.struct(F.col(by), -F.col("k"))))
+    return d.agg(F.coalesce(best(F.col("peak"), "ch"), best(F.col("k") >= 3, "silhouette")).alias("k_chosen"), F.max_by("k", F.when(F.col("bend").isNotNull(), F.struct("bend", -F.col("k")))).alias("k_elbow"))
 
 
 def profiles(df: DataFrame, label: str, means: list[str], modes: list[str], rank_by: str, names: list[str]) -> DataFrame:

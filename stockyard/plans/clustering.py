@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stockyard.operators import cluster as K
+from stockyard.operators import multistart as M
 from stockyard.operators import segment as S
+from stockyard.operators.running import running
 from stockyard.plans.catalog import query
 from stockyard.plans.segmentation import _CLASSES, _FEATURES, classes, features
 from stockyard.sources import views as V
@@ -18,8 +20,9 @@ def _z(spark, sf):
     return S.z_scores(features(spark, sf), S.FEATURES).select("sku", *FEATURES)
 
 
-def _clusters(spark, sf, k=4, restarts=3):
-    return K.kmeans(K.assembled(_z(spark, sf), "sku", FEATURES), "sku", k, restarts)
+def _clusters(spark, sf, k=4, starts=50):
+    """(sku, cluster): the best of 50 starts of up to 1,000 steps."""
+    return M.fit_all(_z(spark, sf), "sku", FEATURES, [M.Fit("k", k, starts)], 1000)[0].drop("fit")
 
 
 def _embedded(spark, sf):
@@ -48,26 +51,46 @@ def silhouettes(spark, sf):
     return K.silhouette(_embedded(spark, sf), "id", _E, "label", None).withColumn("silhouette", F.round("silhouette", 6))
 
 
-_SWEEP = [(2, 900.0, 0.59, 800.0), (3, 500.0, 0.51, 1000.0), (4, 300.0, 0.53, 1500.0), (5, 260.0, 0.50, 1400.0), (6, 240.0, 0.52, 1300.0), (7, 230.0, 0.48, 1200.0)]
+_TIERS = range(2, 13)
 
 
-@query("choose_k", f"WITH s(k, inertia, silhouette, ch) AS (VALUES {', '.join(map(str, _SWEEP))}), d AS (SELECT *, lag(silhouette) OVER w AS p, lead(silhouette) OVER w AS n, -(lead(inertia) OVER w - 2 * inertia + lag(inertia) OVER w) AS bend FROM s WINDOW w AS (ORDER BY k)) SELECT (SELECT k FROM d WHERE k >= 3 AND silhouette > p AND silhouette > n ORDER BY ch DESC LIMIT 1) AS k_chosen, (SELECT k FROM d ORDER BY bend DESC NULLS LAST LIMIT 1) AS k_elbow")
+@query(
+    "choose_k",
+    f"""WITH {_FEATURES}, f AS (SELECT sku, round(mean_demand, 6) AS x, row_number() OVER (ORDER BY round(mean_demand, 6), sku) AS rn, count(*) OVER () AS m FROM feat),
+t AS (SELECT k, rn, x, (k * rn + m - 1) // m AS tier, m FROM f, range(2, 13) r(k)), g AS (SELECT k, tier, avg(x) AS c, count(*) AS n FROM t GROUP BY ALL),
+p AS (SELECT t.k, t.rn, any_value(t.m) AS m, min(abs(t.x - g.c)) FILTER (g.tier = t.tier) AS own, min(abs(t.x - g.c)) FILTER (g.tier <> t.tier) AS other FROM t JOIN g USING (k) GROUP BY t.k, t.rn),
+s AS (SELECT k, sum(own * own) AS inertia, round(avg(CASE WHEN greatest(own, other) > 0 THEN (other - own) / greatest(own, other) ELSE 0 END), 9) AS silhouette, any_value(m) AS m FROM p GROUP BY k),
+b AS (SELECT g.k, sum(n * (c - a.x) ** 2) AS b FROM g, (SELECT avg(x) AS x FROM f) a GROUP BY g.k),
+w AS (SELECT k, inertia, silhouette, (b / (k - 1)) / (inertia / (m - k)) AS ch FROM s JOIN b USING (k)),
+d AS (SELECT *, lag(silhouette) OVER v AS p, lead(silhouette) OVER v AS n, -(lead(inertia) OVER o - 2 * inertia + lag(inertia) OVER o) AS bend FROM w WINDOW v AS (PARTITION BY k >= 3 ORDER BY k), o AS (ORDER BY k))
+SELECT coalesce((SELECT k FROM d WHERE k >= 3 AND silhouette > p AND silhouette > n ORDER BY ch DESC, k LIMIT 1), (SELECT k FROM d WHERE k >= 3 ORDER BY silhouette DESC, k LIMIT 1))::INT AS k_chosen, (SELECT k FROM d WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1)::INT AS k_elbow""",
+)
 def choose_k(spark, sf):
-    return K.choose_k(spark.createDataFrame(_SWEEP, "k int, inertia double, silhouette double, ch double"))
+    """The rule on a sweep that SQL can follow: k tiers of equal size by mean demand, their silhouettes to centres."""
+    f = features(spark, sf).select("sku", F.round("mean_demand", 6).alias("x"))
+    ranked = running(f, [F.col("x"), F.col("sku")], number="rn").join(F.broadcast(f.agg(F.count("*").alias("m"))))  # one row
+    t = ranked.select("x", "m", "rn", F.explode(F.array(*map(F.lit, _TIERS))).alias("k")).withColumn("tier", F.expr("(k * rn + m - 1) div m"))
+    g = t.groupBy("k", "tier").agg(F.avg("x").alias("c"), F.count("*").alias("n"))
+    centres = g.groupBy("k").agg(F.collect_list(F.struct("tier", "c")).alias("cs"))  # 2 .. 12 centres a row, 11 rows
+    gap = lambda c: F.abs(F.col("x") - c["c"])
+    p = t.join(F.broadcast(centres), "k").select("k", "m", F.array_min(F.transform(F.filter("cs", lambda c: c["tier"] == F.col("tier")), gap)).alias("own"), F.array_min(F.transform(F.filter("cs", lambda c: c["tier"] != F.col("tier")), gap)).alias("other"))
+    sil = F.when(F.greatest("own", "other") > 0, (F.col("other") - F.col("own")) / F.greatest("own", "other")).otherwise(0.0)
+    s = p.groupBy("k").agg(F.sum(F.col("own") * F.col("own")).alias("inertia"), F.round(F.avg(sil), 9).alias("silhouette"), F.first("m").alias("m"))
+    b = g.join(F.broadcast(f.agg(F.avg("x").alias("mean")))).groupBy("k").agg(F.sum(F.col("n") * (F.col("c") - F.col("mean")) ** 2).alias("b"))
+    return K.choose_k(s.join(b, "k").select("k", "inertia", "silhouette", ((F.col("b") / (F.col("k") - 1)) / (F.col("inertia") / (F.col("m") - F.col("k")))).alias("ch")))
 
 
 @query("kmeans_sweep")
 def kmeans_sweep(spark, sf):
-    """k, inertia, silhouette, ch, db for k = 2 .. 12; the silhouette is over 1,000 skus by hash."""
-    z = _z(spark, sf).cache()
-    v = K.assembled(z, "sku", FEATURES)
+    """k, inertia, silhouette, ch, db for k = 2 .. 12, each the best of 20 starts; the silhouette is over 1,000 skus by hash."""
+    z = _z(spark, sf)
+    labels, inertia = M.fit_all(z, "sku", FEATURES, [M.Fit(str(k), k) for k in _TIERS])
     out = []
-    for k in range(2, 13):
-        c, inertia = K.kmeans(v, "sku", k, 2)
-        p = z.join(c, "sku")
+    for k in _TIERS:
+        p = z.join(labels.where(F.col("fit") == str(k)), "sku")
         sil = K.silhouette(p, "sku", FEATURES, "cluster", 1000).agg(F.avg("silhouette").alias("silhouette"))
         q = K.quality(p, FEATURES, "cluster")
-        out.append(q.join(F.broadcast(sil)).select(F.lit(k).alias("k"), F.lit(inertia).alias("inertia"), "silhouette", F.col("calinski_harabasz").alias("ch"), F.col("davies_bouldin").alias("db")))
+        out.append(q.join(F.broadcast(sil)).select(F.lit(k).alias("k"), F.lit(inertia[str(k)]).alias("inertia"), "silhouette", F.col("calinski_harabasz").alias("ch"), F.col("davies_bouldin").alias("db")))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -79,13 +102,13 @@ def chosen_k_of_sweep(spark, sf):
 
 @query("kmeans_clusters")
 def kmeans_clusters(spark, sf):
-    return _clusters(spark, sf)[0]
+    return _clusters(spark, sf)
 
 
 @query("cluster_profiles")
 def cluster_profiles(spark, sf):
     part = V.read_table(spark, sf, "part").select(F.col("p_partkey").alias("sku"), F.col("p_type").alias("category"))
-    df = _clusters(spark, sf)[0].join(classes(spark, sf), "sku").join(part, "sku")
+    df = _clusters(spark, sf).join(classes(spark, sf), "sku").join(part, "sku")
     return K.profiles(df, "cluster", ["mean_demand", "total_revenue", "cv"], ["category", "abc"], "mean_demand", NAMES)
 
 
@@ -113,10 +136,10 @@ def ward_clusters(spark, sf):
 
 @query("seed_stability")
 def seed_stability(spark, sf):
-    """20 seeds, each the best of two starts of its own."""
-    v = K.assembled(_z(spark, sf), "sku", FEATURES)
-    runs = reduce(DataFrame.unionByName, [K.kmeans(v, "sku", 4, 2, seed=1000 * s)[0].withColumn("run", F.lit(s)) for s in range(20)])
-    return K.pairwise_agreement(runs.cache(), "sku", "run", "cluster").agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.min("ari").alias("min_ari"), (F.count_if(F.col("ari") > 0.95) / F.count("*")).alias("share_above_95"), F.avg(F.when(F.col("run_a") == 0, F.col("ari"))).alias("mean_against_first"))
+    """20 seeds, each the best of 20 starts of its own; all 400 starts in one run."""
+    runs, _ = M.fit_all(_z(spark, sf), "sku", FEATURES, [M.Fit(f"{s:02d}", 4, 20, 1000 * s) for s in range(20)])
+    runs = runs.withColumn("run", F.col("fit").cast("int"))
+    return K.pairwise_agreement(runs, "sku", "run", "cluster").agg(F.avg("ari").alias("mean_ari"), F.stddev_pop("ari").alias("std_ari"), F.min("ari").alias("min_ari"), (F.count_if(F.col("ari") > 0.95) / F.count("*")).alias("share_above_95"), F.avg(F.when(F.col("run_a") == 0, F.col("ari"))).alias("mean_against_first"))
 
 
 def _silhouette(clustered, features):
@@ -125,13 +148,14 @@ def _silhouette(clustered, features):
 
 @query("feature_ablation")
 def feature_ablation(spark, sf):
-    """dropped, ari against all features, silhouette (over 1,000 skus) in the features that are left."""
-    z = _z(spark, sf).cache()
-    base = K.kmeans(K.assembled(z, "sku", FEATURES), "sku", 4, 2)[0].withColumnRenamed("cluster", "base")
+    """dropped, ari against all features, silhouette (over 1,000 skus) in the features that are left; each fit the best of 20 starts, all in one run."""
+    z = _z(spark, sf)
+    labels, _ = M.fit_all(z, "sku", FEATURES, [M.Fit("all", 4), *(M.Fit(f, 4, without=(f,)) for f in FEATURES)])
+    base = labels.where("fit = 'all'").select("sku", F.col("cluster").alias("base"))
     out = []
     for f in FEATURES:
         left = [x for x in FEATURES if x != f]
-        c = K.kmeans(K.assembled(z, "sku", left), "sku", 4, 2)[0]
+        c = labels.where(F.col("fit") == f).select("sku", "cluster")
         ari = K.agreement(base.join(c, "sku"), "base", "cluster")
         out.append(ari.join(F.broadcast(_silhouette(z.join(c, "sku"), left))).select(F.lit(f[:-2]).alias("dropped"), "ari", "silhouette"))
     return reduce(DataFrame.unionByName, out)
@@ -144,7 +168,7 @@ def outlier_sensitivity(spark, sf):
     cut = f.agg(F.percentile("total_revenue", F.lit(0.99)).alias("cut"))
     kept = f.join(F.broadcast(cut)).filter(F.col("total_revenue") <= F.col("cut")).drop("cut")
     all_, left = (S.z_scores(x, S.FEATURES).select("sku", *FEATURES) for x in (f, kept))
-    a, b = (K.kmeans(K.assembled(z, "sku", FEATURES), "sku", 4, 2)[0] for z in (all_, left))
+    a, b = (M.fit_all(z, "sku", FEATURES, [M.Fit("k", 4)])[0].drop("fit") for z in (all_, left))
     ari = K.agreement(a.join(b.withColumnRenamed("cluster", "other"), "sku"), "cluster", "other").select("n", "ari")
     sils = [_silhouette(z.join(c, "sku"), FEATURES).withColumnRenamed("silhouette", n) for z, c, n in ((all_, a, "silhouette_all"), (left, b, "silhouette_without"))]
     return ari.join(F.broadcast(sils[0])).join(F.broadcast(sils[1]))
