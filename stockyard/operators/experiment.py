@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from stockyard.functions import tails
+from stockyard.operators.sampling import counter
 
 
 def conversion(sales: DataFrame, customers: DataFrame, now: tuple[datetime.date, datetime.date], before: tuple[datetime.date, datetime.date], quarters: float = 3.0, drop: float = -0.20) -> DataFrame:
@@ -43,7 +44,7 @@ def assign(customers: DataFrame, stratum: str, per_arm: int, seed: int = 42) ->
     most per_arm an arm. Depends on keys and seed only, not on partitions."""
     total = customers.agg(F.count("*").alias("_all"))
     w = Window.partitionBy(stratum)
-    c = customers.join(F.broadcast(total)).withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.xxhash64("customer", F.lit(seed)), "customer")))
+    c = customers.join(F.broadcast(total)).withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(counter("customer", seed), "customer")))
     treat = F.least(F.bround(F.col("_n") * per_arm / F.col("_all")), F.col("_n"))
     control = F.least(treat, F.col("_n") - treat)
     c = c.withColumn("arm", F.when(F.col("_r") <= treat, "Treatment").when(F.col("_r") <= treat + control, "Control")).filter(F.col("arm").isNotNull())

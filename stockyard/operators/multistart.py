@@ -37,7 +37,8 @@ def stored(points: DataFrame, key: str, features: list[str]) -> DataFrame:
     """(key, h, x) as a written table: h a hash of the key, x the features."""
     path = scratch(points.sparkSession, "points")
     rows = points.select(F.col(key), F.xxhash64(F.col(key)).alias("h"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
-    rows.write.parquet(path)
+    # Dealt out evenly: a step is work, not bytes, so what is one file of little data would be one busy task.
+    rows.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
     return points.sparkSession.read.schema(rows.schema).parquet(path)
 
 
@@ -58,6 +59,12 @@ def _squared(x: np.ndarray, centres: np.ndarray, mask: np.ndarray) -> np.ndarray
     return np.maximum(0.0, ((x[:, None, mask] - centres[None][:, :, mask]) ** 2).sum(2))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The nearest centre of each point: the least of |c|^2 - 2 x c, which leaves |x|^2 out."""
+    c = centres * mask
+    return ((c**2).sum(axis=1) - 2 * (x @ c.T)).argmin(axis=1)
+
+
 def _seeded(points: DataFrame, d: int, draws: list[tuple[int, np.ndarray, int]]) -> list[np.ndarray]:
     """For each (seed, mask, k): k centres by greedy k-means++."""
     centres: list[np.ndarray] = [np.zeros((0, d)) for _ in draws]
@@ -119,12 +126,10 @@ def _step(points: DataFrame, d: int, now: dict[int, np.ndarray], masks: dict[int
             _, x = _arrays(b, d)
             if len(x):
                 for i, c in now.items():
-                    far = _squared(x, c, masks[i])
-                    who = far.argmin(axis=1)
+                    who = _nearest(x, c, masks[i])
                     n[i] += np.bincount(who, minlength=len(c))
-                    cost[i] += np.bincount(who, far[np.arange(len(x)), who], len(c))
-                    for f in range(d):
-                        total[i][:, f] += np.bincount(who, x[:, f], len(c))
+                    cost[i] += np.bincount(who, ((x - c[who])[:, masks[i]] ** 2).sum(axis=1), len(c))
+                    total[i] += (who == np.arange(len(c))[:, None]).astype(np.float64) @ x
         rows = [(i, c) for i in now for c in np.flatnonzero(n[i]).tolist()]
         columns = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([n[i][c] for i, c in rows], pa.float64()), pa.array([cost[i][c] for i, c in rows], pa.float64())]
         yield pa.RecordBatch.from_arrays([*columns, *(pa.array([total[i][c, f] for i, c in rows], pa.float64()) for f in range(d))], ["i", "c", "n", "cost", *(f"s{f}" for f in range(d))])
@@ -179,7 +184,7 @@ def fit_all(points: DataFrame, key: str, features: list[str], fits: list[Fit], m
         for b in batches:
             _, x = _arrays(b, d)
             for name, i in best.items():
-                who = _squared(x, now[i], mask_of[i]).argmin(axis=1).astype(np.int32)
+                who = _nearest(x, now[i], mask_of[i]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * len(x), pa.string()), pa.array(who)], [key, "fit", "cluster"])
 
     path = scratch(rows.sparkSession, "labels")

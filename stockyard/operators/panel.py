@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockyard.operators.running import running
+
 
 def spine(df: DataFrame, date: str = "date") -> DataFrame:
     """Every day from the first to the last of df."""
@@ -47,9 +49,10 @@ def ranked(order: list[Column], by: list[str] | None = None) -> Column:
     return F.row_number().over((Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order))
 
 
-def label_codes(column: str) -> Column:
-    """0 .. n - 1 by sorted distinct value; over key-level tables only, since the window is global."""
-    return F.dense_rank().over(Window.orderBy(column)) - 1
+def label_codes(df: DataFrame, column: str, name: str) -> DataFrame:
+    """(column, name): 0 .. n - 1 by sorted distinct value, null first. Numbered in pieces, so there may be any number of values."""
+    codes = running(df.select(column).distinct(), [F.col(column)], number=name)
+    return codes.withColumn(name, (F.col(name) - 1).cast("int"))
 
 
 def first_rank_quintile(value: Column, tie: str, bins: int = 5) -> Column:

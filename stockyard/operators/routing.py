@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockyard.operators.running import running
+
 DEPOT = (0.0, 0.0, 1.0)
 
 
@@ -154,12 +156,11 @@ def depot_distance(x: Column, y: Column) -> Column:
 
 def greedy_zones(skus: DataFrame, zones: list[tuple[str, int]], order: list[Column]) -> DataFrame:
     """zone of each sku: the most picked to the first zone until it is full, then the next; the last zone takes the rest."""
-    rank = F.row_number().over(Window.orderBy(*order))
     out, to = None, 0
     for name, room in zones[:-1]:
         to += room
         out = F.when(F.col("_r") <= to, name) if out is None else out.when(F.col("_r") <= to, name)
-    return skus.withColumn("_r", rank).withColumn("zone", out.otherwise(zones[-1][0]) if out is not None else F.lit(zones[-1][0])).drop("_r")
+    return running(skus, order, number="_r").withColumn("zone", out.otherwise(zones[-1][0]) if out is not None else F.lit(zones[-1][0])).drop("_r")
 
 
 def joint_then_greedy(skus: DataFrame, at: dict[int, str], zones: list[tuple[str, int]], order: list[Column]) -> DataFrame:

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stockyard.operators.running import running
+
+
+def counter(key: str, seed: int) -> Column:
+    """A whole number below 2**60 for a key: the first 15 hex digits of md5("key:seed"), so any SQL engine gives the same."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("bigint")
+
 
 def draw(key: str, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+    return counter(key, seed)
 
 
 def simple(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -16,7 +23,7 @@ def simple(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def share(df: DataFrame, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    return df.filter(F.pmod(draw(key, seed), F.lit(1_000_000)) < int(fraction * 1_000_000))
+    return df.filter(draw(key, seed) % 1_000_000 < int(fraction * 1_000_000))
 
 
 def stratified(df: DataFrame, key: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
@@ -28,10 +35,10 @@ def stratified(df: DataFrame, key: str, stratum: str, n: int, seed: int = 42) ->
 
 
 def bootstrap(df: DataFrame, order: str, seed: int = 42) -> DataFrame:
-    """As many rows again, drawn with replacement: draw i takes row hash(i) mod n, by an equi-join on positions."""
+    """As many rows again, drawn with replacement: draw i takes row md5(i:seed) mod n, by an equi-join on positions. SQL can repeat the draws."""
     n = df.agg(F.count("*").alias("_n"))
-    rows = df.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1)
-    picks = rows.select("_i").join(F.broadcast(n)).select(F.pmod(F.xxhash64("_i", F.lit(seed)), F.col("_n")).cast("int").alias("_i"))
+    rows = running(df, [F.col(order)], number="_i").withColumn("_i", F.col("_i") - 1)
+    picks = rows.select("_i").join(F.broadcast(n)).select((counter("_i", seed) % F.col("_n")).alias("_i"))
     return picks.join(rows, "_i").drop("_i")
 
 

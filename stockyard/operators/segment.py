@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.operators import panel as P
+from stockyard.operators.running import running
 
 FEATURES = ("mean_demand", "std_demand", "cv", "total_revenue", "revenue_rank", "frequency", "mean_nonzero", "trend", "seasonality")
 
@@ -40,10 +41,10 @@ def z_scores(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def abc(df: DataFrame, value: str = "total_revenue", key: str = "sku", a: float = 0.70, b: float = 0.90) -> DataFrame:
-    """abc by cumulative share, largest first; who crosses a line falls to the next class. A window over keys, not facts."""
-    w = Window.orderBy(F.col(value).desc(), F.col(key))
-    share = F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(value).over(Window.partitionBy())
-    return df.withColumn("cum_share", share).withColumn("abc", F.when(F.col("cum_share") <= a, "A").when(F.col("cum_share") <= b, "B").otherwise("C"))
+    """abc by cumulative share, largest first; who crosses a line falls to the next class. Summed in pieces with carried totals, so there may be any number of keys."""
+    total = df.agg(F.sum(value).alias("_all"))  # one row
+    summed = running(df, [F.col(value).desc(), F.col(key)], sums={"_upto": value}).join(F.broadcast(total))
+    return summed.withColumn("cum_share", F.col("_upto") / F.col("_all")).drop("_upto", "_all").withColumn("abc", F.when(F.col("cum_share") <= a, "A").when(F.col("cum_share") <= b, "B").otherwise("C"))
 
 
 def xyz(cv: Column, x: float = 0.5, y: float = 1.0) -> Column:

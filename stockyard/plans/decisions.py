@@ -25,10 +25,11 @@ def _values(rows):
     return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
 
 
-@query("segmentation_costs", f"WITH m(method, s, runs, score) AS (VALUES {_values(_SEG)}) SELECT method, round({RATE}::DOUBLE * s / 3600 * runs, 8) AS annual_compute, score * 50 * 4 * 4 AS annual_maintenance FROM m")
+@query("segmentation_costs", f"WITH m(method, s, runs, score) AS (VALUES {_values(_SEG)}) SELECT method, round({RATE}::DOUBLE * s * (SELECT count(DISTINCT sku) FROM demand) / 1664 / 3600 * runs, 8) AS annual_compute, score * 50 * 4 * 4 AS annual_maintenance FROM m")
 def segmentation_costs(spark, sf):
-    m = records(spark, _SEG, "method string, s double, runs int, score double")
-    return m.select("method", F.round(RATE * F.col("s") / 3600 * F.col("runs"), 8).alias("annual_compute"), (F.col("score") * 50 * 4 * 4).alias("annual_maintenance"))
+    """The published seconds are for 1,664 skus; those of the tables take their share."""
+    m = records(spark, _SEG, "method string, s double, runs int, score double").join(F.broadcast(_skus(spark, sf)))
+    return m.select("method", F.round(RATE * F.col("s") * F.col("skus") / 1664 / 3600 * F.col("runs"), 8).alias("annual_compute"), (F.col("score") * 50 * 4 * 4).alias("annual_maintenance"))
 
 
 _VALUE = f"{_FEATURES}, {_CLASSES}, {_SIMPLE}, q AS (SELECT cls.*, stockout_rate, CAST((4 * row_number() OVER (ORDER BY mean_demand, sku) + count(*) OVER () - 1) // count(*) OVER () AS INT) AS tier FROM cls JOIN tot USING (sku)), v AS (SELECT count_if(abc = 'A' AND tier <= 2) AS n_misclassified, avg(total_revenue) FILTER (abc = 'A' AND tier <= 2) AS r, avg(stockout_rate) FILTER (abc = 'A' AND tier <= 2) AS s, count_if(abc = 'C' AND tier > 2) AS n_underrated FROM q)"
@@ -60,25 +61,31 @@ def segmentation_gates(spark, sf):
     return g.select("case_name", (F.col("ari") >= 0.95).alias("stable"), F.when(a & b & c, "DEPLOY").when(a.cast("int") + b.cast("int") + c.cast("int") == 2, "HYBRID").otherwise("RULE-ONLY").alias("decision"))
 
 
-_FCSQL = f"m(model, s, score) AS (VALUES {_values(_FC)}), e(model, mape) AS (VALUES {_values(_MAPE)}), c AS (SELECT model, s * 1664 / 3600 * 4 * {RATE}::DOUBLE AS cost, score, mape FROM m JOIN e USING (model)), d AS (SELECT *, (SELECT mape FROM c WHERE model = 'Naive') - mape AS gain, cost - (SELECT cost FROM c WHERE model = 'Naive') AS more FROM c), p AS (SELECT *, gain / greatest(more, 0.001::DOUBLE) AS per_dollar FROM d)"
+_FCSQL = f"m(model, s, score) AS (VALUES {_values(_FC)}), e(model, mape) AS (VALUES {_values(_MAPE)}), c AS (SELECT model, s * (SELECT count(DISTINCT sku) FROM demand) / 3600 * 4 * {RATE}::DOUBLE AS cost, score, mape FROM m JOIN e USING (model)), d AS (SELECT *, (SELECT mape FROM c WHERE model = 'Naive') - mape AS gain, cost - (SELECT cost FROM c WHERE model = 'Naive') AS more FROM c), p AS (SELECT *, gain / greatest(more, 0.001::DOUBLE) AS per_dollar FROM d)"
 
 
-def _fc(spark):
+def _skus(spark, sf):
+    """One row: skus, those that have demand."""
+    return V.demand(spark, sf).agg(F.count_distinct("sku").alias("skus"))
+
+
+def _fc(spark, sf):
+    """Costs of training for all skus of the tables, published errors, gains against the naive forecast."""
     m = records(spark, _FC, "model string, s double, score double").join(records(spark, _MAPE, "model string, mape double"), "model")
-    c = m.select("model", (F.col("s") * 1664 / 3600 * 4 * RATE).alias("cost"), "score", "mape")
+    c = m.join(F.broadcast(_skus(spark, sf))).select("model", (F.col("s") * F.col("skus") / 3600 * 4 * RATE).alias("cost"), "score", "mape")
     base = c.filter("model = 'Naive'").select(F.col("mape").alias("bm"), F.col("cost").alias("bc"))
     return c.join(F.broadcast(base)).withColumn("gain", F.col("bm") - F.col("mape")).withColumn("per_dollar", F.col("gain") / F.greatest(F.col("cost") - F.col("bc"), F.lit(0.001)))
 
 
 @query("forecast_costs", f"WITH {_FCSQL} SELECT model, round(cost, 6) AS monthly_cost, score, mape, round(gain, 4) AS gain, round(per_dollar, 3) AS per_dollar FROM p")
 def forecast_costs(spark, sf):
-    return _fc(spark).select("model", F.round("cost", 6).alias("monthly_cost"), "score", "mape", F.round("gain", 4).alias("gain"), F.round("per_dollar", 3).alias("per_dollar"))
+    return _fc(spark, sf).select("model", F.round("cost", 6).alias("monthly_cost"), "score", "mape", F.round("gain", 4).alias("gain"), F.round("per_dollar", 3).alias("per_dollar"))
 
 
 @query("forecast_choices", f"WITH {_FCSQL} SELECT 'A' AS class, (SELECT model FROM p WHERE per_dollar > 0 ORDER BY mape, model LIMIT 1) AS model UNION ALL SELECT 'B', (SELECT model FROM p WHERE per_dollar > 0 ORDER BY per_dollar DESC, model LIMIT 1) UNION ALL SELECT 'C', (SELECT model FROM p WHERE mape <= (SELECT min(mape) FROM p) + 5 ORDER BY cost, model LIMIT 1)")
 def forecast_choices(spark, sf):
     """Best error for A, most gain a dollar for B, cheapest within five points of the best for C."""
-    p = _fc(spark).withColumn("best", F.min("mape").over(Window.partitionBy()))
+    p = _fc(spark, sf).withColumn("best", F.min("mape").over(Window.partitionBy()))
     worth = F.col("per_dollar") > 0
     g = p.agg(F.min_by(F.when(worth, F.col("model")), F.when(worth, F.struct("mape", "model"))).alias("A"), F.min_by(F.when(worth, F.col("model")), F.when(worth, F.struct(-F.col("per_dollar"), "model"))).alias("B"), F.min_by("model", F.when(F.col("mape") <= F.col("best") + 5, F.struct("cost", "model"))).alias("C"))
     return g.select(F.explode(F.array(*[F.struct(F.lit(c).alias("class"), F.col(c).alias("model")) for c in "ABC"])).alias("x")).select("x.*")
@@ -87,13 +94,13 @@ def forecast_choices(spark, sf):
 @query("forecast_pareto", f"WITH {_FCSQL}, q AS (SELECT *, min(mape) OVER (ORDER BY cost, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p) SELECT model, round(cost, 6) AS monthly_cost, mape FROM q WHERE before IS NULL OR mape < before")
 def forecast_pareto(spark, sf):
     w = Window.orderBy("cost", "model").rowsBetween(Window.unboundedPreceding, -1)
-    return _fc(spark).withColumn("before", F.min("mape").over(w)).filter(F.col("before").isNull() | (F.col("mape") < F.col("before"))).select("model", F.round("cost", 6).alias("monthly_cost"), "mape")
+    return _fc(spark, sf).withColumn("before", F.min("mape").over(w)).filter(F.col("before").isNull() | (F.col("mape") < F.col("before"))).select("model", F.round("cost", 6).alias("monthly_cost"), "mape")
 
 
 @query("forecast_decision", f"WITH {_FEATURES}, {_CLASSES}, {_FCSQL}, n AS (SELECT abc, count(*) AS n_skus, sum(count(*)) OVER () AS total FROM cls GROUP BY abc) SELECT abc, n_skus, CASE WHEN abc = 'C' AND (SELECT mape FROM p WHERE model = 'SES') - (SELECT mape FROM p WHERE model = 'LightGBM') <= 5 THEN 'SES' ELSE 'LightGBM' END AS model, round((SELECT cost FROM p WHERE model = 'LightGBM') * n_skus / total, 8) AS monthly_cost FROM n")
 def forecast_decision(spark, sf):
     n = classes(spark, sf).groupBy("abc").agg(F.count("*").alias("n_skus")).withColumn("total", F.sum("n_skus").over(Window.partitionBy()))
-    p = _fc(spark).agg(F.max(F.when(F.col("model") == "SES", F.col("mape"))).alias("ses"), F.max(F.when(F.col("model") == "LightGBM", F.col("mape"))).alias("lgb"), F.max(F.when(F.col("model") == "LightGBM", F.col("cost"))).alias("c"))
+    p = _fc(spark, sf).agg(F.max(F.when(F.col("model") == "SES", F.col("mape"))).alias("ses"), F.max(F.when(F.col("model") == "LightGBM", F.col("mape"))).alias("lgb"), F.max(F.when(F.col("model") == "LightGBM", F.col("cost"))).alias("c"))
     return n.join(F.broadcast(p)).select("abc", "n_skus", F.when((F.col("abc") == "C") & (F.col("ses") - F.col("lgb") <= 5), "SES").otherwise("LightGBM").alias("model"), F.round(F.col("c") * F.col("n_skus") / F.col("total"), 8).alias("monthly_cost"))
 
 

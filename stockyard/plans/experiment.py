@@ -51,7 +51,7 @@ def _assigned(spark, sf, per_arm=47):
     return X.assign(_at_risk(spark, sf).join(c, "customer"), "type", per_arm)
 
 
-@query("assignment")
+@query("assignment", f"WITH {_SCORED}, a AS (SELECT customer, c_mktsegment AS type FROM seg JOIN customer ON c_custkey = customer WHERE segment = 'At Risk'), b AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY substr(md5(customer || ':42'), 1, 15), customer) AS r, count(*) OVER (PARTITION BY type) AS n, count(*) OVER () AS total FROM a), t AS (SELECT *, least(round_even(n * PER_ARM / total, 0), n) AS treat FROM b), d AS (SELECT customer, type, r, CASE WHEN r <= treat THEN 'Treatment' WHEN r <= treat + least(treat, n - treat) THEN 'Control' END AS arm FROM t) SELECT customer, type, arm FROM d WHERE arm IS NOT NULL QUALIFY row_number() OVER (PARTITION BY arm ORDER BY type, r) <= PER_ARM".replace("PER_ARM", "47"))
 def assignment(spark, sf):
     return _assigned(spark, sf)
 

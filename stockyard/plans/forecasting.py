@@ -204,7 +204,7 @@ _MEANS = ", ".join(f"round(avg(q) OVER (PARTITION BY k ORDER BY date ROWS BETWEE
 def panel_features(spark, sf):
     d = V.dense(spark, sf).withColumn("_i", F.row_number().over(P.Window.partitionBy("k").orderBy("date")))
     f = d.withColumns({**P.lags("q", "k", "date", (1, 7, 14, 28)), **P.trailing_means("q", "k", "date", (7, 14, 28)), "std_7": P.trailing_std("q", "k", "date"), "weekday": F.weekday("date"), "month": F.month("date"), "quarter": F.quarter("date"), "weekend": (F.weekday("date") >= 5).cast("int"), "since_big": P.days_since(F.col("q") > 150, "k", "date").cast("bigint")})
-    codes = d.select("k").distinct().withColumn("k_code", P.label_codes("k"))
+    codes = P.label_codes(d, "k", "k_code")
     return f.join(codes, "k").dropna(subset=["lag_28"]).drop("_i")
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stockyard.operators import panel as P
 from stockyard.operators import sampling as X
+from stockyard.operators.running import running
 from stockyard.plans.catalog import query
 from stockyard.sources import files
 from stockyard.sources import views as V
@@ -23,7 +24,7 @@ def project_rename_cast(spark, sf):
 @query("recode_and_label", "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 ELSE 0 END AS code, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INT) AS label FROM customer")
 def recode_and_label(spark, sf):
     c = _t(spark, sf, "customer")
-    codes = c.select("c_mktsegment").distinct().withColumn("label", P.label_codes("c_mktsegment"))
+    codes = P.label_codes(c, "c_mktsegment", "label")
     return c.join(F.broadcast(codes), "c_mktsegment").select("c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", 1).when(F.col("c_mktsegment") == "MACHINERY", 2).otherwise(0).alias("code"), "label")
 
 
@@ -120,8 +121,8 @@ def histogram(spark, sf):
 @query("cumulative_share", "WITH r AS (SELECT l_suppkey AS s, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) SELECT s, q, round(sum(q) OVER (ORDER BY q DESC, s ROWS UNBOUNDED PRECEDING) / sum(q) OVER (), 6) AS share FROM r")
 def cumulative_share(spark, sf):
     r = _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("s")).agg(F.sum("l_quantity").alias("q"))
-    w = Window.orderBy(F.desc("q"), "s").rowsBetween(Window.unboundedPreceding, 0)
-    return r.withColumn("share", F.round(F.sum("q").over(w) / F.sum("q").over(Window.partitionBy()), 6))
+    total = r.agg(F.sum("q").alias("all"))  # one row
+    return running(r, [F.desc("q"), F.col("s")], sums={"upto": "q"}).join(F.broadcast(total)).select("s", "q", F.round(F.col("upto") / F.col("all"), 6).alias("share"))
 
 
 @query("group_transform", "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id, month(ts)), 6) AS excess FROM events")
@@ -163,17 +164,21 @@ def string_and_math(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("padded"), F.concat(F.col("p_brand"), F.lit("|"), F.col("p_size").cast("string")).alias("joined"), F.when(F.lower("p_type").contains("o"), "o").otherwise("other").alias("kind"), F.round(F.sqrt(F.abs(F.col("p_retailprice") - 1000)), 6).alias("root"), F.least(F.greatest("p_size", F.lit(10)), F.lit(40)).alias("clipped"), F.round(2 * F.asin(F.sqrt(F.col("p_size") / 100.0)), 6).alias("arc"))
 
 
-@query("sample_rows")
+#: The draw of a key, as sampling.counter gives it; strings of hex digits sort as their numbers.
+_DRAW = lambda key: f"substr(md5({key} || ':42'), 1, 15)"
+
+
+@query("sample_rows", f"SELECT o_orderkey FROM orders ORDER BY {_DRAW('o_orderkey')}, o_orderkey LIMIT 200")
 def sample_rows(spark, sf):
     return X.simple(_t(spark, sf, "orders"), "o_orderkey", 200).select("o_orderkey")
 
 
-@query("stratified_sample")
+@query("stratified_sample", f"SELECT c_custkey, c_mktsegment FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY {_DRAW('c_custkey')}, c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n, count(*) OVER () AS a FROM customer) WHERE r <= round_even(112 * n / a, 0)")
 def stratified_sample(spark, sf):
     return X.stratified(_t(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 112)
 
 
-@query("bootstrap_resample")
+@query("bootstrap_resample", f"WITH s AS (SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) SELECT s.s_suppkey, s.s_acctbal FROM s d JOIN s ON s.i = CAST('0x' || {_DRAW('d.i')} AS BIGINT) % d.n")
 def bootstrap_resample(spark, sf):
     return X.bootstrap(_t(spark, sf, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey")
 
