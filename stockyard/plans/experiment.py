@@ -114,5 +114,9 @@ def experiment_verdicts(spark, sf):
 
 @query("simulated_experiment")
 def simulated_experiment(spark, sf):
-    x1, x2 = X.simulated_outcomes(46, 46, 0.832, 0.1506)
-    return spark.createDataFrame([(x1, 46, x2, 46)], "x1 int, n1 int, x2 int, n2 int")
+    """Outcomes as they would be at the arms' sizes, the measured base rate and the detectable lift: what the test could show before it runs."""
+    n = {r["arm"]: r["count"] for r in _assigned(spark, sf).groupBy("arm").count().collect()}  # two rows
+    d = power_analysis(spark, sf).first()
+    n1, n2 = n.get("Treatment", 0), n.get("Control", 0)
+    x1, x2 = X.simulated_outcomes(n1, n2, d["baseline_rate"], d["detectable_mde"])
+    return spark.createDataFrame([(x1, n1, x2, n2)], "x1 int, n1 int, x2 int, n2 int")

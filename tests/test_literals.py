@@ -248,17 +248,54 @@ def test_grid_is_evaluated_whole(spark, monkeypatch):
 
 
 def test_sweep_is_whole(spark, monkeypatch):
+    """All k from 2 to 12, each from 20 starts: four far groups have their elbow and their best silhouette at four."""
+    import numpy as np
+
     from stockyard.plans import clustering
 
-    z = spark.createDataFrame([(i, 0.0) for i in range(3)], "sku int, x double")
-    ks, samples = [], []
+    r = np.random.default_rng(2)
+    x = np.repeat(np.eye(4) * 20, 12, axis=0) @ r.normal(size=(4, 9)) + r.normal(0, 0.3, (48, 9))
+    z = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "sku int, " + ", ".join(f"{c} double" for c in clustering.FEATURES))
     monkeypatch.setattr(clustering, "_z", lambda *_: z)
-    monkeypatch.setattr(clustering.K, "assembled", lambda *_: z)
-    monkeypatch.setattr(clustering.K, "kmeans", lambda v, key, k, restarts: (ks.append(k), (z.select("sku", F.lit(0).alias("cluster")), 1.0))[1])
-    monkeypatch.setattr(clustering.K, "silhouette", lambda p, key, features, label, most: (samples.append(most), p.select(F.lit(0.5).alias("silhouette")))[1])
-    monkeypatch.setattr(clustering.K, "quality", lambda *_: spark.range(1).select(F.lit(1.0).alias("calinski_harabasz"), F.lit(1.0).alias("davies_bouldin")))
+    fits = []
+    fit_all = clustering.M.fit_all
+    monkeypatch.setattr(clustering.M, "fit_all", lambda p, key, features, wanted, *a: (fits.extend(wanted), fit_all(p, key, features, wanted, *a))[1])
     sweep = clustering.kmeans_sweep(spark, None)
-    assert ks == list(range(2, 13)) and set(samples) == {1000} and sweep.columns == ["k", "inertia", "silhouette", "ch", "db"]
+    rows = sorted(sweep.collect())
+    assert sweep.columns == ["k", "inertia", "silhouette", "ch", "db"] and [r.k for r in rows] == list(range(2, 13)) == [f.k for f in fits] and {f.starts for f in fits} == {20}
+    inertia = [r.inertia for r in rows]
+    assert inertia == sorted(inertia, reverse=True) and max(rows, key=lambda r: r.silhouette).k == 4
+    centres = x.reshape(4, 12, 9).mean(1)
+    assert inertia[2] == pytest.approx(((x.reshape(4, 12, 9) - centres[:, None]) ** 2).sum())
+    got = clustering.K.choose_k(spark.createDataFrame(rows, sweep.schema)).first()
+    assert (got.k_chosen, got.k_elbow) == plain_choice([tuple(r)[:4] for r in rows])
+
+
+def plain_choice(sweep):
+    """The rule in a loop: peaks among k >= 3 only, else the best silhouette there; the elbow over all k."""
+    late = [r for r in sorted(sweep) if r[0] >= 3]
+    peaks = [late[i] for i in range(1, len(late) - 1) if late[i][2] > late[i - 1][2] and late[i][2] > late[i + 1][2]]
+    chosen = max(peaks, key=lambda r: (r[3], -r[0])) if peaks else max(late, key=lambda r: (r[2], -r[0])) if late else None
+    all_ = sorted(sweep)
+    bends = [(-(all_[i + 1][1] - 2 * all_[i][1] + all_[i - 1][1]), -all_[i][0]) for i in range(1, len(all_) - 1)]
+    return chosen and chosen[0], -max(bends)[1] if bends else None
+
+
+@pytest.mark.parametrize("case", ["falling", "peak at 3", "random"])
+def test_choice_of_k(spark, case):
+    import random
+
+    from stockyard.operators.cluster import choose_k
+
+    r = random.Random(case)
+    sweeps = {
+        "falling": [[(k, 100.0 / k, 1.0 / k, 5.0) for k in range(2, 9)], [(2, 9.0, 0.9, 1.0)], [(2, 9.0, 0.9, 1.0), (3, 5.0, 0.1, 1.0), (4, 4.0, 0.1, 1.0)]],
+        "peak at 3": [[(2, 9.0, 0.1, 9.0), (3, 7.0, 0.9, 9.0), (4, 6.0, 0.2, 9.0), (5, 5.0, 0.4, 1.0), (6, 4.0, 0.3, 2.0)]],
+        "random": [[(k, float(r.randrange(90)), r.randrange(4) / 4, float(r.randrange(3))) for k in range(2, r.randrange(3, 13))] for _ in range(12)],
+    }[case]
+    for sweep in sweeps:
+        got = choose_k(spark.createDataFrame(sweep, "k int, inertia double, silhouette double, ch double")).first()
+        assert (got.k_chosen, got.k_elbow) == plain_choice(sweep), sweep
 
 
 def test_decomposition_to_the_ends(spark):
