@@ -42,7 +42,7 @@ def raw_tokens(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """The canonical text before runs of names are one: as many tokens as raw_tokens(text), one space between them."""
     t = F.regexp_replace(F.concat(F.lit(" "), _unmarked(text), F.lit(" ")), SPACE, " ")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}[\p{L}'’-]*", _NAME)
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<![\p{L}\p{N}])\p{Lu}\p{Ll}[\p{L}'’-]*", _NAME)
     t = F.regexp_replace(t, rf"(?<= )\p{{P}}*{_NUMBER}(%|(?:[\p{{L}}°]*))(?= |\p{{P}})", "\u0001d$1")
     t = F.regexp_replace(t, rf"(?<=\u0001d )(?:{'|'.join(UNITS)})(?= |\p{{P}})", "\u0001u")
     return F.trim(F.lower(t))
@@ -58,7 +58,8 @@ def canonical_tokens(text: Column, fold: bool = True) -> Column:
     if fold:
         c = F.regexp_replace(c, rf"(?<={_NAME}) {_NAME}", "")
     # One pass over the text drops punctuation at token ends, far cheaper than one per token; a token of nothing else keeps its first sign.
-    c = F.regexp_replace(c, r"(?<=[\p{L}\p{N}])[\p{P}\p{S}]+(?= |$)|(?<= )[\p{P}\p{S}]+(?=[\p{L}\p{N}\u0001])|^[\p{P}\p{S}]+(?=[\p{L}\p{N}\u0001])", "")
+    # Whether a sign stands here is asked first, since that fails at most places.
+    c = F.regexp_replace(c, r"(?=[\p{P}\p{S}])(?:(?<=[\p{L}\p{N}])[\p{P}\p{S}]+(?= |$)|(?<= |^)[\p{P}\p{S}]+(?=[\p{L}\p{N}\u0001]))", "")
     return F.filter(F.split(c, " "), lambda t: t != "")
 
 
@@ -85,7 +86,9 @@ def windows(texts: DataFrame, window: int, prefix: str, words_only: bool = False
     d = d.select(f"{prefix}_id", f"{prefix}_n", hashes.alias("_h"), *(["_word"] if words_only else []))
     slots = F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(f"{prefix}_n") - window))
     each = F.transform(slots, lambda i: F.xxhash64(*[F.get(F.col("_h"), i + k) for k in range(window)]))
-    out = d.select(f"{prefix}_id", f"{prefix}_n", *(["_word"] if words_only else []), F.posexplode(each).alias(f"{prefix}_pos", "hash"))
+    # One row of one array first: then what takes it apart reads a plain column and is compiled together with the join that follows.
+    d = d.select(f"{prefix}_id", f"{prefix}_n", *(["_word"] if words_only else []), F.explode(F.array(each)).alias("_each"))
+    out = d.select(f"{prefix}_id", f"{prefix}_n", *(["_word"] if words_only else []), F.posexplode("_each").alias(f"{prefix}_pos", "hash"))
     return out.filter(F.array_contains(F.slice("_word", F.col(f"{prefix}_pos") + 1, window), True)).drop("_word") if words_only else out
 
 
