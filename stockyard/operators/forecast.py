@@ -262,99 +262,6 @@ def adf_by_key(parts: DataFrame) -> DataFrame:
     return parts.filter("train").groupBy("k").applyInPandas(run, "k string, tau double, p double, lags int, d int")
 
 
-# ARIMA by conditional least squares
-
-
-def _difference(y: np.ndarray, d: int, seasonal: int) -> np.ndarray:
-    for _ in range(d):
-        y = np.diff(y)
-    return y[seasonal:] - y[:-seasonal] if seasonal else y
-
-
-def _residuals(w: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    e = np.zeros(len(w))
-    p, q = len(ar), len(ma)
-    for t in range(len(w)):
-        v = w[t]
-        for i in range(min(p, t)):
-            v -= ar[i] * w[t - 1 - i]
-        for i in range(min(q, t)):
-            v -= ma[i] * e[t - 1 - i]
-        e[t] = v
-    return e
-
-
-def fit_arma(w: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """ar, ma, variance, AIC by Hannan and Rissanen's regression: a long autoregression gives the innovations that stand for ma terms."""
-    n = len(w)
-    if p + q == 0:
-        s2 = float(w @ w / n)
-        return np.zeros(0), np.zeros(0), s2, n * math.log(max(s2, 1e-12)) + 2
-    m = max(p, q)
-    e = np.zeros(n)
-    if q:
-        long = min(20, n // 4)
-        x = np.column_stack([w[long - i : n - i] for i in range(1, long + 1)])
-        b, *_ = np.linalg.lstsq(x, w[long:], rcond=None)
-        e[long:] = w[long:] - x @ b
-        m = max(m, long)
-    x = np.column_stack([*[w[m - i : n - i] for i in range(1, p + 1)], *[e[m - i : n - i] for i in range(1, q + 1)]])
-    b, *_ = np.linalg.lstsq(x, w[m:], rcond=None)
-    ar, ma = b[:p], b[p:]
-    if p and np.abs(np.roots(np.r_[1, -ar])).max() >= 1:
-        ar = ar * 0.98 / np.abs(np.roots(np.r_[1, -ar])).max() ** np.arange(1, p + 1)
-    if q and np.abs(np.roots(np.r_[1, ma])).max() >= 1:
-        ma = ma * 0.98 / np.abs(np.roots(np.r_[1, ma])).max() ** np.arange(1, q + 1)
-    r = _residuals(w, ar, ma)[m:]
-    s2 = float(r @ r / max(len(r), 1))
-    return ar, ma, s2, n * math.log(max(s2, 1e-12)) + 2 * (p + q + 1)
-
-
-def arima(y: np.ndarray, steps: int, d: int, seasonal: int = 0, orders=tuple((p, q) for p in range(3) for q in range(3))):
-    """order, forecasts, their standard errors (psi weights) for y: the (p, q) with least AIC."""
-    w = _difference(y, d, seasonal)
-    ar, ma, s2, _, order = min(((*fit_arma(w, p, q), (p, d, q)) for p, q in orders), key=lambda x: x[3])
-    e = _residuals(w, ar, ma)
-    ww, ee = list(w), list(e)
-    for _ in range(steps):
-        ww.append(sum(a * ww[-1 - i] for i, a in enumerate(ar)) + sum(b * ee[-1 - i] for i, b in enumerate(ma)))
-        ee.append(0.0)
-    f = np.array(ww[len(w) :])
-    psi = [1.0]
-    for j in range(1, steps):
-        psi.append(sum(a * psi[j - 1 - i] for i, a in enumerate(ar) if j - 1 - i >= 0) + (ma[j - 1] if j <= len(ma) else 0.0))
-    psi = np.array(psi)
-    if seasonal:
-        base = _difference(y, d, 0)
-        out = list(base)
-        for v in f:
-            out.append(v + out[-seasonal])
-        f = np.array(out[len(base) :])
-        for j in range(seasonal, steps):
-            psi[j] += psi[j - seasonal]
-    for _ in range(d):
-        f = y[-1] + np.cumsum(f)
-        psi = np.cumsum(psi)
-    return order, f, np.sqrt(s2 * np.cumsum(psi**2))
-
-
-def arima_forecasts(parts: DataFrame, seasonal: int = 0) -> DataFrame:
-    """k, date, q, model, forecast, low, high, p_order, d_order, q_order for the test days: one series a call."""
-    name = "SARIMA" if seasonal else "ARIMA"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        train, test = pdf[pdf["train"]], pdf[~pdf["train"]]
-        y = train["q"].to_numpy(float)
-        if not len(test) or len(y) < 60:
-            return pd.DataFrame({c: [] for c in ("k", "date", "q", "model", "forecast", "low", "high", "p_order", "d_order", "q_order")})
-        d = int(not adf(y)[1] < 0.05)
-        order, f, se = arima(y, len(test), d, seasonal)
-        return pd.DataFrame({"k": test["k"].values, "date": test["date"].values, "q": test["q"].values, "model": name, "forecast": f, "low": f - 1.96 * se, "high": f + 1.96 * se, "p_order": order[0], "d_order": order[1], "q_order": order[2]})
-
-    return parts.groupBy("k").applyInPandas(run, "k string, date date, q double, model string, forecast double, low double, high double, p_order int, d_order int, q_order int")
-
-
 def qq_points(residuals: DataFrame, column: str = "residual") -> DataFrame:
     """k, x (normal quantile), y (ordered value)."""
     w = Window.partitionBy("k").orderBy(column)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from stockyard.operators import arima as A
 from stockyard.operators import forecast as O
 from stockyard.operators import panel as P
 from stockyard.plans.catalog import f_upper, normal_cdf, query, t_two_sided
@@ -182,12 +183,23 @@ def adf_test(spark, sf):
 
 @query("arima_forecasts")
 def arima_forecasts(spark, sf):
-    return O.arima_forecasts(_parts(spark, sf))
+    return A.forecasts(_parts(spark, sf))
 
 
 @query("sarima_forecasts")
 def sarima_forecasts(spark, sf):
-    return O.arima_forecasts(_parts(spark, sf), 7)
+    return A.forecasts(_parts(spark, sf), ("SARIMA",))
+
+
+@query("arima_variants")
+def arima_variants(spark, sf):
+    """Both variants of each series with their orders, AIC, whiteness of the innovations and accuracy; `best` marks the lower mape (a tie: ARIMA)."""
+    f = A.forecasts(_parts(spark, sf), ("ARIMA", "SARIMA"))
+    # One aggregate over the fits: a second use of f would fit again.
+    e, order = F.col("forecast") - F.col("q"), F.struct("p_order", "d_order", "q_order")
+    s = f.groupBy("k", "model").agg(F.first(order).alias("o"), F.first("aic").alias("aic"), F.first("ljung_box_p").alias("ljung_box_p"), F.avg(F.when(F.col("q") > 0, F.abs(e) / F.col("q") * 100)).alias("mape"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg((F.col("q").between(F.col("low"), F.col("high"))).cast("int")).alias("inside_95"))
+    first = F.row_number().over(P.Window.partitionBy("k").orderBy(F.col("mape").asc_nulls_last(), "model")) == 1
+    return s.select("k", "model", "o.*", "aic", "ljung_box_p", "mape", "rmse", "mae", "inside_95", first.alias("best"))
 
 
 @query("qq_points")
