@@ -1,11 +1,7 @@
-"""Isolation Forest, Local Outlier Factor, and what compares detectors."""
+"""Local Outlier Factor, and what compares detectors."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,90 +36,6 @@ def lof(df: DataFrame, key: list[str], features: list[str], by: list[str], k: in
     return out.select(*[F.col(f"a.{c}").alias(c) for c in key], *[c for c in by if c not in key], (F.col("m") / F.col("lrd")).alias("lof"))
 
 
-# Isolation forest
-
-
-def _path_constant(n: float) -> float:
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
-
-
-def grow_forest(x: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 42) -> list[tuple]:
-    """Trees as flat arrays (feature, cut, left, right, depth added at leaves) over a bounded sample of rows."""
-    g = np.random.default_rng(seed)
-    size = min(sample, len(x))
-    limit = math.ceil(math.log2(max(size, 2)))
-    forest = []
-    for _ in range(trees):
-        feature, cut, left, right, depth = [], [], [], [], []
-
-        def node(rows: np.ndarray, d: int) -> int:
-            i = len(feature)
-            for a in (feature, cut, left, right, depth):  # noqa: B023
-                a.append(0)
-            lo, hi = rows.min(0), rows.max(0)
-            wide = np.flatnonzero(hi > lo)
-            if d >= limit or len(rows) <= 1 or not len(wide):
-                feature[i], depth[i] = -1, d + _path_constant(len(rows))  # noqa: B023
-                return i
-            f = int(g.choice(wide))
-            c = float(g.uniform(lo[f], hi[f]))
-            below = rows[:, f] < c
-            feature[i], cut[i] = f, c  # noqa: B023
-            left[i], right[i] = node(rows[below], d + 1), node(rows[~below], d + 1)  # noqa: B023
-            return i
-
-        node(x[g.choice(len(x), size, replace=False)], 0)
-        forest.append(tuple(map(np.array, (feature, cut, left, right, depth))))
-    return forest
-
-
-def forest_scores(forest: list[tuple], x: np.ndarray, sample: int) -> np.ndarray:
-    """Higher is more unusual, about 0.5 for the usual."""
-    total = np.zeros(len(x))
-    for feature, cut, left, right, depth in forest:
-        at = np.zeros(len(x), np.int64)
-        while (inner := feature[at] >= 0).any():
-            f = np.maximum(feature[at], 0)
-            go = np.where(x[np.arange(len(x)), f] < cut[at], left[at], right[at])
-            at = np.where(inner, go, at)
-        total += depth[at]
-    return 2.0 ** (-total / len(forest) / max(_path_constant(sample), 1e-9))
-
-
-def isolation_scores(df: DataFrame, key: list[str], features: list[str], train: DataFrame | None = None, trees: int = 200, sample: int = 256, seed: int = 42, pool: int = 20_000) -> DataFrame:
-    """key, score of every row. The forest grows on the driver from at most `pool` rows by hash of the key; scoring runs in all partitions."""
-    source = df if train is None else train
-    rows = source.dropna(subset=features).orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(pool).select(*features).toPandas().to_numpy(float)
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*key).dtypes) + ", score double"
-    if not len(rows):
-        return df.select(*key, F.lit(None).cast("double").alias("score")).limit(0)
-    forest, size = grow_forest(rows, trees, sample, seed), min(sample, len(rows))
-
-    def score(batches):
-        for b in batches:
-            out = b[key].copy()
-            out["score"] = forest_scores(forest, b[features].to_numpy(float), size)
-            yield out
-
-    return df.dropna(subset=features).select(*key, *features).mapInPandas(score, schema)
-
-
-def isolation_by_group(df: DataFrame, key: list[str], features: list[str], by: str, least: int = 20, trees: int = 100) -> DataFrame:
-    """One forest for each group of at least `least` rows; a group is one task's rows, as a warehouse's operator-days are."""
-    n = df.groupBy(by).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least)
-    cols = [by, *[c for c in key if c != by]]
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*cols).dtypes) + ", score double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(cols)
-        x = pdf[features].to_numpy(float)
-        out = pdf[cols].copy()
-        out["score"] = forest_scores(grow_forest(x, trees), x, min(256, len(x)))
-        return out
-
-    return df.dropna(subset=features).join(n, by, "left_semi").select(*cols, *features).groupBy(by).applyInPandas(fit, schema)
-
-
 def flag_share(df: DataFrame, score: str, contamination: float, by: list[str] | None = None) -> DataFrame:
     """flag: the `contamination` share with the highest score, by an exact quantile joined back (one row, or one a group)."""
     cut = df.groupBy(*(by or [])).agg(F.percentile(score, F.lit(1 - contamination)).alias("_cut"))
@@ -153,4 +65,4 @@ def agreement_label(flags: list[Column]) -> Column:
     return F.when(n == len(flags), "all").when(n >= 2, "partial").when(n == 1, "single").otherwise("none")
 
 
-__all__ = ["agreement_label", "flag_share", "forest_scores", "grow_forest", "isolation_by_group", "isolation_scores", "lof", "overlap", "z_by_group", "z_scores"]
+__all__ = ["agreement_label", "flag_share", "lof", "overlap", "z_by_group", "z_scores"]

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from stockyard.operators import anomaly as A
 from stockyard.operators import control as C
+from stockyard.operators import isolation
 from stockyard.plans.catalog import query
 from stockyard.plans.control import KPI, RULES, _CUSUM, LONG, based, kpis
 from stockyard.sources import views as V
@@ -41,7 +42,7 @@ def lof_flags(spark, sf):
 
 def _forest(spark, sf, train=None):
     d = _days(spark, sf)
-    return A.isolation_scores(A.z_by_group(d, FEATURES, ["warehouse"]) if train is None else d, KEY, FEATURES, train)
+    return isolation.scores(A.z_by_group(d, FEATURES, ["warehouse"]) if train is None else d, KEY, FEATURES, train)
 
 
 @query("isolation_scores")
@@ -64,7 +65,7 @@ def _operators(spark, sf):
 
 @query("operator_isolation")
 def operator_isolation(spark, sf):
-    return A.isolation_by_group(_operators(spark, sf), OPERATOR_KEY, OPERATOR_FEATURES, "warehouse")
+    return isolation.scores_by_group(_operators(spark, sf), OPERATOR_KEY, OPERATOR_FEATURES, "warehouse")
 
 
 @query(
@@ -132,7 +133,7 @@ def historic_fit_coverage(spark, sf):
     stats = old.agg(*[x for c in FEATURES for x in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))])
     scaled = lambda x: x.join(F.broadcast(stats)).withColumns({c: (F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0)) for c in FEATURES})
     late = scaled(d.filter(F.datediff("date", "d0") >= 20))
-    hist = A.flag_share(A.isolation_scores(late, KEY, FEATURES, scaled(old)), "score", 0.05).select(*KEY, F.col("flag").alias("h"))
-    full = A.flag_share(A.isolation_scores(late, KEY, FEATURES), "score", 0.05).select(*KEY, F.col("flag").alias("f"))
+    hist = A.flag_share(isolation.scores(late, KEY, FEATURES, scaled(old)), "score", 0.05).select(*KEY, F.col("flag").alias("h"))
+    full = A.flag_share(isolation.scores(late, KEY, FEATURES), "score", 0.05).select(*KEY, F.col("flag").alias("f"))
     return hist.join(full, KEY).agg(F.count_if("f").alias("full"), F.count_if("h").alias("historic"), F.count_if(F.col("f") & F.col("h")).alias("both")).withColumn("coverage", F.col("both") / F.nullif(F.col("full"), F.lit(0)))
 

@@ -149,13 +149,6 @@ def test_tails():
     assert tails.hypergeometric_upper(0, 20, 4, 3) == pytest.approx(1)
 
 
-def test_isolation_forest_finds_the_odd_one():
-    g = np.random.default_rng(1)
-    x = np.vstack([g.normal(size=(300, 3)), [[9, 9, 9]]])
-    s = anomaly.forest_scores(anomaly.grow_forest(x, 100), x, 256)
-    assert s.argmax() == 300
-
-
 def test_ward_and_quality(spark):
     g = np.random.default_rng(2)
     rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.vstack([g.normal(c, 0.1, (20, 2)) for c in ((0, 0), (5, 5), (0, 5))]))]
