@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockyard.functions import tails
+from stockyard.operators.arima import recursive
 
 
 def split(dense: DataFrame, test_days: int = 92) -> DataFrame:
@@ -85,6 +86,38 @@ def ses(parts: DataFrame, grid: int = 19) -> DataFrame:
     return each.select("k", "alpha", level.alias("level"), sse.alias("sse")).groupBy("k").agg(F.min_by(F.struct("alpha", "level"), F.struct("sse", "alpha")).alias("b")).select("k", "b.alpha", "b.level")
 
 
+def ses_with_best_start(y: np.ndarray, alpha: float) -> tuple[float, float, float, float]:
+    """(sse, alpha, start, level) of simple exponential smoothing whose start has the least squared error for this alpha.
+
+    Errors follow e[t] = y[t] - y[t-1] + (1 - alpha) e[t-1], and moving the start by x moves error t by -x (1 - alpha)^t: a regression.
+    """
+    about = float(y.mean())
+    x = np.zeros((2, len(y)))
+    x[0], x[1, 0] = np.diff(y, prepend=about), 1.0
+    e, g = recursive(x, np.array([alpha - 1.0]))
+    by = float(e @ g / (g @ g))
+    e = e - by * g
+    return float(e @ e), alpha, about + by, float(y[-1] - (1 - alpha) * e[-1])
+
+
+def ses_likelihood(parts: DataFrame, rounds: int = 6) -> DataFrame:
+    """k, alpha, start, level, sse, aic: the most likelihood over alpha in [0, 1] and the start (Gaussian errors: the least squared error).
+
+    Twenty-one levels from 0 to 1, then `rounds` times the neighbourhood of the best, ten times finer, so alpha is exact to 0.05 / 10^rounds; the best so far is among
+    each round's levels. One series a call (days, not events); null demand counts as none, a series without train days has no row.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values("t")["q"].fillna(0.0).to_numpy(float)
+        best = min(ses_with_best_start(y, i / 20) for i in range(21))
+        for r in range(1, rounds + 1):
+            best = min(ses_with_best_start(y, min(1.0, max(0.0, best[1] + i * 0.05 / 10**r))) for i in range(-10, 11))
+        sse, alpha, start, level = best
+        return pd.DataFrame({"k": [pdf["k"].iloc[0]], "alpha": [alpha], "start": [start], "level": [level], "sse": [sse], "aic": [len(y) * math.log(max(sse, 1e-300) / len(y)) + 4]})
+
+    return parts.filter("train").select("k", "t", F.col("q").cast("double").alias("q")).groupBy("k").applyInPandas(fit, "k string, alpha double, start double, level double, sse double, aic double")
+
+
 def ses_forecasts(parts: DataFrame) -> DataFrame:
     return _test(parts).join(ses(parts), "k").select("k", "date", "q", F.lit("SES").alias("model"), F.col("level").alias("forecast"))
 

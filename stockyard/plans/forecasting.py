@@ -78,6 +78,15 @@ def ses_levels(spark, sf):
     return O.ses(_parts(spark, sf)).select("k", F.round("alpha", 4).alias("alpha"), F.round("level", 6).alias("level"))
 
 
+@query("ses_likelihood")
+def ses_likelihood(spark, sf):
+    """Level and start by likelihood, and the forecast's accuracy on the test days beside that of the grid's fit."""
+    p = _parts(spark, sf)
+    f = p.filter("not train").join(O.ses_likelihood(p), "k").select("k", "date", "q", F.lit("SES").alias("model"), F.col("level").alias("forecast"))
+    grid = O.accuracy(O.ses_forecasts(p)).select("k", F.col("rmse").alias("rmse_of_grid"))
+    return O.ses_likelihood(p).join(O.accuracy(f).drop("model"), "k", "left").join(grid, "k", "left")
+
+
 _ALL = f"{_SES}, {NAIVE}, {SNAIVE}, fc AS (SELECT * FROM nv UNION ALL SELECT * FROM sn UNION ALL SELECT pt.k, date, q, 'SES', l FROM pt JOIN ses USING (k) WHERE NOT train), {ACC}, cls AS (SELECT DISTINCT k, CASE WHEN k < 'N' THEN 'A' ELSE 'B' END AS class, CASE WHEN length(k) % 2 = 0 THEN 'regular' ELSE 'intermittent' END AS pattern FROM series)"
 
 
