@@ -1,19 +1,24 @@
-"""A Katz back-off bigram model with Good-Turing discounts, trained and evaluated over partitioned tables.
+"""A Katz back-off model of n-grams with Good-Turing discounts, trained and evaluated over partitioned tables.
 
-P(w | v) = d(c(vw)) c(vw) / c(v)       if the pair vw is in the training texts,
-         = alpha(v) P(w)               else, alpha(v) = (1 - sum of the seen pairs' P) / (1 - sum of the seen words' P),
+P(w | x) = d(c(xw)) c(xw) / c(x)       if the n-gram xw is in the training texts,
+         = alpha(x) P(w | x')          else, alpha(x) = (1 - sum of the seen words' P(. | x)) / (1 - sum of the seen words' P(. | x')),
+           x' being x without its first word: again an n-gram's P, down to the words;
+         = P(w | x')                   if the context x isn't in the training texts,
 P(w)     = d(c(w)) c(w) / N            if the word is in the training texts,
          = rest / unseen               else: the rest of the mass, shared by as many unseen words as there are words seen once.
 
-A text is <s> w1 ... wn </s>; words are lower-cased in A-Z. d is Good-Turing's discount for counts up to K; where the counts of counts
-don't allow it, absolute discounting by n1 / (n1 + 2 n2). A context without any count up to K has one phantom event in c(v), so that each
-context leaves some mass; every distribution sums to one. The number of buckets and chunks changes no score.
+A text is <s> w1 ... wn </s>, its first words have the contexts that it gives them; words are lower-cased in A-Z. d is Good-Turing's
+discount for counts up to K, of its own for each length; where the counts of counts don't allow it, absolute discounting by
+n1 / (n1 + 2 n2). A context without any count up to K has one phantom event in c(x), so that each context leaves some mass; every
+distribution sums to one. The number of buckets and chunks changes no score.
 
 The job never holds a vocabulary or a text collection in one place. Documents are packed into chunks of bounded size. Words go by hash to
-buckets, which count them, number them and answer each chunk's words; then the chunks' distinct pairs go to buckets by context (contexts
-with more tokens than a bucket's share are spread over several, whose counts of counts the chunks add up), which count them, gather each
-context's counts of counts and answer; then each chunk evaluates its texts token by token. What is sent is what is distinct in a chunk, packed as columns. The buckets' counts are
-the model's tables, partitioned by kind (words, pairs); model_tables() gives them in plain columns.
+buckets, which count them, number them and answer each chunk's words. Then, for each length from two to the order, the chunks' distinct
+n-grams go to buckets by context (contexts with more tokens than a bucket's share are spread over several, whose counts of counts the
+chunks add up), which count them, gather each context's counts of counts and answer: an n-gram's count is that of the longer ones' context.
+At the end each chunk evaluates its texts token by token. What is sent is what is distinct in a chunk, packed as columns; an n-gram whose
+context or whose end isn't in the training texts isn't sent. Where the model is kept, the buckets' counts are its tables, partitioned by
+kind; model_tables() gives them in plain columns.
 
 Null texts are empty, a null id is a training text; repeated rows are texts of their own. Only id and text are read.
 """
@@ -35,6 +40,7 @@ from stockyard.llm import bytetext as B
 from stockyard.llm import common as C
 
 K = 5
+ORDER = 3
 CHUNK_TOKENS = 1_500_000
 BUCKET_CHARS = 16_000_000
 BOS, END, UNKNOWN = 0, 1, -1
@@ -45,13 +51,17 @@ _ROW = "kind string, chunk bigint, bucket int, data binary, stats array<bigint>"
 
 
 def pack(**columns) -> bytes:
-    """Arrays as zstd-compressed byte planes (high bytes of small numbers cost nothing); anything else as it is."""
+    """Arrays as zstd-compressed byte planes of the shortest type; anything else as it is."""
     z = zstandard.ZstdCompressor(level=3)
     out = {}
     for k, v in columns.items():
         if isinstance(v, np.ndarray):
+            kind = v.dtype
+            if kind == np.int64:
+                lo, hi = (int(v.min()), int(v.max())) if v.size else (0, 0)
+                v = v.astype(next((t for t in (np.int8, np.int16, np.int32) if np.iinfo(t).min <= lo and hi <= np.iinfo(t).max), kind))
             v = np.ascontiguousarray(v)
-            out[k] = (v.dtype.str, v.shape, z.compress(v.reshape(-1).view(np.uint8).reshape(-1, v.dtype.itemsize).T.tobytes()))
+            out[k] = (kind.str, v.dtype.str, v.shape, z.compress(v.reshape(-1).view(np.uint8).reshape(-1, v.dtype.itemsize).T.tobytes()))
         else:
             out[k] = v
     return pickle.dumps(out, 5)
@@ -61,8 +71,8 @@ def unpack(data: bytes) -> dict:
     d, out = zstandard.ZstdDecompressor(), {}
     for k, v in pickle.loads(data).items():
         if isinstance(v, tuple):
-            kind, shape, raw = v
-            v = np.ascontiguousarray(np.frombuffer(d.decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind).reshape(shape)
+            kind, short, shape, raw = v
+            v = np.ascontiguousarray(np.frombuffer(d.decompress(raw), np.uint8).reshape(np.dtype(short).itemsize, -1).T).reshape(-1).view(short).reshape(shape).astype(kind, copy=False)
         out[k] = v
     return out
 
@@ -160,7 +170,7 @@ def _rows_of(table: pa.Table) -> list[dict]:
 # Buckets of words
 
 
-def _count_words(table: pa.Table, buckets: int) -> pa.Table:
+def _count_words(table: pa.Table, buckets: int, keep: bool) -> pa.Table:
     rows = sorted(_rows_of(table), key=lambda r: r["chunk"])
     bucket, got = rows[0]["bucket"], [unpack(r["data"]) for r in rows]
     u, at = np.unique(np.concatenate([g["h"] for g in got]), return_inverse=True)
@@ -172,162 +182,211 @@ def _count_words(table: pa.Table, buckets: int) -> pa.Table:
     order = order[count[order] > 0]
     number[order] = np.arange(len(order)) * buckets + bucket + 2
     known = count > 0
-    out = [_row("words", -1, bucket, pack(h=u[known], number=number[known], c=count[known]), [int(count.sum()), int(known.sum()), *histogram(count[known])])]
+    model = pack(h=u[known], number=number[known], c=count[known]) if keep else None
+    out = [_row("words", -1, bucket, model, [int(count.sum()), int(known.sum()), *histogram(count[known])])]
     ends = np.cumsum([len(g["h"]) for g in got])
     for r, lo, hi in zip(rows, [0, *ends[:-1]], ends, strict=True):
         out.append(_row("word-answer", r["chunk"], bucket, pack(number=number[at[lo:hi]], c=count[at[lo:hi]])))
     return _table(out)
 
 
-# Chunks again: pairs
+# Chunks again: n-grams
 
 
-class Chunk:
-    """A chunk's texts with its words' numbers and counts, and its distinct pairs in a fixed order."""
+class Grams:
+    """A chunk's distinct n-grams of one length, in the order of their words' numbers, and their contexts.
 
-    def __init__(self, rows: list[dict], words: Words, buckets: int):
-        self.words, self.buckets = words, buckets
-        docs = unpack(next(r["data"] for r in rows if r["kind"] == "docs"))
-        got = [unpack(r["data"]) for r in sorted((r for r in rows if r["kind"] == "word-answer"), key=lambda r: r["bucket"])]
-        none = [np.zeros(0, np.int64)]
-        self.ids, self.held, self.n, at = docs["ids"], docs["held"], docs["n"], docs["at"].astype(np.int64)
-        # Local words: 0 <s>, 1 </s>, then the chunk's own; steps of text i: n[i] + 1, the last to </s>.
-        number = np.concatenate([[BOS, END], *(g["number"] for g in got or [{"number": none[0]}])])
-        self.c = np.concatenate([[words.texts, words.texts], *(g["c"] for g in got or [{"c": none[0]}])])
-        self.steps = self.n + 1
-        ends = np.cumsum(self.steps)
-        w = np.empty(int(ends[-1]), np.int64)
-        last = np.zeros(len(w), bool)
-        last[ends - 1] = True
-        w[last], w[~last] = 1, at + 2
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[ends - self.steps] = 0
-        self.v, self.w = v, w
-        self.doc = np.repeat(np.arange(len(self.n)), self.steps)
-        # Pairs with an unknown word can't have been seen and aren't asked for.
-        both = (number[v] >= 0) & (number[w] >= 0)
-        if not words.texts:
-            both[:] = False
-        self.pair_of = np.full(len(w), -1, np.int64)
-        key, inverse = np.unique(v[both] * len(number) + w[both], return_inverse=True)
-        pv, pw = key // len(number), key % len(number)
-        bucket = self.home(number[pv], self.c[pv], number[pw])
-        order = np.lexsort((number[pw], number[pv], bucket))
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        self.pair_of[both] = rank[inverse]
-        pv, pw = pv[order], pw[order]
-        self.pv, self.pw, self.bucket = number[pv], number[pw], bucket[order]
-        self.pc = self.c[pw]
-        train = ~self.held[self.doc]
-        self.count = np.bincount(self.pair_of[both & train], minlength=len(order)).astype(np.int64)
+    context: that of each step of the texts, or -1; contexts: the words' numbers of each context, a column for each place; tokens: how
+    often each context is in the training texts; lower, size: count and context's size of each step's n-gram without its first word.
+    """
+
+    def __init__(self, chunk: Chunk, context: np.ndarray, contexts: list[np.ndarray], tokens: np.ndarray, lower: np.ndarray, size: np.ndarray):
+        buckets, number, w = chunk.buckets, chunk.number, chunk.w
+        self.context, self.contexts, self.tokens = context, contexts, tokens
+        self.there = context >= 0
+        self.there[self.there] = tokens[context[self.there]] > 0
+        # Others can't have been seen and aren't asked for.
+        asked = self.there & (lower > 0)
+        key, inverse = np.unique(context[asked] * len(number) + w[asked], return_inverse=True)
+        self.of = np.full(len(w), -1, np.int64)
+        self.of[asked] = inverse
+        self.head, word = key // len(number), key % len(number)
+        self.columns = [*(x[self.head] for x in contexts), number[word]]
+        held = chunk.held[chunk.doc]
+        self.count = np.bincount(self.of[asked & ~held], minlength=len(key)).astype(np.int64)
+        self.lower = np.zeros(len(key), np.int64)
+        self.lower[inverse] = lower[asked]
+        self.size = np.zeros(len(tokens), np.int64)
+        self.size[context[asked]] = size[asked]
+        # Over how many buckets a context is spread: one for each half of a bucket's even share.
+        parts = 1 + 2 * buckets * tokens // max(chunk.words.tokens, 1)
+        part = (B.mix(self.columns[-1].astype(np.uint64)) % parts[self.head].astype(np.uint64)).astype(np.int64)
+        bucket = _home(self.columns[:-1], part, buckets)
+        self.order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
         # What contexts of held-out texts leave to unseen words, and whether a spread context has a phantom event, is asked of every
         # bucket that holds a part of them.
-        self.wide = self.parts(self.c) > 1
-        cv = np.unique(v[(~train | self.wide[v]) & (number[v] >= 0)]) if words.texts else np.zeros(0, np.int64)
-        parts = self.parts(self.c[cv])
+        self.wide = parts > 1
+        need = np.zeros(len(tokens), bool)
+        need[context[self.there & held]] = True
+        need[context[self.there]] |= self.wide[context[self.there]]
+        need = np.flatnonzero(need)
+        parts = parts[need]
         part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        context = np.repeat(cv, parts)
+        need = np.repeat(need, parts)
         # Once a bucket, also where several parts of a context share one.
-        both = np.unique(np.stack([_home(number[context], part, buckets), context]), axis=1)
-        self.context_bucket, self.context = both[0], both[1]
-        self.context_number = number[self.context]
-
-    def parts(self, c: np.ndarray) -> np.ndarray:
-        """Over how many buckets a context of c tokens is spread: one for each half of a bucket's even share."""
-        return 1 + 2 * self.buckets * c // max(self.words.tokens, 1)
-
-    def home(self, v: np.ndarray, c: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return _home(v, (B.mix(w.astype(np.uint64)) % self.parts(c).astype(np.uint64)).astype(np.int64), self.buckets)
+        both = np.unique(np.stack([_home([x[need] for x in contexts], part, buckets), need]), axis=1) if (parts > 1).any() else np.stack([_home([x[need] for x in contexts], part, buckets), need])
+        both = both[:, np.argsort(both[0], kind="stable")]
+        self.need, self.need_edges = both[1], np.searchsorted(both[0], np.arange(buckets + 1))
 
     def asked(self, chunk: int) -> list[tuple]:
-        e, f = np.searchsorted(self.bucket, np.arange(self.buckets + 1)), np.searchsorted(self.context_bucket, np.arange(self.buckets + 1))
         out = []
-        for b in range(self.buckets):
-            lo, hi, x, y = e[b], e[b + 1], f[b], f[b + 1]
-            if hi > lo or y > x:
-                out.append(_row("pairs-asked", chunk, b, pack(v=self.pv[lo:hi], w=self.pw[lo:hi], c=self.count[lo:hi], cw=self.pc[lo:hi], contexts=self.context_number[x:y])))
+        for b in range(len(self.edges) - 1):
+            g, need = self.order[self.edges[b] : self.edges[b + 1]], self.need[self.need_edges[b] : self.need_edges[b + 1]]
+            if len(g) or len(need):
+                head = self.head[g]
+                runs = np.flatnonzero(np.diff(head, prepend=-1))
+                first = head[runs]
+                at = np.concatenate([first, need])
+                data = pack(runs=np.diff(runs, append=len(g)), size=self.size[first], need=len(need), w=self.columns[-1][g], c=self.count[g], lower=self.lower[g], x0=np.diff(self.contexts[0][at], prepend=0), **{f"x{i}": x[at] for i, x in enumerate(self.contexts) if i})
+                out.append(_row("asked", chunk, b, data))
         return out
 
-    def scores(self, answers: list[dict], d: np.ndarray) -> dict[str, np.ndarray]:
+    def answered(self, answers: list[dict], d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each n-gram's count; of each step its context's size and, from the shorter n-gram's, its probability."""
         got = [unpack(r["data"]) for r in sorted(answers, key=lambda r: r["bucket"])]
         join = lambda k, kind: np.concatenate([np.zeros(0, kind), *(g[k] for g in got)]).astype(kind)
         signed = join("c", np.int64)
-        phantom, count = signed < 0, np.abs(signed)
-        size = len(self.doc)
-        c = np.zeros(size, np.int64)
-        over = np.zeros(size, np.int64)
-        known = self.pair_of >= 0
-        c[known], over[known] = count[self.pair_of[known]], phantom[self.pair_of[known]]
-        cv, cw = self.c[self.v], self.c[self.w]
+        count, phantom = np.zeros(len(self.order), np.int64), np.zeros(len(self.order), bool)
+        count[self.order], phantom[self.order] = np.abs(signed), signed < 0
         # A context's counts of counts: its parts add up.
-        t = np.concatenate([np.zeros((0, K + 2), np.int64), *(g["t"] for g in got)])
-        pw = join("pw", np.float64)
-        n = len(self.c)
-        low = np.zeros((n, K + 1))
-        for r in range(1, K + 1):
-            low[:, r] = np.bincount(self.context, t[:, r], n) if len(t) else 0
-        tokens = np.bincount(self.context, t[:, 0], n) if len(t) else np.zeros(n)
-        lower = np.bincount(self.context, pw, n) if len(pw) else np.zeros(n)
-        spare = (low.sum(1) == 0).astype(np.int64)
-        over = np.where(self.wide[self.v], spare[self.v], over)
-        log = np.empty(size)
-        seen = c > 0
-        log[seen] = np.log10(discounted(c[seen], d) / (cv[seen] + over[seen]))
-        kept = tokens - sum((1 - d[r]) * r * low[:, r] for r in range(1, K + 1))
+        t = np.concatenate([np.zeros((0, K + 1), np.int64), *(g["t"] for g in got)])
+        n, r = len(self.tokens), np.arange(1, K + 1)
+        add = lambda x: np.bincount(self.need, x, n)
+        tokens, lower, low = add(t[:, 0]), add(join("pw", np.float64)), add(t[:, 1:].sum(1))
+        spare = (low == 0).astype(np.int64)
+        kept = tokens - add(t[:, 1:] @ ((1 - d[r]) * r))
         with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = (1 - kept / (self.c + spare)) / np.maximum(1 - lower, 1e-15)
-        alpha = np.where((self.c > 0) & (tokens > 0), alpha, 1.0)
-        log[~seen] = np.log10(alpha[self.v[~seen]] * self.words.p(cw[~seen]))
+            alpha = (1 - kept / (self.tokens + spare)) / np.maximum(1 - lower, 1e-15)
+        alpha = np.where((self.tokens > 0) & (tokens > 0), alpha, 1.0)
+        known = self.of >= 0
+        c, over, size = (np.zeros(len(self.of), np.int64) for _ in range(3))
+        c[known], over[known] = count[self.of[known]], phantom[self.of[known]]
+        x = self.context[self.there]
+        size[self.there] = self.tokens[x] + np.where(self.wide[x], spare[x], over[self.there])
+        p = p.copy()
+        p[self.there] *= alpha[x]
+        seen = c > 0
+        p[seen] = discounted(c[seen], d) / size[seen]
+        return count, size, p
+
+
+class Chunk:
+    """A chunk's texts with its words' numbers and counts, and its n-grams of every length that was answered and of the next."""
+
+    def __init__(self, rows: list[dict], words: Words, d: list[np.ndarray], buckets: int, order: int):
+        """d: the discounts of lengths 2, 3, ... as far as they were counted."""
+        self.words, self.buckets = words, buckets
+        docs = unpack(next(r["data"] for r in rows if r["kind"] == "docs"))
+        got = [unpack(r["data"]) for r in sorted((r for r in rows if r["kind"] == "word-answer"), key=lambda r: r["bucket"])]
+        self.ids, self.held, self.n, at = docs["ids"], docs["held"], docs["n"], docs["at"].astype(np.int64)
+        # Local words: <s>, </s> and the chunk's own, in the order of their numbers, so that n-grams come in that order; steps of text i:
+        # n[i] + 1, the last to </s>.
+        number = np.concatenate([[BOS, END], *(g["number"] for g in got)])
+        by = np.argsort(number, kind="stable")
+        local = np.empty_like(by)
+        local[by] = np.arange(len(by))
+        self.number, self.c = number[by], np.concatenate([[words.texts, words.texts], *(g["c"] for g in got)])[by]
+        self.steps = self.n + 1
+        ends = np.cumsum(self.steps)
+        self.w = np.empty(int(ends[-1]), np.int64)
+        last = np.zeros(len(self.w), bool)
+        last[ends - 1] = True
+        self.w[last], self.w[~last] = local[1], local[at + 2]
+        first = ends - self.steps
+        self.doc = np.repeat(np.arange(len(self.n)), self.steps)
+        context = np.empty_like(self.w)
+        context[1:] = self.w[:-1]
+        context[first] = local[0]
+        lower, size, self.p = self.c[self.w], np.full(len(self.w), words.total), words.p(self.c[self.w])
+        self.grams = Grams(self, context, [self.number], self.c, lower, size)
+        for m, dm in enumerate(d, 2):
+            g = self.grams
+            count, size, self.p = g.answered([r for r in rows if r["kind"] == f"answer-{m}"], dm, self.p)
+            if m < order:
+                # An n-gram is the context of what follows it in its text.
+                context = np.full(len(self.w), -1, np.int64)
+                context[1:] = g.of[:-1]
+                context[first] = -1
+                lower = np.where(g.of >= 0, count[g.of] if len(count) else 0, 0)
+                self.grams = Grams(self, context, g.columns, count, lower, size)
+
+    def scores(self) -> dict[str, np.ndarray]:
+        cw = self.c[self.w]
         base = np.log10((cw + 1) / (self.words.tokens + self.words.types + 1))
         add = lambda x: np.bincount(self.doc, x, len(self.n))
-        return {"n_tokens": self.steps, "n_known": add(cw > 0).astype(np.int64), "base_score": add(base), "score": add(log)}
+        return {"n_tokens": self.steps, "n_known": add(cw > 0).astype(np.int64), "base_score": add(base), "score": add(np.log10(self.p))}
+
+
+def _home(context: list[np.ndarray], part: np.ndarray, buckets: int) -> np.ndarray:
+    h = context[0].astype(np.uint64)
+    for x in [*context[1:], part]:
+        h = B.mix(h * np.uint64(B.BYTE_BASE) + x.astype(np.uint64) + np.uint64(1))
+    return (h % np.uint64(buckets)).astype(np.int64)
 
 
-def _home(v: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
-    return (B.mix(v.astype(np.uint64) * np.uint64(B.BYTE_BASE) + part.astype(np.uint64) + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+# Buckets of n-grams
 
 
-# Buckets of pairs
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair of numbers, another for another pair: of their ranks where the numbers are too long for that."""
+    if len(a) and (a.max() >> 31 or b.max() >> 32):
+        a, b = (np.unique(x, return_inverse=True)[1] for x in (a, b))
+    return (a << 32) | b
 
 
-def _count_pairs(table: pa.Table, words: Words, buckets: int) -> pa.Table:
+def _count_grams(table: pa.Table, m: int, lower_d: np.ndarray, keep: bool) -> pa.Table:
     rows = sorted(_rows_of(table), key=lambda r: r["chunk"])
     bucket, got = rows[0]["bucket"], [unpack(r["data"]) for r in rows]
-    v, w, c, cw = (np.concatenate([g[k] for g in got]) for k in ("v", "w", "c", "cw"))
-    order = np.lexsort((w, v))
-    sv, sw = v[order], w[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (sv[1:] != sv[:-1]) | (sw[1:] != sw[:-1])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    count = np.bincount(group, c, int(new.sum())).astype(np.int64)
-    first = order[new]
-    uv, uw, ucw = v[first], w[first], cw[first]
+    join = lambda k: np.concatenate([g[k] for g in got])
+    contexts = [np.concatenate([np.cumsum(g["x0"]) for g in got]), *(join(f"x{i}") for i in range(1, m - 1))]
+    key = contexts[0]
+    for x in contexts[1:]:
+        key = _joined(key, x)
+    key, head = np.unique(key, return_inverse=True)
+    size_at = np.cumsum([len(g["runs"]) + g["need"] for g in got])
+    asks, asked = [], []
+    for g, hi in zip(got, size_at, strict=True):
+        mid = hi - g["need"]
+        asks.append(head[mid - len(g["runs"]) : mid])
+        asked.append(head[mid:hi])
+    size = np.ones(len(key), np.int64)
+    size[np.concatenate(asks)] = join("size")
+    w = join("w")
+    gram, of = np.unique(_joined(np.repeat(np.concatenate(asks), join("runs")), w), return_inverse=True)
+    count = np.bincount(of, join("c"), len(gram)).astype(np.int64)
+    uc, uw, lower = (np.zeros(len(gram), np.int64) for _ in range(3))
+    uc[of], uw[of], lower[of] = np.repeat(np.concatenate(asks), join("runs")), w, join("lower")
     seen = count > 0
-    cv, at = np.unique(uv[seen], return_inverse=True)
-    sc = count[seen]
-    t = np.zeros((len(cv), K + 2), np.int64)
-    t[:, 0] = np.bincount(at, sc, len(cv))
+    at, sc = uc[seen], count[seen]
+    t = np.zeros((len(key), K + 1), np.int64)
+    t[:, 0] = np.bincount(at, sc, len(key))
     for r in range(1, K + 1):
-        t[:, r] = np.bincount(at[sc == r], minlength=len(cv))
-    t[:, K + 1] = np.bincount(at, minlength=len(cv))
-    pw = np.bincount(at, words.p(ucw[seen]), len(cv))
+        t[:, r] = np.bincount(at[sc == r], minlength=len(key))
+    pw = np.bincount(at, discounted(lower[seen], lower_d) / size[at], len(key))
     # A negative count: what is here of the context has no count up to K, so it has a phantom event if it isn't spread.
-    bare = t[:, 1 : K + 1].sum(1) == 0
-    sign = np.ones(len(count), np.int64)
-    sign[np.flatnonzero(seen)[bare[at]]] = -1
-    stats = histogram(sc)
-    out = [_row("pairs", -1, bucket, pack(v=uv[seen], w=uw[seen], c=sc, contexts=cv, counts_of_counts=t, lower=pw), [int(sc.sum()), int(seen.sum()), *stats])]
-    ends = np.cumsum([len(g["v"]) for g in got])
-    for r, g, lo, hi in zip(rows, got, [0, *ends[:-1]], ends, strict=True):
-        k = np.searchsorted(cv, g["contexts"])
-        k = np.minimum(k, max(len(cv) - 1, 0))
-        there = cv[k] == g["contexts"] if len(cv) else np.zeros(len(g["contexts"]), bool)
-        ct, cp = np.zeros((len(k), K + 2), np.int64), np.zeros(len(k))
-        ct[there], cp[there] = t[k[there]], pw[k[there]]
-        out.append(_row("pair-answer", r["chunk"], bucket, pack(c=(count * sign)[group[lo:hi]], t=ct, pw=cp)))
+    sign = np.where(t[:, 1:].sum(1) == 0, -1, 1)
+    model = None
+    if keep:
+        there, x = t[:, 0] > 0, [np.zeros(len(key), np.int64) for _ in contexts]
+        for a, b in zip(x, contexts, strict=True):
+            a[head] = b
+        model = pack(w=uw[seen], c=sc, tokens=t[there], pw=pw[there], **{f"x{i}": a[at] for i, a in enumerate(x)}, **{f"y{i}": a[there] for i, a in enumerate(x)})
+    out = [_row("grams", -1, bucket, model, [int(sc.sum()), int(seen.sum()), *histogram(sc)])]
+    count *= sign[uc]
+    ends = np.cumsum([len(g["w"]) for g in got])
+    for r, k, lo, hi in zip(rows, asked, [0, *ends[:-1]], ends, strict=True):
+        out.append(_row(f"answer-{m}", r["chunk"], bucket, pack(c=count[of[lo:hi]], t=t[k], pw=pw[k])))
     return _table(out)
 
 
@@ -343,11 +402,12 @@ def _totals(table: DataFrame, kind: str) -> list[int]:
     return [int(x) for x in got]
 
 
-def model_tables(counted: DataFrame, paired: DataFrame, words: Words, d: np.ndarray) -> dict[str, DataFrame]:
-    """The model in plain columns, from the buckets' tables.
+def model_tables(counted: DataFrame, grams: list[DataFrame], words: Words, d: list[np.ndarray]) -> dict[str, DataFrame]:
+    """The model in plain columns, from the buckets' tables; d: the discounts of lengths 2, 3, ...
 
     words (hash, word, count, probability), word -1 being all unseen words together; contexts (context, tokens, backoff); pairs (context,
-    word, count, probability). Contexts and words are called by number: 0 is <s>, 1 is </s>.
+    word, count, probability). Contexts and words are called by number: 0 is <s>, 1 is </s>. For each longer n, contexts<n> and grams<n>
+    with the same columns, but the context's words as context1, context2, ...
     """
 
     def unpacked(names, kinds, columns):
@@ -362,27 +422,38 @@ def model_tables(counted: DataFrame, paired: DataFrame, words: Words, d: np.ndar
     def table(df, kind, names, kinds, columns):
         return df.filter(F.col("kind") == kind).select("data").mapInArrow(*unpacked(names, kinds, columns))
 
+    def of_length(m, df, dm):
+        x = ["context"] if m == 2 else [f"context{i}" for i in range(1, m)]
+        low = [f"n{r}" for r in range(1, K + 1)]
+        parts = table(df, "grams", [*x, "tokens", *low, "lower"], ["bigint"] * (m + K) + ["double"], lambda g: (*(g[f"y{i}"] for i in range(m - 1)), *(np.ascontiguousarray(g["tokens"][:, r]) for r in range(K + 1)), g["pw"]))
+        whole = parts.groupBy(*x).agg(*[F.sum(c).alias(c) for c in ("tokens", *low, "lower")])
+        bare = (sum((F.col(c) for c in low[1:]), F.col(low[0])) == 0).cast("int")
+        kept = F.col("tokens") - sum((F.lit(float((1 - dm[r]) * r)) * F.col(low[r - 1]) for r in range(1, K + 1)), F.lit(0.0))
+        whole = whole.select(*x, "tokens", (F.col("tokens") + bare).alias("_total"), ((1 - kept / (F.col("tokens") + bare)) / F.greatest(1 - F.col("lower"), F.lit(1e-15))).alias("backoff"))
+        seen = table(df, "grams", [*x, "word", "count", "_kept"], ["bigint"] * (m + 1) + ["double"], lambda g: (*(g[f"x{i}"] for i in range(m - 1)), g["w"], g["c"], discounted(g["c"], dm).astype(np.float64)))
+        return whole.drop("_total"), seen.join(whole, x).select(*x, "word", "count", (F.col("_kept") / F.col("_total")).alias("probability"))
+
     spark = counted.sparkSession
     known = table(counted, "words", ["hash", "word", "count", "probability"], ["bigint", "bigint", "bigint", "double"], lambda g: (g["h"].view(np.int64), g["number"], g["c"], words.p(g["c"])))
     texts = np.array([words.texts] if words.texts else [], np.int64)
     ends = [(None, END, int(c), float(p)) for c, p in zip(texts, words.p(texts), strict=True)]
     unseen = [(None, UNKNOWN, 0, float(words.rest))]
-    known = known.unionByName(spark.createDataFrame(ends + unseen, "hash bigint, word bigint, count bigint, probability double"))
-    low = [f"n{r}" for r in range(1, K + 1)]
-    parts = table(paired, "pairs", ["context", "tokens", *low, "lower"], ["bigint", "bigint", *["bigint"] * K, "double"], lambda g: (g["contexts"], *(np.ascontiguousarray(g["counts_of_counts"][:, r]) for r in range(K + 1)), g["lower"]))
-    whole = parts.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("tokens", *low, "lower")])
-    bare = (sum((F.col(c) for c in low[1:]), F.col(low[0])) == 0).cast("int")
-    kept = F.col("tokens") - sum((F.lit(float((1 - d[r]) * r)) * F.col(low[r - 1]) for r in range(1, K + 1)), F.lit(0.0))
-    whole = whole.select("context", "tokens", (F.col("tokens") + bare).alias("_total"), ((1 - kept / (F.col("tokens") + bare)) / F.greatest(1 - F.col("lower"), F.lit(1e-15))).alias("backoff"))
-    pairs = table(paired, "pairs", ["context", "word", "count", "_kept"], ["bigint", "bigint", "bigint", "double"], lambda g: (g["v"], g["w"], g["c"], discounted(g["c"], d).astype(np.float64)))
-    pairs = pairs.join(whole, "context").select("context", "word", "count", (F.col("_kept") / F.col("_total")).alias("probability"))
-    return {"words": known, "contexts": whole.drop("_total"), "pairs": pairs}
-
-
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, keep_model: str | None = None, chunk_tokens: int = CHUNK_TOKENS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row. keep_model: a folder that gets model_tables()."""
+    out = {"words": known.unionByName(spark.createDataFrame(ends + unseen, "hash bigint, word bigint, count bigint, probability double"))}
+    for m, (df, dm) in enumerate(zip(grams, d, strict=True), 2):
+        names = ("contexts", "pairs") if m == 2 else (f"contexts{m}", f"grams{m}")
+        out |= dict(zip(names, of_length(m, df, dm), strict=True))
+    return out
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held: Column | None = None, keep_model: str | None = None, chunk_tokens: int = CHUNK_TOKENS, bucket_chars: int = BUCKET_CHARS, order: int = 2) -> DataFrame:
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row, by n-grams of up to `order` words.
+
+    keep_model: a folder that gets model_tables().
+    """
+    if order < 2:
+        raise ValueError("order is the length of the longest n-grams, two at least")
     C.bounded_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    spark, keep = docs.sparkSession, keep_model is not None
     held = held_out(C.col(id_col)) if held is None else held
     src = docs.select(C.col(id_col).alias("id"), held.alias("held"), C.col(text_col).cast("string").alias("text"))
     chars = src.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
@@ -390,40 +461,53 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
     texts = src.filter("not held").count()
     chunks, chunk_path = C.written(src.mapInArrow(lambda x: _chunks(x, buckets, chunk_tokens), _ROW), "katz-chunks", ("kind",))
     asked = chunks.filter("kind = 'asked'").repartition(buckets, "bucket")
-    counted, word_path = C.written(asked.groupBy("bucket").applyInArrow(lambda t: _count_words(t, buckets), _ROW), "katz-words", ("kind",))
+    counted, _ = C.written(asked.groupBy("bucket").applyInArrow(lambda t: _count_words(t, buckets, keep), _ROW), "katz-words", ("kind",))
     tokens, types, *n = _totals(counted, "words")
     if texts <= K + 1:
         n[texts] += 1
     words = Words(tokens + texts, types + (texts > 0), n, texts)
+    # Counted: nothing reads them again.
+    C.drop_path(spark, f"{chunk_path}/kind=asked")
     C.release(spark)
     known = chunks.filter("kind = 'docs'").unionByName(counted.filter("kind = 'word-answer'"))
-
-    def pairs(t: pa.Table) -> pa.Table:
-        rows = _rows_of(t)
-        return _table(Chunk(rows, words, buckets).asked(rows[0]["chunk"]))
-
-    asked = known.groupBy("chunk").applyInArrow(pairs, _ROW)
-    paired, pair_path = C.written(asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _count_pairs(t, words, buckets), _ROW), "katz-pairs", ("kind",))
-    _, _, *n = _totals(paired, "pairs")
-    d = discounts(n)
-    C.release(spark)
+    grams, d = [], []
+    for m in range(2, order + 1):
+        ask, count = _asking(words, list(d), buckets, m), _counting(m, d[-1] if d else words.d, keep)
+        asked = known.groupBy("chunk").applyInArrow(ask, _ROW).repartition(buckets, "bucket")
+        table, _ = C.written(asked.groupBy("bucket").applyInArrow(count, _ROW), f"katz-{m}-grams", ("kind",))
+        _, _, *n = _totals(table, "grams")
+        grams.append(table)
+        d.append(discounts(n))
+        known = known.unionByName(table.filter(F.col("kind") == f"answer-{m}"))
+        C.release(spark)
     kind, id_type = dict(docs.dtypes)[id_col], to_arrow_type(docs.schema[id_col].dataType)
 
     def evaluate(t: pa.Table) -> pa.Table:
-        rows = _rows_of(t)
-        c = Chunk(rows, words, buckets)
-        got = c.scores([r for r in rows if r["kind"] == "pair-answer"], d)
+        c = Chunk(_rows_of(t), words, d, buckets, order)
+        got = c.scores()
         return pa.table({"id": pa.array(c.ids, id_type), "held_out": pa.array(c.held), "n_tokens": got["n_tokens"].astype(np.int64), "n_known": got["n_known"], "train_tokens": np.full(len(c.n), words.tokens, np.int64), "base_score": got["base_score"], "score": got["score"]})
 
-    out = known.unionByName(paired.filter("kind = 'pair-answer'")).groupBy("chunk").applyInArrow(evaluate, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-    if keep_model:
-        for name, table in model_tables(counted, paired, words, d).items():
+    out = known.groupBy("chunk").applyInArrow(evaluate, f"id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    if keep:
+        for name, table in model_tables(counted, grams, words, d).items():
             table.write.parquet(f"{keep_model}/{name}")
     return out.withColumnRenamed("id", id_col)
 
 
+def _asking(words: Words, d: list[np.ndarray], buckets: int, m: int):
+    def ask(t: pa.Table) -> pa.Table:
+        rows = _rows_of(t)
+        return _table(Chunk(rows, words, d, buckets, m).grams.asked(rows[0]["chunk"]))
+
+    return ask
+
+
+def _counting(m: int, lower_d: np.ndarray, keep: bool):
+    return lambda t: _count_grams(t, m, lower_d, keep)
+
+
 def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=ORDER)
 
 
 QUERIES = {"op1_katz": op1_katz}

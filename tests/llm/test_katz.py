@@ -116,3 +116,86 @@ def test_ids_of_any_type(spark, kind):
     for d in (df, df.where("n IS NULL") if "n" in df.columns else df.where("`doc.id` IS NULL")):
         got = M.score(d, "doc.id")
         assert dict(got.dtypes)["doc.id"] == kind and sorted(r.n_tokens for r in got.collect()) == sorted(1 if r.text is None else len(r.text.split()) + 1 for r in d.collect())
+
+
+def recursive(docs, order):
+    """(id -> score), and P as a function, by n-grams of up to `order` words: back-off written as the recursion that it is."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    toks = [(i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, ["<s>", *WORD.findall((t or "").translate(low)), "</s>"]) for i, t in docs]
+    follow = [defaultdict(Counter) for _ in range(order)]
+    for _, held, w in toks:
+        if not held:
+            for j in range(1, len(w)):
+                for m in range(min(order, j + 1)):
+                    follow[m][tuple(w[j - m : j])][w[j]] += 1
+    hist = lambda cs: (lambda x: [x[r] for r in range(M.K + 2)])(Counter(cs))
+    d = [M.discounts(hist(c for x in f.values() for c in x.values())) for f in follow]
+    keep = lambda c, m: c if c > M.K else d[m][c] * c
+    one = follow[0][()]
+    n, kept = sum(one.values()), sum(keep(c, 0) for c in one.values())
+    total, unseen = n + (n - kept <= 1e-9), max(1, sum(c == 1 for c in one.values()))
+    alphas = {}
+
+    def alpha(x):
+        if x not in alphas:
+            seen = follow[len(x)][x]
+            size = sum(seen.values()) + all(c > M.K for c in seen.values())
+            left = 1 - sum(keep(c, len(x)) for c in seen.values()) / size
+            alphas[x] = size, left / max(1 - sum(p(x[1:], w) for w in seen), 1e-15)
+        return alphas[x]
+
+    def p(x, w):
+        if not x:
+            return keep(one[w], 0) / total if one[w] else (total - kept) / total / unseen
+        if x not in follow[len(x)]:
+            return p(x[1:], w)
+        size, back = alpha(x)
+        return keep(c, len(x)) / size if (c := follow[len(x)][x].get(w)) else back * p(x[1:], w)
+
+    return {i: sum(math.log10(p(tuple(w[max(0, j - order + 1) : j]), w[j])) for j in range(1, len(w))) for i, _, w in toks}, p, follow, unseen
+
+
+def phrases(n=160, seed=11):
+    """Texts of repeated phrases, so that contexts of two and three words are seen, unseen, frequent and without small counts."""
+    g = np.random.default_rng(seed)
+    parts = ["the cat sat on", "The dog", "of the cat", "a dog sat", "on the mat", *(f"w{k}é the" for k in range(30))]
+    weights = 1 / np.arange(1, len(parts) + 1)
+    return [(k, " ".join(g.choice(parts, g.integers(0, 14), p=weights / weights.sum()))) for k in range(n)] + [(n, None), (n + 1, "x"), (n + 2, "the cat " * 300), (None, "of the cat sat")]
+
+
+@pytest.mark.parametrize("order, buckets", [(2, 8), (3, 8), (3, 50), (3, 500), (4, 20)])
+def test_backs_off_from_every_length(spark, order, buckets):
+    docs = phrases()
+    want, *_ = recursive(docs, order)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    rows = M.score(df, chunk_tokens=300, bucket_chars=max(1, sum(len(t or "") for _, t in docs) // buckets), order=order).collect()
+    assert {r.doc_id: r.score for r in rows} == pytest.approx(want, rel=1e-9)
+
+
+def test_the_query_scores_by_three_words(spark, tmp_path):
+    docs = phrases(40)
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want, *_ = recursive(docs, 3)
+    assert {r.doc_id: r.score for r in M.op1_katz(spark, str(tmp_path)).collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_three_words_sum_to_one(spark, tmp_path):
+    """By the plain recursion, and by the stored tables."""
+    docs = phrases(60)
+    _, p, follow, unseen = recursive(docs, 3)
+    for x in [*follow[2], ("never", "the"), ("the", "never")]:
+        assert sum(p(x, w) for w in follow[0][()]) + unseen * p(x, "never seen") == pytest.approx(1)
+    M.score(spark.createDataFrame(docs, "doc_id bigint, text string"), keep_model=str(tmp_path / "model"), chunk_tokens=300, bucket_chars=200, order=3)
+    pairs, contexts, grams = (spark.read.parquet(str(tmp_path / "model" / t)).collect() for t in ("pairs", "contexts3", "grams3"))
+    two, seen = {(r.context, r.word): r.probability for r in pairs}, defaultdict(dict)
+    for r in grams:
+        seen[r.context1, r.context2][r.word] = r.probability
+    assert len(contexts) == len(seen) == len(follow[2])
+    for r in contexts:
+        x = seen[r.context1, r.context2]
+        assert sum(x.values()) + r.backoff * (1 - sum(two[r.context2, w] for w in x)) == pytest.approx(1)
+
+
+def test_ranks_for_long_numbers():
+    a, b = np.array([1 << 40, 5, 5, 1 << 40]), np.array([2, 1 << 33, 2, 2])
+    assert len(set(M._joined(a, b).tolist())) == 3
