@@ -16,9 +16,10 @@ The job never holds a vocabulary or a text collection in one place. Documents ar
 buckets, which count them, number them and answer each chunk's words. Then, for each length from two to the order, the chunks' distinct
 n-grams go to buckets by context (contexts with more tokens than a bucket's share are spread over several, whose counts of counts the
 chunks add up), which count them, gather each context's counts of counts and answer: an n-gram's count is that of the longer ones' context.
-At the end each chunk evaluates its texts token by token. What is sent is what is distinct in a chunk, packed as columns; an n-gram whose
-context or whose end isn't in the training texts isn't sent. Where the model is kept, the buckets' counts are its tables, partitioned by
-kind; model_tables() gives them in plain columns.
+At the end each chunk evaluates its texts token by token. What is sent is what is distinct in a chunk, packed as columns. Not sent is an
+n-gram whose context or whose end isn't in the training texts, as its count is 0; nor one whose context is there once and in no held-out
+text, as its count is 1 and nobody else asks for it: the buckets add the number of such ones to their counts of counts. Where the model is
+kept, all are sent, and the buckets' counts are its tables, partitioned by kind; model_tables() gives them in plain columns.
 
 Null texts are empty, a null id is a training text; repeated rows are texts of their own. Only id and text are read.
 """
@@ -197,12 +198,13 @@ class Grams:
     """A chunk's distinct n-grams of one length, in the order of their words' numbers, and their contexts.
 
     context: that of each step of the texts, or -1; contexts: the words' numbers of each context, a column for each place; tokens: how
-    often each context is in the training texts; lower, size: count and context's size of each step's n-gram without its first word.
+    often each context is in the training texts; told: whether a held-out text may have it; lower: each step's count of the n-gram without
+    its first word.
     """
 
-    def __init__(self, chunk: Chunk, context: np.ndarray, contexts: list[np.ndarray], tokens: np.ndarray, lower: np.ndarray, size: np.ndarray):
+    def __init__(self, chunk: Chunk, context: np.ndarray, contexts: list[np.ndarray], tokens: np.ndarray, told: np.ndarray, lower: np.ndarray):
         buckets, number, w = chunk.buckets, chunk.number, chunk.w
-        self.context, self.contexts, self.tokens = context, contexts, tokens
+        self.context, self.contexts, self.tokens, self.told = context, contexts, tokens, told
         self.there = context >= 0
         self.there[self.there] = tokens[context[self.there]] > 0
         # Others can't have been seen and aren't asked for.
@@ -212,80 +214,86 @@ class Grams:
         self.of[asked] = inverse
         self.head, word = key // len(number), key % len(number)
         self.columns = [*(x[self.head] for x in contexts), number[word]]
-        held = chunk.held[chunk.doc]
-        self.count = np.bincount(self.of[asked & ~held], minlength=len(key)).astype(np.int64)
-        self.lower = np.zeros(len(key), np.int64)
-        self.lower[inverse] = lower[asked]
-        self.size = np.zeros(len(tokens), np.int64)
-        self.size[context[asked]] = size[asked]
+        # A context that is there once and only in training texts has one n-gram, of count 1.
+        once = ~told & (tokens == 1)
+        self.once = once[self.head]
+        sent = np.flatnonzero(~self.once)
         # Over how many buckets a context is spread: one for each half of a bucket's even share.
         parts = 1 + 2 * buckets * tokens // max(chunk.words.tokens, 1)
-        part = (B.mix(self.columns[-1].astype(np.uint64)) % parts[self.head].astype(np.uint64)).astype(np.int64)
-        bucket = _home(self.columns[:-1], part, buckets)
-        self.order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
-        self.edges = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+        part = (B.mix(self.columns[-1][sent].astype(np.uint64)) % parts[self.head[sent]].astype(np.uint64)).astype(np.int64)
+        bucket = _home([x[sent] for x in self.columns[:-1]], part, buckets)
+        by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+        self.order, self.edges = sent[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
         # What contexts of held-out texts leave to unseen words, and whether a spread context has a phantom event, is asked of every
         # bucket that holds a part of them.
-        self.wide = parts > 1
+        self.wide = (parts > 1) & ~once
         need = np.zeros(len(tokens), bool)
-        need[context[self.there & held]] = True
+        need[context[self.there & chunk.held[chunk.doc]]] = True
         need[context[self.there]] |= self.wide[context[self.there]]
         need = np.flatnonzero(need)
         parts = parts[need]
         part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         need = np.repeat(need, parts)
         # Once a bucket, also where several parts of a context share one.
-        both = np.unique(np.stack([_home([x[need] for x in contexts], part, buckets), need]), axis=1) if (parts > 1).any() else np.stack([_home([x[need] for x in contexts], part, buckets), need])
-        both = both[:, np.argsort(both[0], kind="stable")]
-        self.need, self.need_edges = both[1], np.searchsorted(both[0], np.arange(buckets + 1))
-
-    def asked(self, chunk: int) -> list[tuple]:
-        out = []
+        both = np.unique(_home([x[need] for x in contexts], part, buckets) * len(tokens) + need)
+        self.need, self.need_edges = both % max(len(tokens), 1), np.searchsorted(both // max(len(tokens), 1), np.arange(buckets + 1))
+
+    def asked(self, chunk: Chunk, number: int) -> list[tuple]:
+        known, held = self.of >= 0, chunk.held[chunk.doc]
+        count = np.bincount(self.of[known & ~held], minlength=len(self.head)).astype(np.int64)
+        told = np.zeros(len(count), bool)
+        told[self.of[known & held]] = True
+        # The shorter n-gram's probability is needed of contexts that a held-out text has.
+        lower, size = np.zeros(len(count), np.int64), np.zeros(len(self.tokens), np.int64)
+        lower[self.of[known]] = chunk.lower[known]
+        lower[~self.told[self.head]] = 0
+        size[self.context[known]] = chunk.size[known]
+        size[~self.told] = 0
+        once, out = int(self.once.sum()), []
         for b in range(len(self.edges) - 1):
             g, need = self.order[self.edges[b] : self.edges[b + 1]], self.need[self.need_edges[b] : self.need_edges[b + 1]]
-            if len(g) or len(need):
+            if len(g) or len(need) or once:
                 head = self.head[g]
                 runs = np.flatnonzero(np.diff(head, prepend=-1))
                 first = head[runs]
                 at = np.concatenate([first, need])
-                data = pack(runs=np.diff(runs, append=len(g)), size=self.size[first], need=len(need), w=self.columns[-1][g], c=self.count[g], lower=self.lower[g], x0=np.diff(self.contexts[0][at], prepend=0), **{f"x{i}": x[at] for i, x in enumerate(self.contexts) if i})
-                out.append(_row("asked", chunk, b, data))
+                data = pack(runs=np.diff(runs, append=len(g)), size=size[first], need=len(need), w=self.columns[-1][g], c=count[g], told=told[g], lower=lower[g], once=once, x0=np.diff(self.contexts[0][at], prepend=0), **{f"x{i}": x[at] for i, x in enumerate(self.contexts) if i})
+                out.append(_row("asked", number, b, data))
+                once = 0
         return out
 
-    def answered(self, answers: list[dict], d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each n-gram's count; of each step its context's size and, from the shorter n-gram's, its probability."""
+    def answered(self, answers: list[dict], d: np.ndarray, p: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Each n-gram's count and whether a held-out text may have it; of each step its context's size and, from the shorter n-gram's p, its probability."""
         got = [unpack(r["data"]) for r in sorted(answers, key=lambda r: r["bucket"])]
         join = lambda k, kind: np.concatenate([np.zeros(0, kind), *(g[k] for g in got)]).astype(kind)
         signed = join("c", np.int64)
-        count, phantom = np.zeros(len(self.order), np.int64), np.zeros(len(self.order), bool)
-        count[self.order], phantom[self.order] = np.abs(signed), signed < 0
+        count, phantom, told = self.once.astype(np.int64), np.zeros(len(self.once), bool), np.zeros(len(self.once), bool)
+        count[self.order], phantom[self.order], told[self.order] = np.abs(signed), signed < 0, join("told", bool)
         # A context's counts of counts: its parts add up.
         t = np.concatenate([np.zeros((0, K + 1), np.int64), *(g["t"] for g in got)])
         n, r = len(self.tokens), np.arange(1, K + 1)
         add = lambda x: np.bincount(self.need, x, n)
-        tokens, lower, low = add(t[:, 0]), add(join("pw", np.float64)), add(t[:, 1:].sum(1))
-        spare = (low == 0).astype(np.int64)
-        kept = tokens - add(t[:, 1:] @ ((1 - d[r]) * r))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            alpha = (1 - kept / (self.tokens + spare)) / np.maximum(1 - lower, 1e-15)
-        alpha = np.where((self.tokens > 0) & (tokens > 0), alpha, 1.0)
-        known = self.of >= 0
-        c, over, size = (np.zeros(len(self.of), np.int64) for _ in range(3))
-        c[known], over[known] = count[self.of[known]], phantom[self.of[known]]
-        x = self.context[self.there]
-        size[self.there] = self.tokens[x] + np.where(self.wide[x], spare[x], over[self.there])
-        p = p.copy()
-        p[self.there] *= alpha[x]
-        seen = c > 0
-        p[seen] = discounted(c[seen], d) / size[seen]
-        return count, size, p
+        spare = (add(t[:, 1:].sum(1)) == 0).astype(np.int64)
+        known, x = self.of >= 0, self.context[self.there]
+        size = np.zeros(len(self.of), np.int64)
+        size[known] = phantom[self.of[known]]
+        size[self.there] = self.tokens[x] + np.where(self.wide[x], spare[x], size[self.there])
+        if p is not None:
+            tokens, lower = add(t[:, 0]), add(join("pw", np.float64))
+            kept = tokens - add(t[:, 1:] @ ((1 - d[r]) * r))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                alpha = (1 - kept / (self.tokens + spare)) / np.maximum(1 - lower, 1e-15)
+            p[self.there] *= np.where((self.tokens > 0) & (tokens > 0), alpha, 1.0)[x]
+            known[known] = count[self.of[known]] > 0
+            p[known] = discounted(count[self.of[known]], d) / size[known]
+        return count, told, size, p
 
 
 class Chunk:
     """A chunk's texts with its words' numbers and counts, and its n-grams of every length that was answered and of the next."""
 
     def __init__(self, rows: list[dict], words: Words, d: list[np.ndarray], buckets: int, order: int):
-        """d: the discounts of lengths 2, 3, ... as far as they were counted."""
+        """d: the discounts of lengths 2, 3, ... as far as they were counted; probabilities are there if that is up to the order."""
         self.words, self.buckets = words, buckets
         docs = unpack(next(r["data"] for r in rows if r["kind"] == "docs"))
         got = [unpack(r["data"]) for r in sorted((r for r in rows if r["kind"] == "word-answer"), key=lambda r: r["bucket"])]
@@ -308,18 +316,20 @@ class Chunk:
         context = np.empty_like(self.w)
         context[1:] = self.w[:-1]
         context[first] = local[0]
-        lower, size, self.p = self.c[self.w], np.full(len(self.w), words.total), words.p(self.c[self.w])
-        self.grams = Grams(self, context, [self.number], self.c, lower, size)
+        self.lower, self.size = self.c[self.w], np.full(len(self.w), words.total)
+        self.p = words.p(self.lower) if len(d) == order - 1 else None
+        self.grams = Grams(self, context, [self.number], self.c, np.ones(len(self.c), bool), self.lower)
         for m, dm in enumerate(d, 2):
             g = self.grams
-            count, size, self.p = g.answered([r for r in rows if r["kind"] == f"answer-{m}"], dm, self.p)
+            count, told, self.size, self.p = g.answered([r for r in rows if r["kind"] == f"answer-{m}"], dm, self.p)
             if m < order:
+                self.lower = np.zeros(len(self.w), np.int64)
+                self.lower[g.of >= 0] = count[g.of[g.of >= 0]]
                 # An n-gram is the context of what follows it in its text.
                 context = np.full(len(self.w), -1, np.int64)
                 context[1:] = g.of[:-1]
                 context[first] = -1
-                lower = np.where(g.of >= 0, count[g.of] if len(count) else 0, 0)
-                self.grams = Grams(self, context, g.columns, count, lower, size)
+                self.grams = Grams(self, context, g.columns, count, told, self.lower)
 
     def scores(self) -> dict[str, np.ndarray]:
         cw = self.c[self.w]
@@ -373,7 +383,10 @@ def _count_grams(table: pa.Table, m: int, lower_d: np.ndarray, keep: bool) -> pa
     t[:, 0] = np.bincount(at, sc, len(key))
     for r in range(1, K + 1):
         t[:, r] = np.bincount(at[sc == r], minlength=len(key))
-    pw = np.bincount(at, discounted(lower[seen], lower_d) / size[at], len(key))
+    pw = np.bincount(at, discounted(lower[seen], lower_d) / np.maximum(size[at], 1), len(key))
+    # Where all n-grams are wanted here, all contexts are called known to held-out texts.
+    told = np.full(len(gram), keep)
+    told[of[join("told")]] = True
     # A negative count: what is here of the context has no count up to K, so it has a phantom event if it isn't spread.
     sign = np.where(t[:, 1:].sum(1) == 0, -1, 1)
     model = None
@@ -382,11 +395,13 @@ def _count_grams(table: pa.Table, m: int, lower_d: np.ndarray, keep: bool) -> pa
         for a, b in zip(x, contexts, strict=True):
             a[head] = b
         model = pack(w=uw[seen], c=sc, tokens=t[there], pw=pw[there], **{f"x{i}": a[at] for i, a in enumerate(x)}, **{f"y{i}": a[there] for i, a in enumerate(x)})
-    out = [_row("grams", -1, bucket, model, [int(sc.sum()), int(seen.sum()), *histogram(sc)])]
+    once, n = sum(g["once"] for g in got), histogram(sc)
+    n[1] += once
+    out = [_row("grams", -1, bucket, model, [int(sc.sum()) + once, int(seen.sum()) + once, *n])]
     count *= sign[uc]
     ends = np.cumsum([len(g["w"]) for g in got])
     for r, k, lo, hi in zip(rows, asked, [0, *ends[:-1]], ends, strict=True):
-        out.append(_row(f"answer-{m}", r["chunk"], bucket, pack(c=count[of[lo:hi]], t=t[k], pw=pw[k])))
+        out.append(_row(f"answer-{m}", r["chunk"], bucket, pack(c=count[of[lo:hi]], told=told[of[lo:hi]], t=t[k], pw=pw[k])))
     return _table(out)
 
 
@@ -497,7 +512,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held:
 def _asking(words: Words, d: list[np.ndarray], buckets: int, m: int):
     def ask(t: pa.Table) -> pa.Table:
         rows = _rows_of(t)
-        return _table(Chunk(rows, words, d, buckets, m).grams.asked(rows[0]["chunk"]))
+        c = Chunk(rows, words, d, buckets, m)
+        return _table(c.grams.asked(c, rows[0]["chunk"]))
 
     return ask
 

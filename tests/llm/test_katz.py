@@ -199,3 +199,17 @@ def test_three_words_sum_to_one(spark, tmp_path):
 def test_ranks_for_long_numbers():
     a, b = np.array([1 << 40, 5, 5, 1 << 40]), np.array([2, 1 << 33, 2, 2])
     assert len(set(M._joined(a, b).tolist())) == 3
+
+
+@pytest.mark.parametrize("order", [3, 4])
+@pytest.mark.parametrize("shared", [True, False])
+def test_contexts_seen_once(spark, order, shared):
+    """Of training texts only, or asked for by held-out texts of another chunk too."""
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(200) if i not in held]
+    docs = [(i, f"p{i} q{i} r{i} s{i} t{i} p{i} q{i} u{i}") for i in train[:6]]
+    docs += [(h, f"p{i} q{i} r{i} t{i} r{i} s{i} t{i} never r{i} s{i} u{i}" if shared else f"x{i} y{i}") for h, i in zip(held, train[:4], strict=False)]
+    want, *_ = recursive(docs, order)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    rows = M.score(df, chunk_tokens=10, bucket_chars=20, order=order).collect()
+    assert {r.doc_id: r.score for r in rows} == pytest.approx(want, rel=1e-9)
