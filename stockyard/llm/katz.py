@@ -194,6 +194,25 @@ def _count_words(table: pa.Table, buckets: int, keep: bool) -> pa.Table:
 # Chunks again: n-grams
 
 
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, of numbers from 0; where a number and its place fit in 63 bits, by sorting both as one."""
+    bits = len(key).bit_length()
+    if not len(key) or int(key.max()).bit_length() + bits > 63:
+        return np.unique(key, return_inverse=True)
+    x = np.sort(key << bits | np.arange(len(key)))
+    at, x = x & ((1 << bits) - 1), x >> bits
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    inverse = np.empty(len(x), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return x[new], inverse
+
+
+def _at(values: np.ndarray, places: np.ndarray, none=0) -> np.ndarray:
+    """The values at places, `none` at place -1."""
+    return np.append(values, np.array([none], values.dtype))[places]
+
+
 class Grams:
     """A chunk's distinct n-grams of one length, in the order of their words' numbers, and their contexts.
 
@@ -205,11 +224,10 @@ class Grams:
     def __init__(self, chunk: Chunk, context: np.ndarray, contexts: list[np.ndarray], tokens: np.ndarray, told: np.ndarray, lower: np.ndarray):
         buckets, number, w = chunk.buckets, chunk.number, chunk.w
         self.context, self.contexts, self.tokens, self.told = context, contexts, tokens, told
-        self.there = context >= 0
-        self.there[self.there] = tokens[context[self.there]] > 0
+        there = _at(tokens, context) > 0
         # Others can't have been seen and aren't asked for.
-        asked = self.there & (lower > 0)
-        key, inverse = np.unique(context[asked] * len(number) + w[asked], return_inverse=True)
+        asked = there & (lower > 0)
+        key, inverse = _distinct(context[asked] * len(number) + w[asked])
         self.of = np.full(len(w), -1, np.int64)
         self.of[asked] = inverse
         self.head, word = key // len(number), key % len(number)
@@ -228,8 +246,11 @@ class Grams:
         # bucket that holds a part of them.
         self.wide = (parts > 1) & ~once
         need = np.zeros(len(tokens), bool)
-        need[context[self.there & chunk.held[chunk.doc]]] = True
-        need[context[self.there]] |= self.wide[context[self.there]]
+        need[context[there & chunk.held[chunk.doc]]] = True
+        if self.wide.any():
+            here = np.zeros(len(tokens), bool)
+            here[context[there]] = True
+            need |= here & self.wide
         need = np.flatnonzero(need)
         parts = parts[need]
         part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
@@ -262,8 +283,8 @@ class Grams:
                 once = 0
         return out
 
-    def answered(self, answers: list[dict], d: np.ndarray, p: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-        """Each n-gram's count and whether a held-out text may have it; of each step its context's size and, from the shorter n-gram's p, its probability."""
+    def answered(self, answers: list[dict], d: np.ndarray, p: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+        """Each n-gram's count and whether a held-out text may have it; each step's count, its context's size and, from the shorter n-gram's p, its probability."""
         got = [unpack(r["data"]) for r in sorted(answers, key=lambda r: r["bucket"])]
         join = lambda k, kind: np.concatenate([np.zeros(0, kind), *(g[k] for g in got)]).astype(kind)
         signed = join("c", np.int64)
@@ -274,19 +295,17 @@ class Grams:
         n, r = len(self.tokens), np.arange(1, K + 1)
         add = lambda x: np.bincount(self.need, x, n)
         spare = (add(t[:, 1:].sum(1)) == 0).astype(np.int64)
-        known, x = self.of >= 0, self.context[self.there]
-        size = np.zeros(len(self.of), np.int64)
-        size[known] = phantom[self.of[known]]
-        size[self.there] = self.tokens[x] + np.where(self.wide[x], spare[x], size[self.there])
+        c = _at(count, self.of)
+        size = _at(self.tokens + np.where(self.wide, spare, 0), self.context) + _at(phantom & ~self.wide[self.head], self.of)
         if p is not None:
             tokens, lower = add(t[:, 0]), add(join("pw", np.float64))
             kept = tokens - add(t[:, 1:] @ ((1 - d[r]) * r))
             with np.errstate(divide="ignore", invalid="ignore"):
                 alpha = (1 - kept / (self.tokens + spare)) / np.maximum(1 - lower, 1e-15)
-            p[self.there] *= np.where((self.tokens > 0) & (tokens > 0), alpha, 1.0)[x]
-            known[known] = count[self.of[known]] > 0
-            p[known] = discounted(count[self.of[known]], d) / size[known]
-        return count, told, size, p
+            p *= _at(np.where((self.tokens > 0) & (tokens > 0), alpha, 1.0), self.context, 1)
+            seen = c > 0
+            p[seen] = discounted(c[seen], d) / size[seen]
+        return count, told, c, size, p
 
 
 class Chunk:
@@ -321,10 +340,8 @@ class Chunk:
         self.grams = Grams(self, context, [self.number], self.c, np.ones(len(self.c), bool), self.lower)
         for m, dm in enumerate(d, 2):
             g = self.grams
-            count, told, self.size, self.p = g.answered([r for r in rows if r["kind"] == f"answer-{m}"], dm, self.p)
+            count, told, self.lower, self.size, self.p = g.answered([r for r in rows if r["kind"] == f"answer-{m}"], dm, self.p)
             if m < order:
-                self.lower = np.zeros(len(self.w), np.int64)
-                self.lower[g.of >= 0] = count[g.of[g.of >= 0]]
                 # An n-gram is the context of what follows it in its text.
                 context = np.full(len(self.w), -1, np.int64)
                 context[1:] = g.of[:-1]

@@ -213,3 +213,10 @@ def test_contexts_seen_once(spark, order, shared):
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
     rows = M.score(df, chunk_tokens=10, bucket_chars=20, order=order).collect()
     assert {r.doc_id: r.score for r in rows} == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("top", [50, 1 << 40, 1 << 62])
+def test_distinct_numbers(top):
+    key = np.random.default_rng(3).integers(0, 40, 1000) * (top // 40)
+    for x in (key, key[:1], key[:0]):
+        assert [a.tolist() for a in M._distinct(x)] == [a.tolist() for a in np.unique(x, return_inverse=True)]
