@@ -199,13 +199,18 @@ def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = len(key).bit_length()
     if not len(key) or int(key.max()).bit_length() + bits > 63:
         return np.unique(key, return_inverse=True)
-    x = np.sort(key << bits | np.arange(len(key)))
-    at, x = x & ((1 << bits) - 1), x >> bits
+    x = key << bits
+    x |= np.arange(len(key))
+    x.sort()
+    at = x & ((1 << bits) - 1)
+    x >>= bits
     new = np.ones(len(x), bool)
     np.not_equal(x[1:], x[:-1], out=new[1:])
-    inverse = np.empty(len(x), np.int64)
-    inverse[at] = np.cumsum(new) - 1
-    return x[new], inverse
+    x, rank = x[new], np.cumsum(new)
+    rank -= 1
+    inverse = np.empty(len(at), np.int64)
+    inverse[at] = rank
+    return x, inverse
 
 
 def _at(values: np.ndarray, places: np.ndarray, none=0) -> np.ndarray:
@@ -336,17 +341,21 @@ class Chunk:
         context[1:] = self.w[:-1]
         context[first] = local[0]
         self.lower, self.size = self.c[self.w], np.full(len(self.w), words.total)
+        del docs, got, at, number, by, local, last
         self.p = words.p(self.lower) if len(d) == order - 1 else None
         self.grams = Grams(self, context, [self.number], self.c, np.ones(len(self.c), bool), self.lower)
         for m, dm in enumerate(d, 2):
-            g = self.grams
+            g, self.grams, self.lower, self.size = self.grams, None, None, None
             count, told, self.lower, self.size, self.p = g.answered([r for r in rows if r["kind"] == f"answer-{m}"], dm, self.p)
             if m < order:
                 # An n-gram is the context of what follows it in its text.
                 context = np.full(len(self.w), -1, np.int64)
                 context[1:] = g.of[:-1]
                 context[first] = -1
-                self.grams = Grams(self, context, g.columns, count, told, self.lower)
+                # One length at a time: what the shorter one needed is dropped first.
+                columns = g.columns
+                del g
+                self.grams = Grams(self, context, columns, count, told, self.lower)
 
     def scores(self) -> dict[str, np.ndarray]:
         cw = self.c[self.w]
